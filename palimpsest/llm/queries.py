@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest.llm.decontaminate import contaminated
 from palimpsest.llm.jaccard_join import ngram_jaccard_join
+from palimpsest.llm.line_dedup import dedup_lines
+from palimpsest.llm.secret_scan import scan_secrets, spell
+from palimpsest.llm.toxicity import held_out, score_toxicity, train_toxicity
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+')"
@@ -34,5 +39,56 @@ SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-SQL = {"op1_ngram_jaccard_join": OP1_SQL}
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut from each document, and what is left as length and digest."""
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+bad AS (SELECT trim(line) AS line FROM p WHERE length(trim(line)) >= 12 GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+k AS (SELECT p.doc_id, count(*) AS n_lines, count(bad.line) AS n_removed, string_agg(p.line, chr(10) ORDER BY pos) FILTER (WHERE bad.line IS NULL) AS kept
+      FROM p LEFT JOIN bad ON trim(p.line) = bad.line GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, length(coalesce(k.kept, '')) AS n_kept_chars, sha256(coalesce(k.kept, '')) AS text_sha256
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda x: x.kind == k)).cast("bigint")
+    base = F.sha2(spell(F.col("base")), 256)
+    return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), base.alias("base_sha256"), spell(F.array_sort(F.concat("base", "entropy"))).alias("spans"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_shared", "n_item", F.round("containment", 6).alias("containment"))
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, {_SHINGLES} AS sh FROM d), it AS (SELECT DISTINCT item_id, {_SHINGLES} AS sh FROM i),
+n AS (SELECT item_id, count(*) AS n_item FROM it GROUP BY 1),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN it USING (sh) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment FROM c JOIN n USING (item_id) WHERE n_shared >= 0.75 * n_item
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    out = score_toxicity(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_toxicity": op10_toxicity,
+}
+SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
