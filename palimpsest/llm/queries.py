@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.decontaminate import contaminated
 from palimpsest.llm.jaccard_join import ngram_jaccard_join
 from palimpsest.llm.line_dedup import dedup_lines
+from palimpsest.llm import piece_lattice
+from palimpsest.llm.projected_ann import nearest_by_inner_product
 from palimpsest.llm.secret_scan import scan_secrets, spell
 from palimpsest.llm.toxicity import held_out, score_toxicity, train_toxicity
 
@@ -40,6 +42,24 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of each text, and whether decoding it gives the text back."""
+    settings = piece_lattice.Settings(tokenizer_file("piece_bpe_32k.model"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = piece_lattice.decode_pieces(piece_lattice.encode_pieces(docs, settings), settings)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_inner_product(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines cut from each document, and what is left as length and digest."""
     out = dedup_lines(_table(spark, sf_dir, "documents"))
@@ -86,7 +106,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
+    "op6_projected_neighbours": op6_projected_neighbours,
     "op7_secret_scan": op7_secret_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_STEP = 1 << 22  # bytes hashed at once
+_STEP = 1 << 20  # bytes hashed at once
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
@@ -38,7 +38,8 @@ _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base modulo 2**64, and of its inverse."""
     global _pow, _inv
     if len(_pow) < n:
         size = max(n, _STEP + 1)
@@ -107,7 +108,7 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         while i < len(starts):
             base = starts[i]
             j = max(i + 1, int(np.searchsorted(ends, base + _STEP, side="right")))
-            power, inverse = _powers(int(ends[j - 1] - base) + 1)
+            power, inverse = powers(int(ends[j - 1] - base) + 1)
             part = buf[base : ends[j - 1]]
             total = np.zeros(len(part) + 1, U64)
             np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
