@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.chat_format import rotate_perspectives
 from palimpsest.llm.decontaminate import contaminated
 from palimpsest.llm.jaccard_join import ngram_jaccard_join
 from palimpsest.llm.line_dedup import dedup_lines
 from palimpsest.llm import piece_lattice
 from palimpsest.llm.projected_ann import nearest_by_inner_product
 from palimpsest.llm.secret_scan import scan_secrets, spell
+from palimpsest.llm.site_style import extract_main_text
 from palimpsest.llm.toxicity import held_out, score_toxicity, train_toxicity
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,6 +62,34 @@ def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_inner_product(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of every rendering as length, digest and mask spans."""
+    out = rotate_perspectives(_table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda x: F.concat_ws(":", x.start, x.end)), ",")
+    return out.select("conv_id", "speaker", "part", "start", "n_turns", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), mask.alias("mask"))
+
+
+OP3_SQL = """
+WITH t AS (SELECT conv_id, turn, turn // 128 AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+x AS (SELECT t.conv_id, speaker, part, turn, role, text,
+             '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS lead
+      FROM t JOIN s ON s.conv_id = t.conv_id),
+y AS (SELECT *, length(lead) + length(text) + 11 AS size,
+             coalesce(sum(length(lead) + length(text) + 11) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
+z AS (SELECT conv_id, speaker, part, count(*) AS n_turns, sum(size) AS size, string_agg(lead || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS body,
+             coalesce(string_agg(CAST(off + length(lead) AS BIGINT) || ':' || CAST(off + length(lead) + length(text) + 10 AS BIGINT), ',' ORDER BY turn, role, text) FILTER (WHERE role = speaker), '') AS mask
+      FROM y GROUP BY conv_id, speaker, part)
+SELECT conv_id, speaker, part, CAST(coalesce(sum(size) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+       n_turns, length(body) AS n_chars, sha256(body) AS text_sha256, mask FROM z
+"""
+
+
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines cut from each document, and what is left as length and digest."""
     out = dedup_lines(_table(spark, sf_dir, "documents"))
@@ -107,10 +137,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_perspective_rotation": op3_perspective_rotation,
+    "op4_site_style_tree": op4_site_style_tree,
     "op5_line_dedup": op5_line_dedup,
     "op6_projected_neighbours": op6_projected_neighbours,
     "op7_secret_scan": op7_secret_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
+SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op3_perspective_rotation": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
