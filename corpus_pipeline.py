@@ -1,8 +1,84 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: five stages, each one operator over all that its predecessor kept.
 
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents (the last one its own), is
+written as Parquet, and is read again as the next stage's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import piece_lattice, scratch
+from palimpsest.llm.decontaminate import decontaminate
+from palimpsest.llm.jaccard_join import ngram_jaccard_join
+from palimpsest.llm.line_dedup import Settings as LineSettings
+from palimpsest.llm.line_dedup import dedup_lines
+from palimpsest.llm.queries import tokenizer_file
+from palimpsest.llm.toxicity import score_toxicity, train_toxicity
+from palimpsest.session import ready
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Toxicity from which a document is rejected.
+REJECT = 0.7
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*(c for c in COLUMNS if c != "n_chars"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays under the threshold; texts are unchanged."""
+    ready(spark)
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs.select(*COLUMNS), model).filter(F.col("score") < REJECT).drop("score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that stand on many sites but for each line's first document; n_chars follows the text."""
+    scratch.release(spark)
+    return _columns(dedup_lines(docs, settings=LineSettings(keep_first=True)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id."""
+    ready(spark)
+    scratch.release(spark)
+    classes = ngram_jaccard_join(docs)
+    lost = classes.filter("component_id != doc_id").select("doc_id")
+    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    scratch.release(spark)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every text, checked by decoding it."""
+    ready(spark)
+    scratch.release(spark)
+    settings = piece_lattice.Settings(tokenizer_file("piece_bpe_32k.model"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = piece_lattice.decode_pieces(piece_lattice.encode_pieces(docs, settings), settings)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark_free), ("SentencePiece", pieces)]
+
+#: A trained score and sampled pieces have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for _, stage in STAGES:
+        path = f"{scratch.base_dir(spark)}/palimpsest/{scratch.run_id()}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            scratch.delete(spark, before)
+        before = path
+    return docs

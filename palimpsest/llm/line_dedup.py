@@ -21,13 +21,16 @@ class Settings:
     """A line on ``min_sites`` sites or more is boilerplate, if it has ``min_chars`` code points or more.
 
     ``margin`` is the share of the threshold on either side within which sites are counted exactly; the
-    sketch's standard error at 2**lg_k registers is about 1.04 / sqrt(2**lg_k).
+    sketch's standard error at 2**lg_k registers is about 1.04 / sqrt(2**lg_k). With ``keep_first`` the
+    document of the smallest id keeps its boilerplate lines, so that no text that whole documents repeat is
+    lost from the corpus.
     """
 
     min_sites: int = 10
     min_chars: int = 12
     margin: float = 0.3
     lg_k: int = 10
+    keep_first: bool = False
 
 
 def _lines(text: Column) -> Column:
@@ -69,9 +72,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bad = boilerplate_lines(docs, text_col, site_col, settings)
     # by the id's hash, so that a null id finds its lines too
     at = F.xxhash64(F.col(f"`{id_col}`"))
-    lines = docs.select(at.alias("_row"), F.explode(_lines(F.col(text_col))).alias("_line")).filter(F.length(F.trim("_line")) >= settings.min_chars)
-    lines = lines.select("_row", _key(F.col("_line")).alias("line"))
-    hits = lines.join(bad, "line", "left_semi").distinct().groupBy("_row").agg(F.collect_set("line").alias("_bad"))
+    lines = docs.select(at.alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.explode(_lines(F.col(text_col))).alias("_line"))
+    lines = lines.filter(F.length(F.trim("_line")) >= settings.min_chars).select("_row", "_id", _key(F.col("_line")).alias("line"))
+    hits = lines.join(bad, "line", "left_semi").distinct()
+    if settings.keep_first:
+        hits = scratch.materialise(hits, "boilerplate_hits")
+        first = hits.groupBy("line").agg(F.min("_id").alias("_first"))
+        hits = hits.join(first, "line").filter(~F.col("_id").eqNullSafe(F.col("_first")))
+    hits = hits.groupBy("_row").agg(F.collect_set("line").alias("_bad"))
     joined = docs.withColumn("_row", at).join(hits, "_row", "left")
     kept = F.filter("_lines", lambda x: (F.length(F.trim(x)) < settings.min_chars) | ~F.array_contains("_bad", _key(x)))
     out = joined.withColumn("_lines", _lines(F.col(text_col))).withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept))

@@ -39,19 +39,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(spark, path)
+def run_id() -> str:
+    return uuid.uuid4().hex
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table so far. Only call it once all results built on them are written."""
     while _written:
-        _delete(spark, _written.pop())
+        delete(spark, _written.pop())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
