@@ -13,6 +13,7 @@ from palimpsest.llm import piece_lattice
 from palimpsest.llm.projected_ann import nearest_by_inner_product
 from palimpsest.llm.secret_scan import scan_secrets, spell
 from palimpsest.llm.site_style import extract_main_text
+from palimpsest.llm import token_files
 from palimpsest.llm.toxicity import held_out, score_toxicity, train_toxicity
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,6 +128,11 @@ SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS contain
 """
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = token_files.Settings(tokenizer_file("byte_bpe_50k.json"))
+    return token_files.token_files_round_trip(_table(spark, sf_dir, "documents"), settings).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -143,6 +149,7 @@ QUERIES = {
     "op6_projected_neighbours": op6_projected_neighbours,
     "op7_secret_scan": op7_secret_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
 }
 SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op3_perspective_rotation": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
