@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import let
 
-ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+_NAME = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?"""
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+ASSIGN = _NAME + _VALUE
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 #: Longest runs, so the least length can stand in the pattern.
 HEX = r"[0-9a-f]{16,}"
-VALUE = r"[A-Za-z0-9+/_.=-]+$"
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
 
 #: Character classes with the entropy in bits a window must reach; the first class that all of a candidate
@@ -44,8 +45,9 @@ _BLOCK = 256
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Array of (start, kind, end, hit) of all leftmost non-overlapping matches of ``pattern``."""
-    gaps, hits = (F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({pattern})"), F.lit(k)) for k in (1, 2))
-    steps = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+    # the end of the text ends the last gap, else the search would start anew at each of its characters
+    gaps, hits = (F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({pattern}|\\z)"), F.lit(k)) for k in (1, 2))
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x.hit != "")
     none = F.array().cast(f"array<{_SPAN}>")
 
     def add(state: Column, x: Column) -> Column:
@@ -121,7 +123,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.exists(base, lambda b: (b.start <= x.start) & (b.end >= x.end))
 
     def scan(t: Column) -> Column:
-        assign = F.filter(_spans(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x.hit, VALUE, 0)) >= 12)
+        assign = F.filter(_spans(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x.hit, f"^{_NAME}({_VALUE})$", 1)) >= 12)
         base = F.array_sort(F.concat(assign, _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
         return let(base, lambda b: F.struct(b.alias("base"), F.filter(_spans(t, candidate, 3), lambda x: ~inside(x, b) & ~allowed(x) & random(x)).alias("entropy")))
 
