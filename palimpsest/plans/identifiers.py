@@ -158,7 +158,7 @@ def source_checks(spark, d):
     return e.select("event_id", I.is_stale(F.col("ok"), F.col("ts"), now).alias("stale"), I.hours_since(F.col("ts"), now).alias("hours"))
 
 
-CHECK_SQL = "SELECT event_id, event_type = 'error' OR ts < TIMESTAMP '2024-01-20' - INTERVAL 7 DAYS AS stale, floor((epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts))) / 36 + 0.5) / 100 AS hours FROM events"
+CHECK_SQL = "SELECT event_id, event_type = 'error' OR ts < TIMESTAMP '2024-01-20' - INTERVAL 7 DAYS AS stale, sign(epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts))) * floor(abs(epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts))) / 36 + 0.5) / 100 AS hours FROM events"
 
 
 def reference_targets(spark, d):
