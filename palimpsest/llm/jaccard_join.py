@@ -7,12 +7,14 @@ plan, none of whose steps holds a group of documents in memory:
    the hash of its shingle set. Documents with equal sets are one node from here on.
 2. A second pass orders each set by (count class, hash), rarest first, and emits its prefix: a pair at or
    above the threshold must share a prefix shingle. Any total order is correct; the sketch makes it short.
-3. Prefix rows are sorted by shingle. Every row of a shingle's list is paired with the list's first row of
-   an admissible length (the hub), if length and positional filters allow: as many pairs as rows.
+3. Prefix rows are sorted by shingle and set size. Every row of a shingle's list is paired with the row
+   before it and with the list's first row of an admissible length (the hub), if length and positional
+   filters allow: at most twice as many pairs as rows.
 4. Pairs are made distinct and verified once: suffix filter, then the exact intersection.
-5. Components of verified links. Lists that hubs left in several components give their remaining
-   cross-component pairs, block by block, and those are verified too. A pair inside a component is never
-   needed for the classes, so a group of m near copies costs about m verifications, not m*m.
+5. Components of verified links. Lists whose rows are still in several components give their
+   cross-component pairs, block by block, and those are verified too. Of lists with the same rows only the
+   first in the global order is asked: a pair's first common shingle is never in a later one. A pair inside
+   a component is not needed for the classes, so m near copies cost about m verifications, not m*m.
 """
 
 from __future__ import annotations
@@ -169,12 +171,19 @@ def _hubs(t: Fraction):
             # rows of a list are sorted by n: the first with den * n_hub >= num * n
             hub = np.searchsorted(group * (1 << 32) + n, group * (1 << 32) + -(-num * n.astype(np.int64) // den))
             me = np.arange(len(sh))
-            has = (hub != me) & _possible(n[hub], pos[hub], n, pos, t)
-            alone = np.add.reduceat((~has).astype(np.int64), at)[group]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sh), pa.array(node), pa.array(n), pa.array(pos), pa.array(np.where(has, node[hub], 0), mask=~has), pa.array(np.where(has, n[hub], 0), mask=~has), pa.array(alone > 1)],
-                ["shingle", "node", "n", "pos", "hub", "hub_n", "several"],
-            )
+            first = np.zeros(len(sh), bool)
+            first[at] = True
+            before = np.where(first, me, me - 1)
+            near = ~first & _possible(n[before], pos[before], n, pos, t)
+            far = (hub != me) & (hub != before) & _possible(n[hub], pos[hub], n, pos, t)
+            with np.errstate(over="ignore"):
+                family = np.add.reduceat(fmix(node.view(U64) + n.astype(U64)), at).view(np.int64)
+            lead = pos[at]
+            best = np.lexsort((lead, family))
+            best = best[np.concatenate([[True], family[best][1:] != family[best][:-1]])]
+            keep = np.isin(group, best)
+            cols = [pa.array(sh), pa.array(node), pa.array(n), pa.array(pos), pa.array(node[before], mask=first), pa.array(n[before], mask=first), pa.array(near), pa.array(node[hub], mask=~far), pa.array(n[hub], mask=~far), pa.array(family[group]), pa.array(lead[group])]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in cols], ["shingle", "node", "n", "pos", "before", "before_n", "near", "hub", "hub_n", "family", "lead"])
 
     return run
 
@@ -319,27 +328,40 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     prefixes = docs.select("text").mapInArrow(_prefixes(n, sketch_bits, sent, t), "shingle bigint, node bigint, n int, pos int")
     lists = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    rows = scratch.materialise(lists.mapInArrow(_hubs(t), "shingle bigint, node bigint, n int, pos int, hub bigint, hub_n int, several boolean"), "lists")
+    rows = scratch.materialise(
+        lists.mapInArrow(_hubs(t), "shingle bigint, node bigint, n int, pos int, before bigint, before_n int, near boolean, hub bigint, hub_n int, family bigint, lead int"), "lists"
+    )
+    # of lists with the same rows the first in the global order: it has a pair's first common shingle if any has
+    best = rows.groupBy("family").agg(F.min_by("shingle", F.struct("lead", "shingle")).alias("shingle"))
+    rows = scratch.materialise(rows.join(best.select("shingle"), "shingle", "left_semi"), "families")
 
-    tried = rows.filter("hub is not null").select("hub", "hub_n", "node", "n").distinct()
+    close = rows.filter("near").select(F.col("before").alias("hub"), F.col("before_n").alias("hub_n"), "node", "n").distinct()
+    tried = close.unionByName(rows.filter("hub is not null").select("hub", "hub_n", "node", "n").distinct())
+    tried = scratch.materialise(tried.distinct(), "tried")
     links = _links(spark, docs, nodes, tried, n, t)
     labels = connected_components(links)
     by_node = nodes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("comp"))
     by_node = scratch.materialise(by_node, "labels")
 
-    # lists that the hubs did not join: some row's hub is another component's, or there were several first rows
+    # a list is in one component if every row is in that of the row before it
     me = by_node.withColumnRenamed("comp", "comp_me")
-    its = by_node.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("comp_hub"))
-    apart = tried.join(me, ["node", "n"]).join(its, ["hub", "hub_n"]).filter("comp_me != comp_hub").select("hub", "hub_n", "node", "n")
-    open_lists = rows.filter("several").select("shingle").unionByName(rows.filter("hub is not null").join(apart, ["hub", "hub_n", "node", "n"], "left_semi").select("shingle")).distinct()
+    its = by_node.select(F.col("node").alias("before"), F.col("n").alias("before_n"), F.col("comp").alias("comp_before"))
+    steps = rows.filter("before is not null").groupBy("before", "before_n", "node", "n").agg(F.lit(1).alias("one"))
+    apart = steps.join(me, ["node", "n"]).join(its, ["before", "before_n"]).filter("comp_me != comp_before").select("before", "before_n", "node", "n")
+    apart = scratch.materialise(apart, "apart")
+    open_lists = scratch.materialise(rows.join(apart, ["before", "before_n", "node", "n"], "left_semi").select("shingle").distinct(), "open_lists")
     left = rows.join(open_lists, "shingle", "left_semi").select("shingle", "node", "n", "pos").join(by_node, ["node", "n"])
     left = left.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     more = left.select("shingle", "node", "n", "pos", "comp").mapInArrow(_cross(t), "hub bigint, hub_n int, node bigint, n int")
     more = more.distinct().join(tried, ["hub", "hub_n", "node", "n"], "left_anti")
     more = _links(spark, docs, nodes, more, n, t)
 
+    # the second graph has the first one's components as vertices
+    by_rep = nodes.join(by_node, ["node", "n"]).select("rep", "comp")
+    ends = more.join(by_rep.select(F.col("rep").alias("u"), F.col("comp").alias("cu")), "u").join(by_rep.select(F.col("rep").alias("v"), F.col("comp").alias("cv")), "v")
+    joined = connected_components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    labels = by_rep.join(joined.withColumnRenamed("u", "comp"), "comp", "left").select(F.col("rep").alias("u"), F.coalesce("component", "comp").alias("component"))
     every = links.unionByName(more)
-    labels = connected_components(every)
     degree = every.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = nodes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").join(degree, "rep", "left")
     classes = classes.select("node", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
