@@ -60,9 +60,9 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     scratch.release(spark)
     settings = piece_lattice.Settings(tokenizer_file("piece_bpe_32k.model"))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = piece_lattice.decode_pieces(piece_lattice.encode_pieces(docs, settings), settings)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("lossless"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out = piece_lattice.decode_pieces(piece_lattice.encode_pieces(docs, settings).drop("text"), settings)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark_free), ("SentencePiece", pieces)]

@@ -22,10 +22,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.wordhash import U64, fmix, powers
+from palimpsest.llm.wordhash import U64, fmix, powers, slices
 
 _BLANK, _MASKED = "▁", "\ud800"  # a lone surrogate stands for a literal U+2581 within a chunk
 _CHUNK = re.compile(r"\n| *[^ \n]+| +")
@@ -42,7 +43,7 @@ class Settings:
     model: str
     alpha: float = 1.0
     seed: int = 1
-    remember: int = 400_000
+    remember: int = 150_000
 
 
 #: An id from here on stands for a character that its UTF-8 bytes spell.
@@ -142,7 +143,7 @@ class _Lattices:
 
     def clear(self) -> None:
         self.last: dict[str, int] = {}
-        self.first, self.cum, self.piece, self.back = _Growing(np.int64), _Growing(np.float64), _Growing(np.int32), _Growing(np.int32)
+        self.first, self.cum, self.piece, self.back = _Growing(np.int64), _Growing(np.float32), _Growing(np.int32), _Growing(np.int32)
         self.first.add(np.zeros(1, np.int64))
 
     def add(self, chunks: list[str]) -> None:
@@ -269,24 +270,18 @@ def _spell(ids: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> tuple[np.ndarr
     return out, np.concatenate([[0], end])[bounds]
 
 
-def _parts(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    i, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t or "")
-        if held >= limit:
-            yield i, k + 1
-            i, held = k + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
+def _parts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` in all; a larger row stands alone."""
+    return slices(np.concatenate([[0], np.cumsum(sizes)]), limit)
 
 
 def _encode(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _Lattices(Vocabulary(s.model, s.alpha), s.remember)
         for batch in batches:
-            texts, keys = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            for i, j in _parts(texts):
-                ids, bounds = sample([t or "" for t in texts[i:j]], keys[i:j], lattices, s.seed)
+            texts, keys = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            for i, j in _parts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1 << 20):
+                ids, bounds = sample([t or "" for t in texts.slice(i, j - i).to_pylist()], keys[i:j], lattices, s.seed)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
                 rest = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*rest.columns[:-2], lists], [*rest.schema.names[:-2], "ids"])
@@ -300,11 +295,12 @@ def _decode(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(s.model, s.alpha)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            lengths = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            for i, j in _parts(lengths, 1 << 19):
+                part = batch.slice(i, j - i)
                 lists = part.column(part.num_columns - 1)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
-                per = np.array([0 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+                per = lengths[i:j].astype(np.int64)
                 size = v.size[ids]
                 end = np.cumsum(size)
                 total = int(end[-1]) if len(end) else 0
