@@ -11,8 +11,10 @@ plan, none of whose steps holds a group of documents in memory:
    before it and with the list's first row of an admissible length (the hub), if length and positional
    filters allow: at most twice as many pairs as rows.
 4. Pairs are made distinct and verified once: suffix filter, then the exact intersection.
-5. Components of verified links. Lists whose rows are still in several components give their
-   cross-component pairs, block by block, and those are verified too. Of lists with the same rows only the
+5. Components of verified links. In lists whose rows are still in several components every row is paired
+   with the few rows that stand in most lists: a text that many edited copies go back to shares all its
+   shingles with some copy, a copy has shingles of its own.
+6. Lists that are open even then give all their cross-component pairs, block by block. Of lists with the same rows only the
    first in the global order is asked: a pair's first common shingle is never in a later one. A pair inside
    a component is not needed for the classes, so m near copies cost about m verifications, not m*m.
 """
@@ -39,6 +41,10 @@ SKETCH_BITS = 22
 _CHUNK = 1 << 16
 #: Partners of one hub that a single sort group verifies; more are dealt over salts.
 HUB_SPLIT = 256
+#: Rows of a list that all others are paired with before any exhaustive pairing.
+CENTRAL = 4
+#: Rows of the table of roles (40 bytes each) up to which it is broadcast instead of shuffling texts to it.
+BROADCAST_ROLES = 1 << 20
 #: Bits of the filter that keeps documents without a candidate out of the verifying shuffle.
 FILTER_BITS = 23
 
@@ -212,6 +218,31 @@ def _cross(t: Fraction, block: int = 1024):
     return run
 
 
+def _central(t: Fraction, hubs: int):
+    """Pairs of a list's rows with the rows of other components that stand in most lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, "shingle"):
+            sh, node, n, pos, comp, weight = (g[c] for c in ("shingle", "node", "n", "pos", "comp", "weight"))
+            at = np.append(_starts(sh), len(sh))
+            a, b = [], []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                if j - i < 2 or (comp[i:j] == comp[i]).all():
+                    continue
+                for h in i + np.argsort(-weight[i:j], kind="stable")[:hubs]:
+                    x = np.arange(i, j)
+                    x = x[comp[x] != comp[h]]
+                    a.append(np.minimum(x, h))  # rows of a list are sorted by size
+                    b.append(np.maximum(x, h))
+            if a:
+                x, y = np.concatenate(a), np.concatenate(b)
+                ok = _possible(n[x], pos[x], n[y], pos[y], t)
+                x, y = x[ok], y[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(n[x]), pa.array(node[y]), pa.array(n[y])], ["hub", "hub_n", "node", "n"])
+
+    return run
+
+
 def _bitmap(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(1 << bits, bool)
@@ -292,17 +323,43 @@ def _links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFr
     roles = salted.select(F.col("a").alias("hub"), "salt", F.lit(1).alias("kind"), F.col("b").alias("id")).unionByName(
         count.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("id"))
     )
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = ids.mapInArrow(_bitmap(FILTER_BITS), "bits binary").repartition(1).mapInArrow(_or_bitmaps, "bits binary").collect()
-    if bits:
+    docs = docs.select(F.col("doc_id").alias("id"), "text")
+    if pairs.count() * 2 <= BROADCAST_ROLES:  # a role for every partner, and fewer for hubs
+        texts = docs.join(F.broadcast(roles), "id")
+    else:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        bits = ids.mapInArrow(_bitmap(FILTER_BITS), "bits binary").repartition(1).mapInArrow(_or_bitmaps, "bits binary").collect()
         sent = spark.sparkContext.broadcast(bytes(bits[0][0]))
-        docs = docs.mapInArrow(_wanted(sent, FILTER_BITS), docs.schema)
-    texts = roles.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+        texts = docs.mapInArrow(_wanted(sent, FILTER_BITS), docs.schema).join(roles, "id")
     parts = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
     links = parts.select("hub", "kind", F.col("id").alias("doc_id"), "text").mapInArrow(_verify(n, t), "u bigint, v bigint")
     return scratch.materialise(links, "links")
 
 
+def _open_pairs(rows: DataFrame, by_node: DataFrame, emit) -> DataFrame:
+    """Pairs that ``emit`` makes of the lists whose rows are in several components."""
+    # a list is in one component if every row is in that of the row before it
+    me = by_node.withColumnRenamed("comp", "comp_me")
+    its = by_node.select(F.col("node").alias("before"), F.col("n").alias("before_n"), F.col("comp").alias("comp_before"))
+    steps = rows.filter("before is not null").groupBy("before", "before_n", "node", "n").agg(F.lit(1).alias("one"))
+    apart = steps.join(me, ["node", "n"]).join(its, ["before", "before_n"]).filter("comp_me != comp_before").select("before", "before_n", "node", "n")
+    apart = scratch.materialise(apart, "apart")
+    open_lists = scratch.materialise(rows.join(apart, ["before", "before_n", "node", "n"], "left_semi").select("shingle").distinct(), "open_lists")
+    weight = rows.groupBy("node", "n").agg(F.count("*").cast("int").alias("weight"))
+    left = rows.join(open_lists, "shingle", "left_semi").select("shingle", "node", "n", "pos").join(by_node, ["node", "n"]).join(weight, ["node", "n"])
+    left = left.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return left.select("shingle", "node", "n", "pos", "comp", "weight").mapInArrow(emit, "hub bigint, hub_n int, node bigint, n int")
+
+
+def _join_components(nodes: DataFrame, by_node: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``links``, and the components of ``by_node`` after them: a graph whose vertices are the components so far."""
+    by_rep = nodes.join(by_node, ["node", "n"]).select("rep", "comp")
+    ends = links.join(by_rep.select(F.col("rep").alias("u"), F.col("comp").alias("cu")), "u").join(by_rep.select(F.col("rep").alias("v"), F.col("comp").alias("cv")), "v")
+    joined = connected_components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    now = by_node.join(joined.withColumnRenamed("u", "comp"), "comp", "left").select("node", "n", F.coalesce("component", "comp").alias("comp"))
+    return links, scratch.materialise(now, "labels")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, threshold: Fraction = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """Classes of documents linked by shingle Jaccard similarity: doc_id, n_shingles, component_id, n_links.
 
@@ -343,27 +400,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_node = nodes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("comp"))
     by_node = scratch.materialise(by_node, "labels")
 
-    # a list is in one component if every row is in that of the row before it
-    me = by_node.withColumnRenamed("comp", "comp_me")
-    its = by_node.select(F.col("node").alias("before"), F.col("n").alias("before_n"), F.col("comp").alias("comp_before"))
-    steps = rows.filter("before is not null").groupBy("before", "before_n", "node", "n").agg(F.lit(1).alias("one"))
-    apart = steps.join(me, ["node", "n"]).join(its, ["before", "before_n"]).filter("comp_me != comp_before").select("before", "before_n", "node", "n")
-    apart = scratch.materialise(apart, "apart")
-    open_lists = scratch.materialise(rows.join(apart, ["before", "before_n", "node", "n"], "left_semi").select("shingle").distinct(), "open_lists")
-    left = rows.join(open_lists, "shingle", "left_semi").select("shingle", "node", "n", "pos").join(by_node, ["node", "n"])
-    left = left.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    more = left.select("shingle", "node", "n", "pos", "comp").mapInArrow(_cross(t), "hub bigint, hub_n int, node bigint, n int")
-    more = more.distinct().join(tried, ["hub", "hub_n", "node", "n"], "left_anti")
-    more = _links(spark, docs, nodes, more, n, t)
-
-    # the second graph has the first one's components as vertices
-    by_rep = nodes.join(by_node, ["node", "n"]).select("rep", "comp")
-    ends = more.join(by_rep.select(F.col("rep").alias("u"), F.col("comp").alias("cu")), "u").join(by_rep.select(F.col("rep").alias("v"), F.col("comp").alias("cv")), "v")
-    joined = connected_components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-    labels = by_rep.join(joined.withColumnRenamed("u", "comp"), "comp", "left").select(F.col("rep").alias("u"), F.coalesce("component", "comp").alias("component"))
+    more = None
+    for emit in (_central(t, CENTRAL), _cross(t)):
+        found = _open_pairs(rows, by_node, emit).join(tried, ["hub", "hub_n", "node", "n"], "left_anti").distinct()
+        found = scratch.materialise(found, "open_pairs")
+        tried = tried.unionByName(found)
+        joined, by_node = _join_components(nodes, by_node, _links(spark, docs, nodes, found, n, t))
+        more = joined if more is None else more.unionByName(joined)
+    classes = nodes.join(by_node.withColumnRenamed("comp", "component"), ["node", "n"])
     every = links.unionByName(more)
     degree = every.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = nodes.join(labels.withColumnRenamed("u", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select("node", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = classes.join(degree, "rep", "left").select("node", "n", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = info.join(classes, ["node", "n"], "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
