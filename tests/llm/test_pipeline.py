@@ -16,7 +16,7 @@ def make(tmp_path, spark):
         labels.append((i, 0, int(i % 6 == 0)))
         docs.append([i, body, "en", f"src{i % 12}"])
     shared = text(12)
-    for i in range(1, 40, 3):
+    for i in range(1, 40):
         docs[i][1] += "\n" + shared
     docs[101][1] = docs[100][1]
     docs[103][1] = docs[103][1] + " " + items[1][1]
