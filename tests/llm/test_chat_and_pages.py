@@ -38,3 +38,21 @@ def test_site_style_tree_cuts_templates(spark):
     assert got[5] == got[103] and got[5].endswith("Story 5 of many\nmore 35")
     assert got[100] == "All rights are ours" and got[101] == got[102] == ""
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_site_style_tree_cuts_inside_articles(spark):
+    body = "<article><h1>Title {i}</h1><p>Story {i} of many<br>goes on</p><hr><div class='zq'><p>Read our other stories</p></div><p>more {j}</p><p>Tell all your friends</p></article>"
+    page = lambda host, i: (i, f"http://{host}.example/{i}", body.format(i=i, j=i * 7))
+    want = lambda i: [f"Title {i}", f"Story {i} of many goes on", f"more {i * 7}"]
+    rows = [page("large", i) for i in range(20)] + [page("small", i) for i in range(100, 103)] + [page("one", 200)]
+    # copies of one article in other frames, and near copies, are no template
+    rows += [(300 + i, f"http://copy.example/{i}", f"<body><div>frame {i}</div><article><p>the same article</p><p>in both</p></article>") for i in range(2)]
+    rows += [(400 + i, f"http://near.example/{i}", f"<article>{''.join(f'<p>part {k}</p>' for k in range(60))}<p>end {i}</p></article>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in extract_main_text(df).collect()}
+    assert all(got[i] == want(i) for i in range(20))
+    # few pages judge branches, not lines; one page judges nothing
+    assert all(got[i] == [*want(i), "Tell all your friends"] for i in range(100, 103))
+    assert got[200] == [*want(200)[:2], "Read our other stories", want(200)[2], "Tell all your friends"]
+    assert got[300] == got[301] == ["the same article", "in both"]
+    assert got[401] == [*(f"part {k}" for k in range(60)), "end 1"]
