@@ -19,6 +19,8 @@ from palimpsest.llm.toxicity import score_toxicity, train_toxicity
 from palimpsest.session import ready
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Sites from which a line of 60 code points or more, and a shorter one, is boilerplate in texts of unlike length.
+FAR_SITES = (2, 3)
 #: Toxicity from which a document is rejected.
 REJECT = 0.7
 
@@ -35,9 +37,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sites but for each line's first document; n_chars follows the text."""
+    """All documents, without the lines that stand on many sites, or on a few in texts too unlike to be copies, but for each line's first document; n_chars follows the text."""
     scratch.release(spark)
-    return _columns(dedup_lines(docs, settings=LineSettings(keep_first=True)))
+    return _columns(dedup_lines(docs, settings=LineSettings(keep_first=True, far_sites=FAR_SITES)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,10 @@ class Settings:
     sketch's standard error at 2**lg_k registers is about 1.04 / sqrt(2**lg_k). With ``keep_first`` the
     document of the smallest id keeps its boilerplate lines, so that no text that whole documents repeat is
     lost from the corpus.
+
+    ``far_sites`` (for lines of ``far_chars`` code points or more, and for shorter ones) are the sites from
+    which a line is boilerplate if it also stands in texts of unlike length, the shortest below ``alike`` of
+    the longest: such texts are no copies of each other, which a later stage is to find whole.
     """
 
     min_sites: int = 10
@@ -31,6 +35,9 @@ class Settings:
     margin: float = 0.3
     lg_k: int = 10
     keep_first: bool = False
+    far_sites: tuple[int, int] | None = None
+    far_chars: int = 60
+    alike: float = 0.75
 
 
 def _lines(text: Column) -> Column:
@@ -42,8 +49,11 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", settings: Settings = Settings()) -> DataFrame:
-    """(line) hashes of lines that stand on at least ``min_sites`` distinct sites. Rows without a site count for none."""
+    """(line) hashes of lines that stand on at least ``min_sites`` distinct sites, or on the ``far_sites`` in
+    texts of unlike length. Rows without a site count for none."""
     s = settings
+    if s.far_sites:
+        return _unlike_or_many(docs, text_col, site_col, s)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(site_col).cast("string").alias("site")).filter("site is not null")
     rows = rows.select("site", F.explode(_lines(F.col("text"))).alias("line")).filter(F.length(F.trim("line")) >= s.min_chars)
     rows = rows.select("site", _key(F.col("line")).alias("line"))
@@ -59,6 +69,25 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "
     return scratch.materialise(sure.unionByName(exact.filter(F.col("sites") >= s.min_sites).select("line")), "boilerplate")
 
 
+def _unlike_or_many(docs: DataFrame, text_col: str, site_col: str, s: Settings) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(text.alias("text"), F.length(text).alias("size"), F.col(site_col).cast("string").alias("site")).filter("site is not null")
+    rows = rows.select("site", "size", F.explode(_lines(F.col("text"))).alias("line"))
+    rows = rows.select("site", "size", F.length(F.trim("line")).alias("chars"), _key(F.col("line")).alias("line")).filter(F.col("chars") >= s.min_chars)
+    extremes = [F.min("site").alias("a"), F.max("site").alias("b"), F.max("chars").alias("chars"), F.min("size").alias("least"), F.max("size").alias("most")]
+    spread = rows.groupBy("line").agg(*extremes)
+    far = F.when(F.col("least") < F.col("most") * s.alike, F.when(F.col("chars") >= s.far_chars, s.far_sites[0]).otherwise(s.far_sites[1]))
+    spread = spread.select("line", "a", "b", F.least(F.coalesce(far, F.lit(s.min_sites)), F.lit(s.min_sites)).alias("needed"))
+    many = scratch.materialise(spread.filter((F.col("a") != F.col("b")) | (F.col("needed") <= 1)).select("line", "needed"), "lines_on_two_sites")
+    shared = rows.select("line", "site").join(many, "line")
+    sketch = shared.groupBy("line").agg(F.max("needed").alias("needed"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(s.lg_k))).alias("sites"))
+    sketch = scratch.materialise(sketch.filter(F.col("sites") >= F.col("needed") * (1 - s.margin)), "line_spread")
+    clear = F.col("sites") > F.col("needed") * (1 + s.margin)
+    near = shared.join(sketch.filter(~clear).select("line"), "line", "left_semi")
+    exact = near.groupBy("line", "needed", "site").agg(F.lit(1).alias("one")).groupBy("line", "needed").agg(F.count("*").alias("sites"))
+    return scratch.materialise(sketch.filter(clear).select("line").unionByName(exact.filter("sites >= needed").select("line")), "boilerplate")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", settings: Settings = Settings()) -> DataFrame:
     """``docs`` with boilerplate lines cut out of ``text_col``, and counts ``n_lines`` and ``n_removed``.
 

@@ -55,3 +55,24 @@ def test_registered_sql(spark, tmp_path):
     got = QUERIES["op5_line_dedup"](spark, str(tmp_path))
     want = con.sql(SQL["op5_line_dedup"])
     assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_few_sites_in_unlike_texts_equal_brute_force(spark):
+    rng = random.Random(4)
+    common = [f"common {i} " + "x" * (60 * (i % 2)) for i in range(100, 300)]
+    rows = [(i, "\n".join([*rng.sample(common, rng.randint(1, 3)), *(f"own line {rng.random()}" for _ in range(rng.randint(0, 4)))]), f"site{rng.randrange(14)}") for i in range(300)]
+    rows += [(1000 + i, "the only line of a copied text of some length, which is left for the join", f"site{i}") for i in range(5)]
+    s = Settings(min_chars=8, far_sites=(2, 3))
+    seen = {}
+    for _, text, site in rows:
+        for line in text.split("\n"):
+            seen.setdefault(line.strip(), []).append((site, len(text)))
+    bad = set()
+    for line, at in seen.items():
+        sites, sizes = len({a for a, _ in at}), [n for _, n in at]
+        if sites >= 10 or (min(sizes) < 0.75 * max(sizes) and sites >= (2 if len(line) >= 60 else 3)):
+            bad.add(line)
+    assert 20 < len(bad) < 200
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = sorted((i, "\n".join(x for x in t.split("\n") if x.strip() not in bad)) for i, t, _ in rows)
+    assert sorted((r.doc_id, r.text) for r in dedup_lines(df, settings=s).collect()) == want

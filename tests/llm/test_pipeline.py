@@ -48,3 +48,16 @@ def test_stages_one_by_one(spark, tmp_path):
     free = {r.doc_id for r in seen["benchmark decontamination"]}
     assert single - free == {103}
     assert {r.doc_id for r in seen["SentencePiece"]} == free and all(r.lossless for r in seen["SentencePiece"])
+
+
+def test_line_on_few_sites(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    docs = [[i, text(rng.randint(40, 90)), "en", f"src{i % 12}"] for i in range(240)]
+    shared = text(12)
+    for i in range(1, 40, 3):  # 13 documents of 4 sites
+        docs[i][1] += "\n" + shared
+    docs[101][1] = docs[100][1]
+    want = {d[0]: d[1] if d[0] == 1 else d[1].removesuffix("\n" + shared) for d in docs}
+    df = spark.createDataFrame([tuple(d) for d in docs], "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id: r.text for r in P.line_dedup(spark, df, "").collect()} == want
