@@ -23,18 +23,29 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
 
-#: Character classes with the entropy in bits a window must reach; the first class that all of a candidate
-#: belongs to counts.
-CLASSES = (("hex", "^[0-9a-fA-F]+$", 3.0), ("upper", "^[A-Z0-9]+$", 3.5), ("alnum", "^[A-Za-z0-9]+$", 3.9), ("base64", "^[A-Za-z0-9+/_=-]+$", 4.1))
-#: Values that look random but are public: digests of nothing, filler, identifiers of documents.
-ALLOW = (r"^(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})$", r"^(?i:d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709)$", r"(?i)example|placeholder|changeme|xxxx", r"^[A-Za-z]+$", r"^[0-9]+$")
+#: Character classes with the entropy in bits that a full window, and one of a candidate shorter than that, must
+#: reach: about the first percentile of random strings of 20 and of 16 characters. The first class that all of a
+#: candidate belongs to counts.
+CLASSES = (("hex", "^[0-9a-fA-F]+$", 2.90, 2.67), ("upper", "^[A-Z0-9]+$", 3.40, 3.14), ("alnum", "^[A-Za-z0-9]+$", 3.64, 3.32), ("base64", "^[A-Za-z0-9+/_=-]+$", 3.64, 3.32))
+#: Values that look random but are public: digests of nothing, filler, identifiers of documents, words and numbers in a chain.
+ALLOW = (
+    r"^(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})$",
+    r"^(?i:d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709)$",
+    r"^(?i:(?:(?:example|placeholder|changeme|x{4,}|your|my|key|secret|token|password|api)[-_/=]*)+[0-9]{0,4}=*)$",
+    r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
+    r"^[A-Za-z]+$",
+    r"^[0-9]+$",
+    r"^[-_/]*(?:[A-Za-z]?[a-z]{0,15}|[0-9]{1,8})(?:[-_/]+(?:[A-Za-z]?[a-z]{0,15}|[0-9]{1,8}))+$",
+)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Width of the window, shortest candidate, classes with thresholds, and allow-list."""
+    """Width of the window, shortest candidate (its window is as wide if the candidate has no full one), classes
+    with thresholds, and allow-list."""
 
     window: int = 20
+    shortest: int = 16
     classes: tuple = CLASSES
     allow: tuple = field(default=ALLOW)
 
@@ -102,19 +113,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: doc_id, base and entropy spans as arrays of (start, kind, end, hit).
 
     Base kinds: 0 assign, 1 access, 2 hex, each leftmost and non-overlapping within its kind. ``entropy``
-    holds candidate strings, kind 3, of ``window`` characters or more in which some window reaches the
+    holds candidate strings, kind 3, of ``shortest`` characters or more in which some window reaches the
     entropy of the candidate's class and that no allow-list pattern matches; a string inside a base span
     is not repeated. Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated
     rows are scanned each for itself; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    candidate = CANDIDATE % settings.window
+    candidate = CANDIDATE % settings.shortest
 
     def random(x: Column) -> Column:
+        full = F.length(x.hit) >= settings.window
         bits = F.lit(99.0)
-        for _, pattern, least in reversed(settings.classes):
-            bits = F.when(x.hit.rlike(pattern), F.lit(least)).otherwise(bits)
-        return _peak(x.hit, settings.window) >= bits
+        for _, pattern, least, least_short in reversed(settings.classes):
+            bits = F.when(x.hit.rlike(pattern), F.when(full, F.lit(least)).otherwise(F.lit(least_short))).otherwise(bits)
+        return F.when(full, _peak(x.hit, settings.window)).otherwise(_peak(x.hit, settings.shortest)) >= bits
 
     def allowed(x: Column) -> Column:
         return F.coalesce(*(F.when(x.hit.rlike(p), True) for p in settings.allow), F.lit(False))

@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -48,3 +50,23 @@ def test_peak_is_the_largest_window(spark):
 
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_random_strings_are_found_at_every_length(spark):
+    rng = random.Random(6)
+    alnum = string.ascii_letters + string.digits
+    rows = [((kind, n), start + "".join(rng.choice(chars) for _ in range(n))) for kind, chars, start in (("alnum", alnum, ""), ("base64", alnum + "+/", ""), ("sk", alnum, "sk_live_")) for n in (16, 20, 24, 32, 40) for _ in range(200)]
+    df = spark.createDataFrame([(i, f"key {x} end") for i, (_, x) in enumerate(rows)], "doc_id bigint, text string")
+    found = {}
+    for r in scan_secrets(df).select("doc_id", F.size("entropy").alias("n")).collect():
+        found.setdefault(rows[r.doc_id][0], []).append(r.n > 0)
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    print(recall)
+    # letters only are taken for a word: (52 / 62) ** 16 is 0.06
+    assert all(v >= (0.88 if k[1] == 16 else 0.93) for k, v in recall.items()), recall
+
+
+def test_filler_is_the_whole_candidate(spark):
+    rows = [(1, "Zq8vT1xR5mKexample0pL7wB3nY9cD2"), (2, "example_placeholder_changeme_1234"), (3, "docs/chapter-12/some_long_title"), (4, "your-api-key-xxxxxxxxxxxxxxxx")]
+    got = {r.doc_id: len(r.entropy) for r in scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0}
