@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(u, component) for every vertex that has an edge; the component is its smallest vertex.
 
     ``edges`` has two bigint columns u and v in any order; loops and repeats are ignored. An empty table
-    gives an empty table.
+    gives an empty table. Raises if the edges still change after ``max_rounds``.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
     now = scratch.materialise(now, "edges")
@@ -87,5 +87,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        if shares > 1:
+            raise RuntimeError(f"components still changed after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("u"), F.col("v").alias("component"))
     return now.select("u", F.col("v").alias("component")).unionByName(roots).distinct()

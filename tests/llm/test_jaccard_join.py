@@ -52,3 +52,15 @@ def test_empty_and_null_ids(spark):
     assert ngram_jaccard_join(empty, sketch_bits=16).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f")], "doc_id bigint, text string")
     assert [tuple(r)[:3] for r in ngram_jaccard_join(rows, sketch_bits=16).collect()] == [(7, 2, 7), (7, 2, 7)]
+
+
+def test_components_raise_when_rounds_end(spark, monkeypatch):
+    import pytest
+
+    from palimpsest.llm import components
+
+    monkeypatch.setattr(components, "SHARE", 5)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u bigint, v bigint")
+    with pytest.raises(RuntimeError):
+        components.connected_components(edges, max_rounds=1)
+    assert {r.component for r in components.connected_components(edges).collect()} == {0}
