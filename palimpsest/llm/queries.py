@@ -129,7 +129,7 @@ SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS contain
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = token_files.Settings(tokenizer_file("byte_bpe_50k.json"))
+    settings = token_files.Settings("byte_bpe_50k.json")
     return token_files.token_files_round_trip(_table(spark, sf_dir, "documents"), settings).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

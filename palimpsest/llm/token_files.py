@@ -1,234 +1,339 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-An id is coded in two steps. First a flag tells whether it is the id that last followed the two ids before
-it (order 2) or, where that context is new, the one id before it (order 1); the flag's probability mixes an
-order-0, an order-1 and an order-2 counter with weights that learn as they code. Else its bit length is coded
-by adaptive order-0 counts and its remaining bits as they are. All arithmetic is on integers, so a file reads
-back on any machine.
+Every id is predicted by three models that learn as they code. Order 2 names the id that last followed the
+two ids before it, with the length of its run of right guesses. Order 1 keeps the ids that most often
+followed the one before, with counts. Order 0 counts the block's ids. Their shares of the probability are
+mixed by weights that are learnt for each state of confidence: the order-2 guess and the order-1 followers
+take their shares of one interval (an id that both name gets the sum), and what is left belongs to order 0,
+within which an id's share is its count besides a uniform start. One id is thus one step of the arithmetic
+coder, or two where order 0 has to spell it. All arithmetic is on integers, so a file reads back on any
+machine.
 
 Models and coder start anew in each block, which lets numpy code hundreds of blocks side by side: one step
-codes the t-th id of every block. A segment (one row of the written table) holds whole documents, its blocks
-and their CRC-32 sums, and can be read alone.
+codes the t-th id of every block. Order-0 counts enter at steps that double up to ``_REFRESH`` ids. A segment
+(one row of the written table) holds whole documents, the sorted list of the ids in it, its blocks and their
+CRC-32 sums, and can be read alone. Ids are any unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scratch
+from palimpsest.llm.wordhash import binary_parts, slices
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Tokenizer file, id after each document, ids of a block and (about) of a segment, chunks remembered by a task."""
+    """Tokenizer file (a path, or the name of a public vocabulary), id after each document, ids of a block and
+    (about) of a segment, chunks remembered by a worker, bytes of text tokenized at once."""
 
     tokenizer: str
     end_id: int = 0
-    block: int = 1024
-    segment: int = 1 << 21
-    remember: int = 500_000
+    block: int = 16_384
+    segment: int = 1 << 23
+    remember: int = 400_000
+    batch_bytes: int = 4 << 20
 
 
-MAGIC = b"PTF1"
+MAGIC = b"PTF2"
 _TOP, _KEEP, _MASK = 62, 46, (1 << 62) - 1
-_SLOTS, _COUNTERS = 2048, 64
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Integer logistic tables: squash over -2047..2047 and its inverse over 12-bit probabilities."""
-    knots = [1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4022, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094]
-    x = np.arange(-2047, 2048) + 2048
-    at, w = x >> 7, x & 127
-    k = np.array([*knots, 4095])
-    squash = (k[at] * (128 - w) + k[at + 1] * w + 64) >> 7
-    return np.clip(squash, 1, 4095), np.searchsorted(squash, np.arange(4096)).clip(0, 4094) - 2047
-
-
-_SQUASH, _STRETCH = _tables()
+#: Weights and shares add up to 1 << _SCALE.
+_SCALE, _RATE = 15, 5
+#: A follower is its count above the dense id of 24 bits.
+_ID_BITS, _COUNT_CAP = 24, 100
+_ONE, _ID = 1 << _ID_BITS, (1 << _ID_BITS) - 1
+_SLOTS1, _SLOTS2, _FOLLOWERS = 4096, 8192, 3
+#: Order-0 counts weigh so much against the uniform start, and are taken in at least every so many ids.
+_GAIN, _REFRESH = 4, 1024
+#: Cells of the order-0 tables of blocks coded side by side.
+_CELLS, _FINE = 1 << 24, 64
+#: Steps between looks at the room left for coded digits, of which a step writes four at most.
+_ROOM = 64
+
+_STATE1 = np.array([0, 1, *[2] * 3, *[3] * 400], np.int32)
+_STATE2 = np.array([0, 4, *[8] * 2, *[12] * 200], np.int32)
+_SHARE = np.zeros((_COUNT_CAP + 30, _FOLLOWERS * (_COUNT_CAP + 30)), np.int32)
+_SHARE[:, 1:] = (np.arange(len(_SHARE))[:, None] << _SCALE) // np.arange(1, _SHARE.shape[1])
+_SHARE = np.minimum(_SHARE, 1 << _SCALE)
 
 
 class _Model:
-    """State of ``n`` blocks side by side; lanes are sorted by length, so those still open are the first ``k``."""
-
-    def __init__(self, n: int):
-        self.last1, self.last2 = np.zeros((n, _SLOTS), np.int32), np.zeros((n, _SLOTS), np.int32)
-        self.hit = [np.full((n, c), 1024, np.int32) for c in (1, _COUNTERS, _COUNTERS)]
-        self.w = [np.full(n, 1 << 14, np.int64) for _ in range(3)]
-        self.cum = np.tile(np.arange(19, dtype=np.int64), (n, 1))
-        self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    """State of ``n`` blocks side by side over ``v`` dense ids; those still open are the first ``k``."""
+
+    def __init__(self, n: int, v: int):
+        self.n, self.v = n, v
+        # an empty place holds an id that no segment has, with a count of none
+        self.one = np.full((n * _SLOTS1, _FOLLOWERS), _ID, np.int32)
+        self.two = np.full(n * _SLOTS2, _ID, np.int32)
+        self.w1, self.w2 = np.full(n * 16, 1 << (_SCALE - 2), np.int32), np.full(n * 16, 1 << (_SCALE - 2), np.int32)
         self.lane = np.arange(n)
-
-    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(guessed id or -1, 12-bit probability that it is right)."""
+        self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.count = np.zeros(n * v, np.int32)
+        self.width = -(-v // _FINE) * _FINE
+        self.start = np.zeros((n, self.width + 1), np.int32)
+        self.start[:, :] = np.minimum(np.arange(self.width + 1), v)
+        self.total, self.fresh, self.next = v, 0, 16
+
+    def refresh(self, t: int, seen: np.ndarray, k: int) -> None:
+        """Take the ids of steps up to ``t`` into the order-0 counts; ``seen`` holds the steps since the last time."""
+        np.add.at(self.count, (self.lane[:k] * self.v + seen[:, :k]).ravel(), 1)
+        table = self.count.reshape(self.n, self.v)
+        start = self.start[:k]
+        np.cumsum(table[:k, : self.v], axis=1, dtype=np.int32, out=start[:, 1 : self.v + 1])
+        start[:, self.v + 1 :] = start[:, self.v : self.v + 1]
+        start *= _GAIN
+        start += np.minimum(np.arange(self.width + 1, dtype=np.int32), self.v)
+        self.total, self.fresh = t * _GAIN + self.v, t
+        self.next = t + min(t, _REFRESH)
+
+    def predict(self, k: int):
+        """(order-2 guess, its share, followers' ids and shares (3, k)) of the next id in every open block."""
         lane, a, b = self.lane[:k], self.prev[:k], self.prev2[:k]
-        mixed = a * 0x2545F + b * 0x9E3B1
-        self.s1, self.s2 = a & (_SLOTS - 1), (mixed ^ (mixed >> 13)) & (_SLOTS - 1)
-        two = self.last2[lane, self.s2]
-        guess = np.where(two > 0, two, self.last1[lane, self.s1]).astype(np.int64) - 1
-        self.at = (0, self.s1 & (_COUNTERS - 1), self.s2 & (_COUNTERS - 1))
-        self.p = [h[lane, at] for h, at in zip(self.hit, self.at, strict=True)]
-        self.st = [_STRETCH[p] for p in self.p]
-        total = sum(w[:k] * s for w, s in zip(self.w, self.st, strict=True)) >> 15
-        self.mix = _SQUASH[np.clip(total, -2047, 2047) + 2047]
-        return guess, self.mix
-
-    def learn(self, k: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        lane = self.lane[:k]
-        bit = hit.astype(np.int64) << 12
-        err = bit - self.mix
-        for w, s, h, at, p in zip(self.w, self.st, self.hit, self.at, self.p, strict=True):
-            w[:k] += (s * err) >> 11
-            h[lane, at] = np.clip(p + ((bit - p) >> 4), 16, 4079)
-        self.last1[lane, self.s1] = self.last2[lane, self.s2] = ids + 1
-        self.prev2[:k], self.prev[:k] = self.prev[:k], ids
-
-    def count(self, lanes: np.ndarray, size: np.ndarray) -> None:
-        cum = self.cum[lanes]
-        cum += (np.arange(19) > size[:, None]) * 24
-        full = cum[:, 18] > 3500
+        self.at1 = lane * _SLOTS1 + (a & (_SLOTS1 - 1))
+        self.at2 = lane * _SLOTS2 + (((a * 0x2545F + b * 0x9E3B1) >> 3) & (_SLOTS2 - 1))
+        self.e1 = self.one.take(self.at1, axis=0).T.copy()
+        self.e2 = self.two.take(self.at2)
+        count = self.e1 >> _ID_BITS
+        total = count[0] + count[1] + count[2]
+        run = self.e2 >> _ID_BITS
+        self.state = lane * 16 + (_STATE1.take(total) + _STATE2.take(run))
+        self.w1_now, self.w2_now = self.w1.take(self.state), self.w2.take(self.state)
+        self.ids1, self.guess = self.e1 & _ID, self.e2 & _ID
+        share = _SHARE[count, total]
+        share *= self.w1_now
+        share >>= _SCALE
+        mine = self.w2_now * (run > 0)
+        self.same = self.ids1 == self.guess
+        both = share * self.same
+        mine += both[0] + both[1] + both[2]
+        share -= both
+        return self.guess, mine, self.ids1, share
+
+    def learn(self, k: int, x: np.ndarray) -> None:
+        x32 = x.astype(np.int32)
+        right = self.guess == x32
+        e0, e1, e2 = self.e1
+        m = self.ids1 == x32
+        known = m[0] | m[1] | m[2]
+        self.w2[self.state] = self.w2_now + (((right.astype(np.int32) << _SCALE) - self.w2_now) >> _RATE)
+        self.w1[self.state] = self.w1_now + ((((known & ~right).astype(np.int32) << _SCALE) - self.w1_now) >> _RATE)
+        self.e1 += m * np.int32(_ONE)
+        self.e1[2] = np.where(known, self.e1[2], x32 + np.int32(_ONE))
+        high = np.maximum(self.e1[1], self.e1[2])
+        row = np.empty((k, _FOLLOWERS), np.int32)
+        row[:, 2] = np.minimum(self.e1[1], self.e1[2])
+        row[:, 1] = np.minimum(self.e1[0], high)
+        row[:, 0] = top = np.maximum(self.e1[0], high)
+        full = top >= _COUNT_CAP << _ID_BITS
         if full.any():
-            counts = np.diff(cum[full], axis=1)
-            cum[full, 1:] = np.cumsum((counts + 1) >> 1, axis=1)
-        self.cum[lanes] = cum
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)  # exact below 2**53
+            row[full] = ((row[full] >> (_ID_BITS + 1)) << _ID_BITS) | (row[full] & _ID)
+        self.one[self.at1] = row
+        self.two[self.at2] = np.where(right & (self.e2 >= _ONE), self.e2 + np.int32(_ONE) * (self.e2 < _COUNT_CAP << _ID_BITS), x32 + np.int32(_ONE))
+        self.prev2[:k], self.prev[:k] = self.prev[:k], x
 
 
-def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
-    """Coded blocks of ``block`` ids each (the last may be shorter); ids are below 2**17."""
-    n = -(-len(ids) // block)
-    grid = np.zeros(n * block, np.int64)
-    grid[: len(ids)] = ids
-    grid = grid.reshape(n, block)
-    length = np.full(n, block)
-    if n:
-        length[-1] = len(ids) - (n - 1) * block
-    m = _Model(n)
+def _encode_group(grid: np.ndarray, length: np.ndarray, v: int) -> list[bytes]:
+    """Coded columns of ``grid`` (steps x blocks); ``length`` may only fall."""
+    steps, n = grid.shape
+    m = _Model(n, v)
     low, wide, pos = np.zeros(n, np.int64), np.full(n, 1 << _TOP, np.int64), np.ones(n, np.int64)
-    out = np.zeros((n, 2 * block + 8), np.int64)
-    for t in range(block if n else 0):
-        k = n if t < length[-1] else n - 1
-        if not k:
-            break
-        x = grid[:k, t]
-        guess, p = m.predict(k)
+    out = np.zeros((n, steps // 2 + 4 * _ROOM), np.int32)
+    flat, cols = out.reshape(-1), np.arange(n) * out.shape[1]
+    open_ = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
+    starts = m.start.reshape(-1)
+    for t in range(steps):
+        k = open_[t]
+        if t % _ROOM == 0 and int(pos.max()) + 4 * _ROOM > out.shape[1]:
+            out = np.concatenate([out, np.zeros((n, steps // 4 + 4 * _ROOM), np.int32)], axis=1)
+            flat, cols = out.reshape(-1), np.arange(n) * out.shape[1]
+        if t == m.next:
+            m.refresh(t, grid[m.fresh : t], k)
+        x = grid[t, :k]
+        guess, mine, ids, share = m.predict(k)
         hit = guess == x
-        bound = (wide[:k] >> 12) * p
-        low[:k] += np.where(hit, 0, bound)
-        wide[:k] = np.where(hit, bound, wide[:k] - bound)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            y = x[miss]
-            size = _bits(y)
-            extra = np.maximum(size - 1, 0)
-            cum = m.cum[miss]
-            row = np.arange(len(miss))
-            c0 = cum[row, size]
-            unit = (cum[row, size + 1] - c0) << (16 - extra)
-            rest = y - np.where(size > 0, 1 << extra, 0)
-            r = wide[miss] // (cum[:, 18] << 16)
-            low[miss] += r * ((c0 << 16) + rest * unit)
-            wide[miss] = r * unit
-            m.count(miss, size)
-        m.learn(k, x, hit)
-        over = np.flatnonzero(low[:k] >> _TOP)
+        hits = ids == x
+        hits &= share > 0
+        b1 = mine
+        b2 = b1 + share[0]
+        b3 = b2 + share[1]
+        own = np.where(hit, mine, hits[0] * share[0] + hits[1] * share[1] + hits[2] * share[2])
+        below = np.where(hit, 0, hits[0] * b1 + hits[1] * b2 + hits[2] * b3)
+        spelled = (own == 0).nonzero()[0]
+        named = b3 + share[2]
+        below[spelled] = named[spelled]
+        own[spelled] = (1 << _SCALE) - named[spelled]
+        unit = wide[:k] >> _SCALE
+        low[:k] += unit * below
+        wide[:k] = unit * own
+        if len(spelled):
+            at = spelled * (m.width + 1) + x[spelled]
+            first = starts.take(at).astype(np.int64)
+            size = starts.take(at + 1) - first
+            unit = wide[spelled] // m.total
+            low[spelled] += unit * first
+            wide[spelled] = unit * size
+        m.learn(k, x)
+        over = (low[:k] > _MASK).nonzero()[0]
         if len(over):
-            out[over, pos[over] - 1] += 1
+            flat[cols[over] + pos[over] - 1] += 1
             low[over] &= _MASK
-        small = np.flatnonzero(wide[:k] < (1 << _KEEP))
+        small = (wide[:k] < (1 << _KEEP)).nonzero()[0]
         while len(small):
-            out[small, pos[small]] = low[small] >> _KEEP
-            low[small] = (low[small] & ((1 << _KEEP) - 1)) << 16
-            wide[small] <<= 16
+            lo = low[small]
+            flat[cols[small] + pos[small]] = lo >> _KEEP
+            low[small] = (lo & ((1 << _KEEP) - 1)) << 16
+            wider = wide[small] << 16
+            wide[small] = wider
             pos[small] += 1
-            small = small[wide[small] < (1 << _KEEP)]
-    for _ in range(4):
-        out[np.arange(n), pos] = low >> _KEEP
+            small = small[wider < (1 << _KEEP)]
+    for _ in range(4):  # within the room of the last look
+        flat[cols + pos] = low >> _KEEP
         low = (low & ((1 << _KEEP) - 1)) << 16
         pos += 1
     for q in range(int(pos.max()) - 1 if n else 0, 0, -1):
         out[:, q - 1] += out[:, q] >> 16
         out[:, q] &= 0xFFFF
-    digits = out.astype("<u2")
-    return [digits[i, 1 : pos[i]].tobytes() for i in range(n)]
+    return [out[i, 1 : pos[i]].astype("<u2").tobytes() for i in range(n)]
 
 
-def decode_blocks(blocks: list[bytes], length: np.ndarray) -> np.ndarray:
-    """Ids of coded blocks with ``length`` ids each (lengths must not grow)."""
-    n = len(blocks)
-    if not n:
-        return np.zeros(0, np.int64)
-    digits = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.int64)
+def _decode_group(blocks: list[bytes], length: np.ndarray, v: int) -> np.ndarray:
+    """The grid (steps x blocks) of a group of coded blocks."""
+    n, steps = len(blocks), int(length[0])
+    digits = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.int32)
     for i, b in enumerate(blocks):
         digits[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    m = _Model(n)
-    dif = (digits[:, 0] << 46) | (digits[:, 1] << 30) | (digits[:, 2] << 14) | (digits[:, 3] >> 2)
+    flat, cols = digits.reshape(-1), np.arange(n) * digits.shape[1]
+    m = _Model(n, v)
+    first4 = digits[:, :4].astype(np.int64)
+    dif = (first4[:, 0] << 46) | (first4[:, 1] << 30) | (first4[:, 2] << 14) | (first4[:, 3] >> 2)
     # digits are 16 bits wide and the window 62: the part of a digit not yet taken is kept by position
-    pos = np.full(n, 3)
+    pos = cols + 3
     wide = np.full(n, 1 << _TOP, np.int64)
-    grid = np.zeros((n, int(length[0])), np.int64)
-    for t in range(int(length[0])):
-        k = int(np.searchsorted(-length, -t, side="left"))
-        guess, p = m.predict(k)
-        bound = (wide[:k] >> 12) * p
-        hit = dif[:k] < bound
-        dif[:k] -= np.where(hit, 0, bound)
-        wide[:k] = np.where(hit, bound, wide[:k] - bound)
-        x = guess.copy()
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            cum = m.cum[miss]
-            row = np.arange(len(miss))
-            r = wide[miss] // (cum[:, 18] << 16)
-            at = dif[miss] // r
-            size = (cum[:, 1:] <= (at >> 16)[:, None]).sum(1)
-            extra = np.maximum(size - 1, 0)
-            c0 = cum[row, size]
-            unit = (cum[row, size + 1] - c0) << (16 - extra)
-            rest = (at - (c0 << 16)) // unit
-            x[miss] = rest + np.where(size > 0, 1 << extra, 0)
-            dif[miss] -= r * ((c0 << 16) + rest * unit)
-            wide[miss] = r * unit
-            m.count(miss, size)
-        m.learn(k, x, hit)
-        grid[:k, t] = x
-        small = np.flatnonzero(wide[:k] < (1 << _KEEP))
+    grid = np.zeros((steps, n), np.int32)
+    open_ = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
+    starts, row = m.start.reshape(-1), m.width + 1
+    coarse = np.ascontiguousarray(m.start[:, : m.width : _FINE])
+    fine = np.arange(_FINE)
+    for t in range(steps):
+        k = open_[t]
+        if t == m.next:
+            m.refresh(t, grid[m.fresh : t], k)
+            coarse = np.ascontiguousarray(m.start[:, : m.width : _FINE])
+        guess, mine, ids, share = m.predict(k)
+        unit = wide[:k] >> _SCALE
+        target = dif[:k] // unit
+        b2 = mine + share[0]
+        b3 = b2 + share[1]
+        named = b3 + share[2]
+        x = np.where(target < mine, guess, np.where(target < b2, ids[0], np.where(target < b3, ids[1], ids[2]))).astype(np.int64)
+        below = np.where(target < mine, 0, np.where(target < b2, mine, np.where(target < b3, b2, b3)))
+        own = np.where(target < mine, mine, np.where(target < b2, share[0], np.where(target < b3, share[1], share[2])))
+        spelled = (target >= named).nonzero()[0]
+        below[spelled] = named[spelled]
+        own[spelled] = (1 << _SCALE) - named[spelled]
+        dif[:k] -= unit * below
+        wide[:k] = unit * own
+        if len(spelled):
+            unit = wide[spelled] // m.total
+            want = dif[spelled] // unit
+            group = ((coarse[spelled] <= want[:, None]).sum(1) - 1) * _FINE
+            at = spelled * row + group
+            found = at + (starts[at[:, None] + fine] <= want[:, None]).sum(1) - 1
+            first = starts.take(found).astype(np.int64)
+            size = starts.take(found + 1) - first
+            x[spelled] = found - spelled * row
+            dif[spelled] -= unit * first
+            wide[spelled] = unit * size
+        grid[t, :k] = x
+        m.learn(k, x)
+        small = (wide[:k] < (1 << _KEEP)).nonzero()[0]
         while len(small):
             q = pos[small]
-            dif[small] = (dif[small] << 16) | ((digits[small, q] & 3) << 14) | (digits[small, q + 1] >> 2)
-            wide[small] <<= 16
-            pos[small] += 1
-            small = small[wide[small] < (1 << _KEEP)]
-    return np.concatenate([grid[i, : length[i]] for i in range(n)])
+            dif[small] = (dif[small] << 16) | ((flat.take(q).astype(np.int64) & 3) << 14) | (flat.take(q + 1) >> 2)
+            wider = wide[small] << 16
+            wide[small] = wider
+            pos[small] = q + 1
+            small = small[wider < (1 << _KEEP)]
+    return grid
+
+
+def _groups(n: int, v: int) -> Iterator[tuple[int, int]]:
+    step = max(1, _CELLS // max(v, 1))
+    for i in range(0, n, step):
+        yield i, min(i + step, n)
+
+
+def encode_blocks(ids: np.ndarray, block: int, v: int) -> list[bytes]:
+    """Coded blocks of ``block`` dense ids (below ``v``) each; the last may be shorter."""
+    n = -(-len(ids) // block)
+    out: list[bytes] = []
+    for i, j in _groups(n, v):
+        part = ids[i * block : j * block]
+        length = np.full(j - i, block)
+        length[-1] = len(part) - (j - i - 1) * block
+        grid = np.zeros((j - i) * block, np.int32)
+        grid[: len(part)] = part
+        out += _encode_group(np.ascontiguousarray(grid.reshape(j - i, block)[:, : length[0]].T), length, v)
+    return out
+
+
+def decode_blocks(blocks: list[bytes], length: np.ndarray, v: int) -> np.ndarray:
+    """Dense ids of coded blocks with ``length`` ids each (lengths must not grow)."""
+    parts = []
+    for i, j in _groups(len(blocks), v):
+        grid = _decode_group(blocks[i:j], length[i:j], v)
+        parts += [grid.T[: j - i - 1].ravel(), grid[: length[j - 1], -1]]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+_HEAD = "<4sIQII"
 
 
 def pack(ids: np.ndarray, block: int) -> bytes:
-    """A segment's bytes: magic, block size, ids, blocks, then size and CRC-32 of each block, then the blocks."""
-    blocks = encode_blocks(ids, block)
-    head = struct.pack("<4sIQI", MAGIC, block, len(ids), len(blocks))
+    """A segment's bytes: head (magic, block size, ids, blocks, distinct ids), the sorted distinct ids and their
+    CRC-32, then size and CRC-32 of each block, then the blocks."""
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= 1 << 32):
+        raise ValueError("ids are unsigned 32-bit integers")
+    if len(ids) and int(ids.max()) < 1 << 22:
+        known = np.bincount(ids).nonzero()[0]
+        place = np.zeros(int(known[-1]) + 1, np.int32)
+        place[known] = np.arange(len(known))
+        dense = place[ids]
+    else:
+        known, dense = np.unique(ids, return_inverse=True)
+    if len(known) >= _ONE:
+        raise ValueError(f"a segment holds {len(known)} distinct ids; fewer than {_ONE} can be coded")
+    blocks = encode_blocks(dense.astype(np.int32, copy=False), block, len(known))
+    names = known.astype("<u4").tobytes()
+    head = struct.pack(_HEAD, MAGIC, block, len(ids), len(blocks), len(known)) + names + struct.pack("<I", zlib.crc32(names))
     return head + b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks) + b"".join(blocks)
 
 
 def unpack(data: bytes) -> np.ndarray:
     """Ids of a segment; a wrong magic or checksum raises ``ValueError``."""
-    magic, block, n, count = struct.unpack_from("<4sIQI", data)
+    magic, block, n, count, distinct = struct.unpack_from(_HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a token file segment")
-    at, blocks = 20 + 8 * count, []
+    at = struct.calcsize(_HEAD)
+    names = data[at : at + 4 * distinct]
+    if zlib.crc32(names) != struct.unpack_from("<I", data, at + 4 * distinct)[0]:
+        raise ValueError("the list of ids does not match its checksum")
+    table = at + 4 * distinct + 4
+    at, blocks = table + 8 * count, []
     for i in range(count):
-        size, crc = struct.unpack_from("<II", data, 20 + 8 * i)
+        size, crc = struct.unpack_from("<II", data, table + 8 * i)
         blocks.append(data[at : at + size])
         at += size
         if zlib.crc32(blocks[-1]) != crc:
@@ -236,111 +341,148 @@ def unpack(data: bytes) -> np.ndarray:
     length = np.full(count, block)
     if count:
         length[-1] = n - (count - 1) * block
-    return decode_blocks(blocks, length)
+    return np.frombuffer(names, "<u4")[decode_blocks(blocks, length, distinct)]
+
+
+#: Texts that hold one of these go through the library whole: runs of white space, white space at an end, any but blank and line break.
+_ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x09\x0B\x0C\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP[list(b".,;:!?")] = True
+_BLANK, _BREAK = 32, 10
 
 
 class Tokenizer:
     """Byte-level BPE through the tokenizers library, with the ids of chunks remembered.
 
-    A blank between two non-blanks, and a line break between two, always start a new pre-token, so ids of
-    what lies between such places do not depend on the rest. Texts with other white space, or with a special
-    token's spelling, go through the library whole.
+    A blank or line break between two non-blanks, and one of ``.,;:!?`` after an ASCII letter or digit, always
+    start a new pre-token, so the ids of what lies between such places do not depend on the rest. Only chunks
+    not seen before go through the library, many joined in one call: a blank, or the line break put before
+    a chunk that has none, tells where each begins in the ids that come back.
     """
 
     def __init__(self, path: str, remember: int):
         import tokenizers
 
+        if not os.path.exists(path):
+            import public_tokenizers
+
+            path = public_tokenizers.path(path)
         self.t = tokenizers.Tokenizer.from_file(path)
-        self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
+        special = sorted(x.content for x in self.t.get_added_tokens_decoder().values() if x.content)
+        quoted = ["".join(c if c.isalnum() else "\\" + c if c.isascii() else c for c in x) for x in special]
+        self.odd = "|".join([_ODD, *quoted])
+        begins = [(i, s) for s, i in self.t.get_vocab(with_added_tokens=True).items()]
+        self.blank = np.zeros(max(i for i, _ in begins) + 1, bool)
+        self.blank[[i for i, s in begins if s.startswith("Ġ")]] = True
+        self.newline = self._whole("\n")[0]
         self.remember = remember
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start, self.size, self.ids, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks, through one call for many: each starts with a blank or follows a line break."""
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
-            spelled = [c if c[0] == " " else "\n" + c for c in part]
-            bounds = np.concatenate([[0], np.cumsum([len(c) for c in spelled])])
-            e = self.t.encode("".join(spelled), add_special_tokens=False)
-            ids, begins = np.array(e.ids, np.int64), np.array([o[0] for o in e.offsets], np.int64)
-            owner = np.searchsorted(bounds, begins, side="right") - 1
-            added = np.array([c[0] != " " for c in part])
-            keep = ~(added[owner] & (begins == bounds[owner]))
-            ids, owner = ids[keep], owner[keep]
-            size = np.bincount(owner, minlength=len(part))
-            first = len(self.at)
-            while first + len(part) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.n + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.n : self.n + len(ids)] = ids
-            self.start[first : first + len(part)] = self.n + np.cumsum(size) - size
-            self.size[first : first + len(part)] = size
-            self.n += len(ids)
-            self.at.update(zip(part, range(first, first + len(part)), strict=True))
-
-    def _plain(self, text: str) -> list[str] | None:
-        """The text in chunks, or None if it has to go whole."""
-        if any(x in text for x in self.special):
-            return None
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            words = line.split(" ")
-            if "" in words or line.split() != words:
-                return None
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id, and the number of each text's."""
-        plain = [self._plain(t) for t in texts]
-        new = set(chain.from_iterable(p for p in plain if p is not None)) - self.at.keys() - {"\n"}
+        self.at: dict[bytes, int] = {b"\n": 0}
+        self.start, self.size, self.ids, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 1
+        self.ids[0], self.size[0] = self.newline, 1
+
+    def _whole(self, text: str) -> list[int]:
+        return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        for lead in (True, False):
+            group = [c for c in chunks if (c[0] == _BLANK) == lead]
+            for i in range(0, len(group), 20_000):
+                part = group[i : i + 20_000]
+                ids = np.array(self._whole((b"".join(part) if lead else b"\n" + b"\n".join(part)).decode()), np.int32)
+                first = self.blank[ids] if lead else ids == self.newline
+                begin = first.nonzero()[0]
+                if len(begin) != len(part):
+                    raise ValueError("this vocabulary does not cut at blanks and line breaks")
+                size = np.diff(np.append(begin, len(ids))) - (not lead)
+                if not lead:
+                    ids = ids[~first]
+                k = len(self.at)
+                while k + len(part) > len(self.start):
+                    self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+                while self.n + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                self.ids[self.n : self.n + len(ids)] = ids
+                self.start[k : k + len(part)] = self.n + np.cumsum(size) - size
+                self.size[k : k + len(part)] = size
+                self.n += len(ids)
+                self.at.update(zip(part, range(k, k + len(part)), strict=True))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column without nulls, each with the end id, and the number of each text's."""
+        n = len(texts)
+        data, offs = binary_parts(texts)
+        rows = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        whole = {r: np.array(self._whole(texts[r].as_py()), np.int32) for r in rows.nonzero()[0].tolist()}
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-1] = (data == _BLANK) | (data == _BREAK)
+        cut[1:-1] |= (data[:-1] == _BREAK) | (_STOP[data[1:]] & _ALNUM[data[:-1]])
+        for r in whole:
+            cut[offs[r] : offs[r + 1]] = False
+        full = (offs[1:] > offs[:-1]).nonzero()[0]
+        cut[offs[full]] = True
+        at = cut[:-1].nonzero()[0]
+        bounds = np.append(at, len(data)).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        code, names = chunks.indices.to_numpy(), chunks.dictionary.to_pylist()
+        mine = {int(code[np.searchsorted(at, offs[r])]): ids for r, ids in whole.items() if offs[r + 1] > offs[r]}
+        new = [c for i, c in enumerate(names) if c not in self.at and i not in mine]
         if len(self.at) + len(new) > self.remember:
             self.clear()
-            new = set(chain.from_iterable(p for p in plain if p is not None)) - {"\n"}
-        if "\n" not in self.at:
-            self.at["\n"] = 0
-            self.ids[0], self.start[0], self.size[0], self.n = self.t.encode("\n", add_special_tokens=False).ids[0], 0, 1, 1
+            new = [c for i, c in enumerate(names) if c not in self.at and i not in mine]
         if new:
-            self._learn(sorted(new))
-        parts, count = [], []
-        for text, p in zip(texts, plain, strict=True):
-            if p is None:
-                ids = np.array(self.t.encode(text, add_special_tokens=False).ids, np.int64)
-            else:
-                c = np.fromiter(map(self.at.__getitem__, p), np.int64, len(p))
-                size = self.size[c]
-                end = np.cumsum(size)
-                ids = self.ids[np.arange(end[-1]) + np.repeat(self.start[c] - (end - size), size)]
-            parts += [ids, np.array([end_id])]
-            count.append(len(ids) + 1)
-        return np.concatenate(parts), np.array(count)
+            self._learn(new)
+        known = np.fromiter((self.at.get(c, 0) for c in names), np.int64, len(names))
+        start, size = self.start[known], self.size[known]
+        pool, more = self.ids[: self.n], []
+        top = self.n
+        for i, ids in mine.items():
+            start[i], size[i] = top, len(ids)
+            top += len(ids)
+            more.append(ids)
+        pool = np.concatenate([pool, *more, np.array([end_id], np.int64).astype(np.uint32).view(np.int32)])
+        # every text is followed by a chunk of its own, the end id
+        per = np.bincount(np.searchsorted(offs, at, side="right") - 1, minlength=n) if len(at) else np.zeros(n, np.int64)
+        ends = np.cumsum(per)
+        start, size = np.insert(start[code], ends, top), np.insert(size[code], ends, 1)
+        stop = np.cumsum(size)
+        ids = pool[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)]
+        last = np.append(0, stop)[ends + np.arange(1, n + 1)]
+        return ids, np.diff(np.append(0, last))
+
+
+_READY: dict[str, Tokenizer] = {}
+
+
+def _tokenizer(s: Settings) -> Tokenizer:
+    """This worker's tokenizer; it and its chunks outlive a task."""
+    if s.tokenizer not in _READY:
+        _READY.clear()
+        _READY[s.tokenizer] = Tokenizer(s.tokenizer, s.remember)
+    return _READY[s.tokenizer]
 
 
 def _write(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(s.tokenizer, s.remember)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        tokenizer = _tokenizer(s)
         docs, counts, ids, held, number = [], [], [], 0, 0
 
         def flush(part: int) -> pa.RecordBatch:
-            data = pack(np.concatenate(ids), s.block)
+            data = pack(np.concatenate(ids).view(np.uint32), s.block)
             cols = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "segment", "doc_ids", "counts", "data"])
 
         part = 0
         for batch in batches:
-            keys, texts, parts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))
-            for i in range(0, len(keys), 64):
-                got, n = tokenizer.encode([t or "" for t in texts[i : i + 64]], s.end_id)
-                part = parts[i]
-                docs += keys[i : i + 64]
+            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for i, j in slices(binary_parts(texts)[1], s.batch_bytes):
+                got, n = tokenizer.encode(texts[i:j], s.end_id)
+                docs += keys[i:j]
                 counts += n.tolist()
                 ids.append(got)
                 held += len(got)
@@ -356,24 +498,33 @@ def _write(s: Settings):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, keys, counts, data in zip(*(batch.column(c).to_pylist() for c in ("start", "doc_ids", "counts", "data")), strict=True):
-            ids = unpack(data).astype("<u4")
+            ids = unpack(data).astype("<u4", copy=False)
             ends = np.cumsum(counts)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
-            crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts, strict=True)]
-            cols = [pa.array(keys, pa.int64()), pa.array(start + ends - np.array(counts), pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), counts, strict=True)]
+            n, starts = np.array(counts), start + ends - np.array(counts)
+            # rows go out in batches of bounded size
+            for i, j in slices(np.append(0, ends), 1 << 20):
+                base = int(ends[i] - n[i])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(base, ends[i:j]) - base, pa.int32()), pa.array(ids[base : ends[j - 1]].astype(np.int64)))
+                cols = [pa.array(keys[i:j], pa.int64()), pa.array(starts[i:j], pa.int64()), pa.array(counts[i:j], pa.int64()), pa.array(crc[i:j], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, lists], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _read(batches):
+        yield batch.select(["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_token_files(docs: DataFrame, path: str, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts in ascending order of id to the folder ``path``, a table of segments.
 
     Null and empty texts are the end id alone. Rows with a null id come first; repeated ids stand one after
-    another, ordered by text. Other columns are ignored. Every task writes a range of ids, so the order
-    needs no single writer.
+    another, ordered by a hash of their text and the text. Other columns are ignored. Every task writes a
+    range of ids (rows of one id may be dealt over several), so the order needs no single writer.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    out = rows.mapInArrow(_write(settings), "part int, segment int, doc_ids array<bigint>, counts array<bigint>, data binary")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").withColumn("part", F.spark_partition_id())
+    out = rows.select("doc_id", "text", "part").mapInArrow(_write(settings), "part int, segment int, doc_ids array<bigint>, counts array<bigint>, data binary")
     out.write.parquet(path)
 
 
@@ -385,12 +536,12 @@ def read_token_files(docs_path: str, like: DataFrame, with_ids: bool = True) ->
     before = parts.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
     offsets = size.join(before, "part").select("part", "segment", (F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("segment")) - F.col("n")).alias("start"))
     rows = segments.join(offsets, ["part", "segment"]).select("start", "doc_ids", "counts", "data")
-    out = rows.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
-    return out if with_ids else out.drop("ids")
+    columns = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    return rows.mapInArrow(_read, f"{columns}, ids array<bigint>") if with_ids else rows.mapInArrow(_digests, columns)
 
 
-def token_files_round_trip(docs: DataFrame, settings: Settings) -> DataFrame:
+def token_files_round_trip(docs: DataFrame, settings: Settings, with_ids: bool = False) -> DataFrame:
     """Write all texts' ids to the shared folder, and what reading the files back gives."""
     path = scratch.new_path(docs.sparkSession, "token_files")
     write_token_files(docs, path, settings)
-    return read_token_files(path, docs)
+    return read_token_files(path, docs, with_ids)

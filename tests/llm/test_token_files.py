@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import token_files as T
@@ -14,24 +16,82 @@ def test_coder_round_trip_and_checksums():
     for n in (0, 1, 2, 511, 512, 513, 5000):
         for ids in (rng.integers(0, 50257, n), np.minimum(50256, rng.zipf(1.3, n)), np.zeros(n, int), np.tile([7, 8, 9], n)[:n]):
             assert (T.unpack(T.pack(ids, 256)) == ids).all()
-    data = bytearray(T.pack(rng.integers(0, 50257, 600), 256))
-    data[-3] ^= 1
-    with pytest.raises(ValueError):
-        T.unpack(bytes(data))
+    data = T.pack(rng.integers(0, 50257, 600), 256)
+    for at in (-3, 40):  # a block's byte, and one of the list of ids
+        spoiled = bytearray(data)
+        spoiled[at] ^= 1
+        with pytest.raises(ValueError):
+            T.unpack(bytes(spoiled))
     repeated = np.tile(rng.integers(0, 50257, 50), 100)
     assert len(T.pack(repeated, 2500)) < len(repeated)  # contexts are learnt
 
 
+def test_any_unsigned_32_bit_id_and_no_other():
+    ids = np.array([0, 200_000, (1 << 32) - 1, 1 << 31, 200_000] * 40)
+    assert (T.unpack(T.pack(ids, 64)) == ids).all()
+    for bad in (-1, 1 << 32):
+        with pytest.raises(ValueError):
+            T.pack(np.array([bad]), 64)
+
+
+def test_all_new_ids_fit_the_room_for_digits():
+    ids = np.random.default_rng(1).permutation(60_000)
+    data = T.pack(ids, 16_384)
+    assert (T.unpack(data) == ids).all()
+    assert len(data) < 8 * len(ids)
+
+
+def test_blocks_are_coded_alike_alone_and_side_by_side(monkeypatch):
+    ids = np.minimum(800, np.random.default_rng(2).zipf(1.2, 5_000)).astype(np.int32)
+    together = T.encode_blocks(ids, 1_000, 801)
+    assert together == [T.encode_blocks(ids[i : i + 1_000], 1_000, 801)[0] for i in range(0, 5_000, 1_000)]
+    monkeypatch.setattr(T, "_CELLS", 2 * 801)  # two blocks at once
+    assert T.encode_blocks(ids, 1_000, 801) == together
+    assert (T.decode_blocks(together, np.full(5, 1_000), 801) == ids).all()
+
+
+def test_beats_order_0_entropy_and_plain_deflate_on_texts(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).select("text").collect()]
+    ids, n = T.Tokenizer(PATH, 400_000).encode(pa.array(texts), 0)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    bits = 8 * len(T.pack(ids.view(np.uint32), T.Settings(PATH).block)) / len(ids)
+    print(f"{bits:.2f} bits an id; order-0 entropy {-(share * np.log2(share)).sum():.2f}, deflate {8 * len(zlib.compress(ids.astype('<u2').tobytes())) / len(ids):.2f}")
+    assert bits < -(share * np.log2(share)).sum()
+    assert bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes())) / len(ids)
+    assert n.sum() == len(ids)
+
+
+def test_chunks_join_to_the_ids_of_whole_texts():
+    t, rng = T.Tokenizer(PATH, 60), random.Random(3)
+    parts = [" ", "\n", "a", "b", "'s", "'", ".", ",", "é", "…", "1", "<|endoftext|>", "\t", "  ", " ", "ß", "!?", "我", "\u0085", ""]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20)] + ["ab, " * 2_000]
+        ids, n = t.encode(pa.array(texts), 7)
+        want = [[*t.t.encode(x, add_special_tokens=False).ids, 7] for x in texts]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_equals_the_library(spark):
     import tokenizers
 
     library, start, want = tokenizers.Tokenizer.from_file(PATH), 0, []
-    rows = [(i * 3 - 5, t) for i, t in enumerate(TEXTS * 3)]
+    long = "long text, " * 90_000
+    rows = [(i * 3 - 5, t) for i, t in enumerate(TEXTS * 3)] + [(200, long)]
     for i, t in sorted(rows):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS part", "2 AS start").repartition(3)
-    got = T.token_files_round_trip(df, T.Settings(PATH, segment=64, block=16, remember=5)).drop("ids")
+    got = T.token_files_round_trip(df, T.Settings(PATH, segment=64, block=16, remember=5))
     assert sorted(tuple(r) for r in got.collect()) == want
+    with_ids = T.token_files_round_trip(df, T.Settings(PATH.split("/")[-1]), with_ids=True)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in with_ids.collect())
     assert T.token_files_round_trip(df.limit(0), T.Settings(PATH)).count() == 0
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(None, "b"), (4, "x y"), (4, "x y"), (4, None), (None, "a"), (1, "q")], "doc_id bigint, text string")
+    got = T.token_files_round_trip(df, T.Settings(PATH)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 1, 4, 4, 4]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
