@@ -3,14 +3,16 @@
 An item of thirty shingles inside a document of ten thousand has a Jaccard similarity near zero, so one
 signature length for all cannot find it. Documents are therefore put into size classes (powers of two), and
 a document's MinHash signature has bins in proportion to its class's upper bound (one permutation hashing:
-the top bits of a shingle's hash are its bin, the hash its rank). An item gets one signature for each class.
-A shared shingle is its bin's minimum on both sides with probability about (1 - exp(-d)) / d at d shingles a
-bin, whatever the sizes; a pair with c shared shingles is missed with that complement to the power c: at
-d = 1/8 and c = 6 about 5e-8. Candidates are then verified by exact containment, on the shingles themselves.
+the top bits of a shingle's hash are its bin, the hash its rank), a quarter of it. An item gets one signature
+for each class. At d shingles a bin a shared shingle is its bin's minimum with probability (1 - exp(-d)) / d,
+so an item of many shingles is met by some bin almost surely, whatever the sizes. Items so short that the
+chance to be met by none exceeds ``miss`` are looked up by all their shingles in all of a document's, and no
+such item is lost. Candidates are then verified by exact containment, on the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,15 +29,24 @@ MAX_CLASS = 31
 
 @dataclass(frozen=True)
 class Settings:
-    """Words a shingle; least share of an item's shingles; bins for each shingle of a class's upper bound, as
-    a power of two; and the size of the items' tables up to which they are broadcast (estimated bytes;
-    beyond it they are joined by shuffle)."""
+    """Words a shingle; least share of an item's shingles; shingles of a class's upper bound for each bin, as a
+    power of two; largest chance for an item to be met by no bin, beyond which it is looked up whole; and the
+    size of the items' tables up to which they are broadcast (estimated bytes; beyond it they are joined by
+    shuffle)."""
 
     n: int = 5
     containment: float = 0.75
-    bin_bits: int = 3
+    bin_bits: int = 2
+    miss: float = 1e-9
     broadcast_bytes: int = 64 << 20
 
+    def least_long(self) -> int:
+        """Shingles from which an item is searched for by signatures."""
+        d = 2.0**self.bin_bits
+        # of a bin's shingles the item's own that the document lacks may be the least
+        met = self.containment * (1 - math.exp(-d)) / d
+        return math.ceil(math.log(self.miss) / math.log1p(-met) / self.containment)
+
 
 def _words(text: Column) -> Column:
     cut = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_SPACE}|{_SPACE}$", "")
@@ -63,34 +74,46 @@ def _item_shingles(items: DataFrame, n: int) -> DataFrame:
     return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n_item")), "item_id")
 
 
-def _signature(text: Column, s: Settings) -> Column:
-    """Array of (k, h): the text's size class and the least hash of each of its non-empty bins."""
+def _bits(k: Column, s: Settings) -> Column:
+    """Bits of the bin's number in size class ``k``."""
+    return F.greatest(k - s.bin_bits, F.lit(1))
+
+
+def _signature(text: Column, s: Settings, whole: bool) -> Column:
+    """Array of (k, h, least): the text's size class and the least hash of each of its non-empty bins, or all hashes."""
 
     def bins(hashes: Column) -> Column:
         k = F.ceil(F.log2(F.size(hashes))).cast("int")
 
-        def least(bound: Column) -> Column:
+        def mark(bound: Column) -> Column:
             k, cut = bound["k"], bound["cut"]
             of = lambda h: F.call_function("shiftrightunsigned", h, cut)
-            first = F.filter(hashes, lambda x, i: (i == 0) | (of(x) != of(F.get(hashes, i - 1))))
-            return F.transform(first, lambda h: F.struct(k.alias("k"), h.alias("h")))
+            least = lambda h, i: (i == 0) | (of(h) != of(F.get(hashes, i - 1)))
+            if whole:
+                return F.transform(hashes, lambda h, i: F.struct(k.alias("k"), h.alias("h"), least(h, i).alias("least")))
+            return F.transform(F.filter(hashes, least), lambda h: F.struct(k.alias("k"), h.alias("h"), F.lit(True).alias("least")))
 
-        return let(F.struct(k.alias("k"), (F.lit(64) - F.least(k + s.bin_bits, F.lit(63))).alias("cut")), least)
+        return let(F.struct(k.alias("k"), (F.lit(64) - _bits(k, s)).alias("cut")), mark)
 
     return let(_words(text), lambda w: let(F.sort_array(F.transform(_starts(w, s.n), lambda i: _hash(w, i, s.n))), bins))
 
 
 def _candidates(texts: DataFrame, item: DataFrame, s: Settings, hint) -> DataFrame:
-    """Distinct (doc_id, item_id) whose signatures meet."""
-    signed = item.select("item_id", "h", "n_item", F.explode(F.sequence(F.lit(0), F.lit(MAX_CLASS))).alias("k"))
-    signed = signed.filter(F.pow(F.lit(2.0), F.col("k")) >= F.col("n_item") * s.containment)
-    signed = signed.groupBy("item_id", "k", F.expr(f"shiftrightunsigned(h, 64 - least(k + {s.bin_bits}, 63))").alias("bin")).agg(F.min("h").alias("h"))
-    signed = scratch.materialise(signed.select("item_id", "k", "h"), "item_signatures")
+    """Distinct (doc_id, item_id) whose signatures meet, or that share enough hashes where the item is short."""
+    short, long = item.filter(F.col("n_item") < s.least_long()), item.filter(F.col("n_item") >= s.least_long())
+    signed = long.select("item_id", "h", "n_item", F.explode(F.sequence(F.lit(0), F.lit(MAX_CLASS))).alias("item_k"))
+    signed = signed.filter(F.pow(F.lit(2.0), F.col("item_k")) >= F.col("n_item") * s.containment)
+    signed = signed.withColumn("cut", F.lit(64) - _bits(F.col("item_k"), s))
+    signed = signed.groupBy("item_id", "n_item", "item_k", F.expr("shiftrightunsigned(h, cut)").alias("bin")).agg(F.min("h").alias("h")).select("item_id", "n_item", "item_k", "h")
+    looked_up = scratch.materialise(short.select("item_id", "n_item", F.lit(None).cast("int").alias("item_k"), "h").unionByName(signed), "item_signatures")
+    whole = not looked_up.filter("item_k is null").isEmpty()
 
     # explode_outer, as an inner one is preceded by a filter that computes the array a second time
-    rows = texts.select("doc_id", F.explode_outer(_signature(F.col("text"), s)).alias("m"))
-    signature = rows.select("doc_id", F.col("m.k").alias("k"), F.col("m.h").alias("h"))
-    return signature.join(hint(signed), ["k", "h"]).select("doc_id", "item_id").distinct()
+    rows = texts.select("doc_id", F.explode_outer(_signature(F.col("text"), s, whole)).alias("m"))
+    signature = rows.select("doc_id", F.col("m.k").alias("k"), F.col("m.h").alias("h"), F.col("m.least").alias("least"))
+    met = signature.join(hint(looked_up), "h").filter("item_k is null or (least and item_k = k)")
+    shared = met.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n"), F.first("n_item").alias("n_item"), F.max(F.col("item_k").isNotNull()).alias("long"))
+    return shared.filter(F.col("long") | (F.col("n") >= F.col("n_item") * s.containment)).select("doc_id", "item_id")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from palimpsest.llm.decontaminate import contaminated, decontaminate
+from palimpsest.llm.decontaminate import Settings, contaminated, decontaminate
 
 
 def shingle_set(text):
@@ -45,3 +45,43 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert contaminated(d, none).count() == 0
     assert contaminated(d.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")).count() == 0
+
+
+def test_no_item_is_lost_from_one_shingle_up(spark):
+    """Items of 1 to 400 words, each whole, or with a fifth of its end cut off, in a document of its own."""
+    rng = random.Random(11)
+    text = lambda n: [f"u{rng.randrange(5000)}" for _ in range(n)]
+    long = Settings().least_long()
+    sizes = [*range(1, 9)] * 40 + [rng.randint(9, 60) for _ in range(120)] + [rng.randint(long - 20, 3 * long) for _ in range(120)]
+    items, docs, want = [], [], set()
+    for i, n in enumerate(sizes):
+        item = text(n)
+        part = item[: n - n // 5] if i % 2 and n > 30 else item
+        # a text of fewer than five words is one shingle, its whole sequence: contained only in a text of the same words
+        before, after = (text(rng.randint(0, 1500)), text(rng.randint(0, 1500))) if n >= 5 else ([], [])
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(before + part + after)))
+    for i, t in docs:
+        mine = shingle_set(t)
+        for k in {i} if len(items[i][1].split()) >= 5 else range(len(items)):
+            x = shingle_set(items[k][1])
+            if len(mine & x) >= 0.75 * len(x):
+                want.add((i, k))
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(items, "item_id bigint, text string")
+    for s in (Settings(), Settings(broadcast_bytes=0)):
+        got = {tuple(r)[:2] for r in contaminated(d, b, settings=s).collect()}
+        for low, high in ((1, 8), (9, 60), (61, long + 4), (long + 5, 1000)):
+            there = {w for w in want if low <= sizes[w[1]] <= high}
+            print(f"items of {low} to {high} words: {len(there & got)} of {len(there)} found")
+        assert want <= got and len(want) >= 500
+        assert all(len(shingle_set(docs[i][1]) & shingle_set(items[k][1])) >= 0.75 * len(shingle_set(items[k][1])) for i, k in got)
+
+
+def test_signatures_alone_find_long_items(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"u{rng.randrange(9000)}" for _ in range(n))
+    n = Settings().least_long() + 4
+    items = [(i, text(rng.randint(n, 3 * n))) for i in range(60)]
+    docs = [(i, f"{text(rng.randint(0, 3000))} {t} {text(rng.randint(0, 3000))}") for i, t in items] + [(1000, text(100_000) + " " + items[0][1])]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r)[:2] for r in contaminated(d, b).collect()} == {(i, i) for i, _ in items} | {(1000, 0)}
