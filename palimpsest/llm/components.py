@@ -21,7 +21,7 @@ from palimpsest.llm import scratch
 SHARE = 200_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     """Stars with the edges' components, share by share."""
     root: dict[int, int] = {}
     seen = 0
@@ -46,7 +46,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root.setdefault(low, low)
             root[high] = low
         seen += batch.num_rows
-        if seen >= SHARE:
+        if seen >= share:
             yield flush()
             root.clear()
             seen = 0
@@ -70,25 +70,23 @@ def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, share: int = SHARE) -> DataFrame:
     """(u, component) for every vertex that has an edge; the component is its smallest vertex.
 
     ``edges`` has two bigint columns u and v in any order; loops and repeats are ignored. An empty table
-    gives an empty table. Raises if the edges still change after ``max_rounds``.
+    gives an empty table. The rounds go on until the edges stand still, which they do after about the square
+    of the logarithm of the number of vertices at most.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
     now = scratch.materialise(now, "edges")
-    shares = max(1, -(-now.count() // SHARE))
-    now = scratch.materialise(now.coalesce(shares).mapInArrow(_forest, "u bigint, v bigint"), "forest")
+    shares = max(1, -(-now.count() // share))
+    now = scratch.materialise(now.coalesce(shares).mapInArrow(lambda batches: _forest(batches, share), "u bigint, v bigint"), "forest")
     before = None
-    for _ in range(max_rounds if shares > 1 else 0):  # the stars of a single share are the components
+    while shares > 1:  # the stars of a single share are the components
         now = scratch.materialise(_star(_star(now, True), False), "edges")
         state = _state(now)
         if state == before:
             break
         before = state
-    else:
-        if shares > 1:
-            raise RuntimeError(f"components still changed after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("u"), F.col("v").alias("component"))
     return now.select("u", F.col("v").alias("component")).unionByName(roots).distinct()

@@ -1,18 +1,35 @@
 """Intermediate tables in the folder that all executors share.
 
 Each table is written once as Parquet under ``spark.checkpoint.dir`` and read back: lineage is cut and a
-lost executor costs a re-read instead of a re-run. Where the setting is absent (tests, notebooks) a
-temporary folder is made and registered as checkpoint folder.
+lost executor costs a re-read instead of a re-run. Where the setting is absent and Spark runs in this
+process (tests, notebooks) a temporary folder is made and registered as checkpoint folder; on a cluster,
+whose executors could not see it, that is an error.
+
+Tables stay, since results are evaluated late; who knows when a result is written collects their paths with
+``collecting`` and deletes them.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Add the paths of all tables that are written inside the block to ``paths``."""
+    before = _paths.set(paths)
+    try:
+        yield
+    finally:
+        _paths.reset(before)
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -20,6 +37,8 @@ def base_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,7 +46,8 @@ def base_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{base_dir(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
-    _written.append(path)
+    if (paths := _paths.get()) is not None:
+        paths.append(path)
     return path
 
 
@@ -39,17 +59,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def run_id() -> str:
-    return uuid.uuid4().hex
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table so far. Only call it once all results built on them are written."""
-    while _written:
-        delete(spark, _written.pop())
-
-
-def delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -56,7 +56,7 @@ _ID_BITS, _COUNT_CAP = 24, 100
 _ONE, _ID = 1 << _ID_BITS, (1 << _ID_BITS) - 1
 _SLOTS1, _SLOTS2, _FOLLOWERS = 4096, 8192, 3
 #: Order-0 counts weigh so much against the uniform start, and are taken in at least every so many ids.
-_GAIN, _REFRESH = 4, 1024
+_GAIN, _REFRESH = 4, 512
 #: Cells of the order-0 tables of blocks coded side by side.
 _CELLS, _FINE = 1 << 24, 64
 #: Steps between looks at the room left for coded digits, of which a step writes four at most.

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_STEP = 1 << 20  # bytes hashed at once
+_STEP = 1 << 18  # bytes hashed at once
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
@@ -41,8 +41,14 @@ _inv = np.ones(1, U64)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd base modulo 2**64, and of its inverse."""
     global _pow, _inv
+    if len(_pow) >= n:
+        return _pow, _inv
+    size = max(n, _STEP + 1)
+    if size > _STEP + 1:  # for one very long word; not kept
+        with np.errstate(over="ignore"):
+            bases = (np.full(size, x, U64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+            return tuple(np.concatenate([[U64(1)], np.cumprod(b[1:], dtype=U64)]) for b in bases)
     if len(_pow) < n:
-        size = max(n, _STEP + 1)
         with np.errstate(over="ignore"):
             a = np.full(size, _BASE, U64)
             a[0] = 1

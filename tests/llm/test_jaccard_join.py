@@ -2,7 +2,15 @@ import random
 import re
 from itertools import combinations
 
-from palimpsest.llm.jaccard_join import ngram_jaccard_join
+import numpy as np
+
+from palimpsest.llm import jaccard_join as J
+from palimpsest.llm.components import connected_components
+from palimpsest.llm.jaccard_join import Settings, ngram_jaccard_join
+
+SMALL = Settings(sketch_bits=16)
+#: Every limit so low that the ways behind it are taken.
+TIGHT = Settings(sketch_bits=12, list_rows=3, block_rows=2, hub_split=2, central=1, broadcast_roles=0, share=7)
 
 
 def shingle_set(text):
@@ -40,27 +48,40 @@ def corpus(seed):
 
 
 def test_equals_brute_force(spark):
-    for seed in (1, 2):
+    for seed, s in ((1, SMALL), (2, SMALL), (3, TIGHT)):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS node", "2 AS hub", "'x' AS component").repartition(5)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, sketch_bits=16).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, settings=s).collect()}
         assert got == brute_force(rows)
 
 
+def test_one_list_in_many_classes_is_dealt_and_whole(spark):
+    """A passage that all texts share, so that its shingles are one list of many classes; some texts are near copies."""
+    rng = random.Random(5)
+    text = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
+    passage, rows = text(30), []
+    for i in range(60):
+        own = text(rng.randint(4, 40))
+        rows += [(3 * i + k, " ".join(passage + own[k:])) for k in range(rng.randint(1, 3))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for s in (SMALL, TIGHT):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, settings=s).collect()} == brute_force(rows)
+
+
+def test_salts_follow_the_count_beyond_chance():
+    classes = np.zeros(1 << 12, np.uint8)
+    classes[5] = 60  # 2 ** 15
+    assert J._salts(classes, 1024)[60] == 32
+    assert J._salts(np.full(1 << 12, 60, np.uint8), 1024)[60] == 1  # every bucket is as full
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
-    assert ngram_jaccard_join(empty, sketch_bits=16).count() == 0
+    assert ngram_jaccard_join(empty, settings=SMALL).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f")], "doc_id bigint, text string")
-    assert [tuple(r)[:3] for r in ngram_jaccard_join(rows, sketch_bits=16).collect()] == [(7, 2, 7), (7, 2, 7)]
-
-
-def test_components_raise_when_rounds_end(spark, monkeypatch):
-    import pytest
+    assert [tuple(r)[:3] for r in ngram_jaccard_join(rows, settings=SMALL).collect()] == [(7, 2, 7), (7, 2, 7)]
 
-    from palimpsest.llm import components
 
-    monkeypatch.setattr(components, "SHARE", 5)
-    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u bigint, v bigint")
-    with pytest.raises(RuntimeError):
-        components.connected_components(edges, max_rounds=1)
-    assert {r.component for r in components.connected_components(edges).collect()} == {0}
+def test_components_of_many_shares(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 99) for i in range(30)], "u bigint, v bigint").repartition(6)
+    assert {(r.u, r.component) for r in connected_components(edges, share=5).collect()} == {(i, 0) for i in range(41)} | {(i, 99) for i in range(99, 130)}
