@@ -4,8 +4,8 @@ For every participant of a conversation the dialogue is rendered with that speak
 others as named users; a mask marks what a model is to learn, the assistant's own words. System turns keep
 their role in every rendering and are never learnt.
 
-A conversation is cut into parts by its turn numbers, so that one with millions of turns is many rows of
-bounded size; parts carry their offset in the whole rendering.
+A conversation is cut into parts by its turn numbers, and a part of very many rows into pieces, so that one with
+millions of turns is many rows of bounded size; they carry their offset in the whole rendering.
 """
 
 from __future__ import annotations
@@ -16,29 +16,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.llm import scratch
 from palimpsest.llm.columns import let
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Turn numbers of one part, rows of one part (more rows of equal numbers are dealt over further parts
-    by hash), the markup around a turn, and the role that is no participant."""
+    """Turn numbers of one part, rows up to which a part is one piece (and about which larger parts' pieces
+    have), the markup around a turn, and the role that is no participant."""
 
     part_turns: int = 128
+    piece_rows: int = 2048
     head: str = "<|im_start|>"
     tail: str = "<|im_end|>\n"
     system: str = "system"
 
 
+_TURN = "struct<turn:bigint,role:string,text:string>"
+
+
+def _pieces(rows: DataFrame, large: DataFrame, limit: int) -> DataFrame:
+    """The rows of large parts as (conv_id, part, piece, turns): what has one turn number and role is a piece, or
+    several by hash of the text; equal rows are counted first and their copies dealt over pieces."""
+    keys = ["conv_id", "part"]
+    once = rows.join(large, keys, "left_semi").groupBy(*keys, "turn", "role", "text").agg(F.count("*").alias("copies"))
+    once = scratch.materialise(once, "turns")
+    said = once.groupBy(*keys, "turn", "role").agg(F.ceil(F.sum("copies") / limit).alias("buckets"))
+    # null numbers take part in the join
+    a, b = once.alias("a"), said.alias("b")
+    match = F.expr("a.conv_id = b.conv_id and a.part = b.part and a.turn <=> b.turn and a.role = b.role")
+    dealt = a.join(b, match).select("a.*", F.pmod(F.xxhash64("a.text"), "b.buckets").alias("bucket"))
+    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / limit))))
+    dealt = dealt.withColumn("copies", F.least(F.lit(limit), F.col("copies") - F.col("chunk") * limit).cast("int"))
+    # a text of more copies than a piece has rows fills pieces of its own
+    own = F.when(F.col("chunk") > 0, F.xxhash64("text")).otherwise(F.lit(0))
+    found = dealt.groupBy(*keys, "turn", "role", "bucket", own.alias("own"), "chunk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "copies"))).alias("turns"))
+    order = W.partitionBy(*keys).orderBy("turn", "role", "bucket", "own", "chunk")
+    turns = F.flatten(F.transform("turns", lambda x: F.array_repeat(F.struct(x.turn.alias("turn"), x.role.alias("role"), x.text.alias("text")), x.copies)))
+    return found.select(*keys, (F.row_number().over(order) - 1).cast("bigint").alias("piece"), turns.cast(f"array<{_TURN}>").alias("turns"))
+
+
 def rotate_perspectives(turns: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each conversation, participant and part: conv_id, speaker, part, start, n_turns, text, mask.
+    """One row for each conversation, participant, part and piece: conv_id, speaker, part, piece, start, n_turns, text, mask.
 
     ``turns`` has conv_id, turn, role and text. A turn reads ``<head>assistant\\n<text><tail>`` where the
     speaker is its author, ``<head>user name=<role>\\n<text><tail>`` elsewhere, and ``<head>system\\n...`` for
-    system turns. ``mask`` holds (start, end) code points within the part, over the speaker's words with the
-    tail's marker; ``start`` is the part's offset in the whole rendering.
+    system turns. ``mask`` holds (start, end) code points within the piece, over the speaker's words with the
+    tail's marker; ``start`` is the piece's offset in the whole rendering. A part of up to ``piece_rows`` rows is
+    one piece, number 0.
 
-    Turns are ordered by number, ties by role and text, equal rows stay repeated; a null number sorts first.
+    Turns are ordered by number, ties by role and text, equal rows stay repeated; a null number sorts first. In
+    parts of several pieces ties of one role may be ordered by a hash of the text instead.
     A null role is the participant ``unknown``, a null text is empty. Rows with a null conv_id are left out.
     A conversation of system turns only has no participant and no row. Other columns are ignored.
     """
@@ -49,7 +77,13 @@ def rotate_perspectives(turns: DataFrame, settings: Settings = Settings()) -> Da
     rows = rows.withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / s.part_turns).cast("bigint"))
     speakers = rows.filter(F.col("role") != s.system).select("conv_id", F.col("role").alias("speaker")).distinct()
     item = F.struct(F.col("turn"), "role", "text")
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(item)).alias("turns"))
+    large = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).filter(F.col("n") > s.piece_rows).select("conv_id", "part")
+    large = scratch.materialise(large, "large_parts")
+    split = not large.isEmpty()
+    small = rows.join(large, ["conv_id", "part"], "left_anti") if split else rows
+    parts = small.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(item)).cast(f"array<{_TURN}>").alias("turns")).select("conv_id", "part", F.lit(0).cast("bigint").alias("piece"), "turns")
+    if split:
+        parts = parts.unionByName(_pieces(rows, large, s.piece_rows))
 
     def lead(t: Column, speaker: Column) -> Column:
         name = F.when(t.role == s.system, F.lit(s.system)).when(t.role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), t.role))
@@ -74,8 +108,8 @@ def rotate_perspectives(turns: DataFrame, settings: Settings = Settings()) -> Da
 
         return let(said, marks)
 
-    both = parts.join(speakers, "conv_id").select("conv_id", "speaker", "part", F.size("turns").alias("n_turns"), render(F.col("turns"), F.col("speaker")).alias("r"))
-    both = both.select("conv_id", "speaker", "part", "n_turns", F.col("r.text").alias("text"), F.col("r.done.mask").alias("mask"), F.col("r.done.at").alias("size"))
-    earlier = W.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    both = parts.join(speakers, "conv_id").select("conv_id", "speaker", "part", "piece", F.size("turns").alias("n_turns"), render(F.col("turns"), F.col("speaker")).alias("r"))
+    both = both.select("conv_id", "speaker", "part", "piece", "n_turns", F.col("r.text").alias("text"), F.col("r.done.mask").alias("mask"), F.col("r.done.at").alias("size"))
+    earlier = W.partitionBy("conv_id", "speaker").orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(earlier), F.lit(0)).cast("bigint")
-    return both.select("conv_id", "speaker", "part", start.alias("start"), F.col("n_turns").cast("bigint").alias("n_turns"), "text", "mask")
+    return both.select("conv_id", "speaker", "part", "piece", start.alias("start"), F.col("n_turns").cast("bigint").alias("n_turns"), "text", "mask")

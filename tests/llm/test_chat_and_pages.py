@@ -21,6 +21,25 @@ def test_perspectives(spark):
     assert rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_very_many_rows_of_one_turn_are_dealt_over_pieces(spark):
+    rows = [(1, None, "ann", f"t{k % 40}") for k in range(300)] + [(1, 7, "bob", "same")] * 150 + [(1, 8, "ann", "end" * 5000), (2, 1, "ann", "Hi")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = rotate_perspectives(df, Settings(piece_rows=20)).collect()
+    assert max(r.n_turns for r in got) < 100 and len(got) > 2 * 20
+    whole = {}
+    for r in sorted(got, key=lambda r: (r.part, r.piece)):
+        text = whole.setdefault((r.conv_id, r.speaker), "")
+        assert r.start == len(text)
+        whole[r.conv_id, r.speaker] = text + r.text
+    plain = {(r.conv_id, r.speaker): "" for r in got}
+    for r in sorted(rotate_perspectives(df).collect(), key=lambda r: (r.part, r.piece)):
+        assert r.piece == 0
+        plain[r.conv_id, r.speaker] += r.text
+    assert {k: sorted(v.split("<|im_start|>")) for k, v in whole.items()} == {k: sorted(v.split("<|im_start|>")) for k, v in plain.items()}
+    # the order of numbers and roles holds across pieces
+    assert [x.split("\n")[1][:1] for x in whole[1, "bob"].split("<|im_start|>")[1:]] == ["t"] * 300 + ["s"] * 150 + ["e"]
+
+
 def test_main_text_of_messy_markup():
     html = (
         "<html><body><nav>Menu</nav><div class='ad'>Buy</div><article><header>By X</header><h1>A &amp; B</h1><p><b>One\n two<br><p>three</b></p><ul><li>x<li>y</ul>"
