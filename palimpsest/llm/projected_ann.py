@@ -3,37 +3,41 @@
 After Sun et al., "SRS" (PVLDB 8, 2014). One more coordinate turns largest inner product into smallest
 Euclidean distance. Vectors are projected to a few dimensions by a Gaussian matrix, for which the squared
 ratio of projected to true distance follows a chi-square law. A kd-tree over the projections hands out
-points by projected distance; each is verified on the original vectors. The search ends when every point
-not yet handed out is so far in projection that one nearer than the k-th best would be there with at most
-the probability 1 - tau.
+points by projected distance, each query's in its own order; each is verified on the original vectors. A query
+ends when every point not yet handed out is so far in projection that one nearer than a ``ratio``-th of the
+k-th best distance would be there with at most the probability 1 - tau.
 
-The index is cut into shards of bounded size, and queries come in blocks of bounded size; every block meets
-every shard, and the shards' lists are merged by aggregation.
+The index is cut into shards of bounded size. A task builds a shard's tree once and streams the queries, in
+blocks of bounded size, past it; the shards' lists are merged by aggregation.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.llm.memory import trimmed
 
 @dataclass(frozen=True)
 class Settings:
-    """Neighbours; projected dimensions (even); tau, the least probability to catch a nearer point; rows of
-    a kd-tree leaf, of a shard and of a block of queries; seed of the projection."""
+    """Neighbours; projected dimensions (even); tau, the least probability to catch a nearer point; the ratio of
+    distances that an approximate answer may have; rows of a kd-tree leaf, of a shard and of a block of
+    queries; seed of the projection."""
 
     k: int = 20
     dims: int = 8
-    tau: float = 0.97
-    leaf: int = 32
+    tau: float = 0.45
+    ratio: float = 1.05
+    leaf: int = 16
     shard_rows: int = 16_384
-    block_rows: int = 8_192
+    block_rows: int = 128
     seed: int = 7
 
 
@@ -80,76 +84,90 @@ class Index:
         leaves = kd_leaves(projected, s.leaf)
         by_leaf = np.concatenate(leaves)
         self.ids, self.vectors, self.projected = ids[by_leaf], vectors[by_leaf], projected[by_leaf]
-        self.start = np.concatenate([[0], np.cumsum([len(x) for x in leaves])])
+        size = np.array([len(x) for x in leaves])
+        place = np.cumsum(size)[:, None] - size[:, None] + np.arange(max(1, int(size.max(initial=0))))
+        #: Rows of each leaf, filled up with -1.
+        self.rows = np.where(np.arange(place.shape[1]) < size[:, None], place, -1)
         self.low = np.array([projected[x].min(0) for x in leaves])
         self.high = np.array([projected[x].max(0) for x in leaves])
-        self.reach = chi_square_quantile(s.tau, s.dims)
+        self.reach = chi_square_quantile(s.tau, s.dims) / s.ratio**2
 
-    def _merge(self, ids, score, rows: np.ndarray, own: int, q: np.ndarray):
-        rows = rows[self.ids[rows] != own]
-        # row-wise sums: equal vectors get equal products wherever they stand
-        ids, score = np.concatenate([ids, self.ids[rows]]), np.concatenate([score, (self.vectors[rows] * q).sum(1)])
-        best = np.lexsort((ids, -score))[: self.s.k]
-        return ids[best], score[best]
+    def search(self, owns: np.ndarray, qs: np.ndarray, together: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and inner products (a row a query, best first, filled up with score -inf) of the nearest found, and
+        the number of pairs verified.
 
-    def search(self, owns: np.ndarray, qs: np.ndarray, first: int = 4, together: int = 64) -> tuple[list, list, int]:
-        """Ids and inner products of the nearest found for each query, best first, and the number of rows verified.
-
-        Every query starts with its ``first`` nearest leaves; then all queries go through the leaves
-        together, each as long as its own stopping test lets a leaf through.
+        Each query goes through the leaves in the order of their projected distance from it, ``together`` at a
+        time, as long as its own stopping test lets them through.
         """
-        k, at = self.s.k, qs @ self.matrix[:-1]
-        near = np.zeros((len(qs), len(self.low)))
-        for d in range(self.s.dims):
+        s, n, at = self.s, len(qs), qs @ self.matrix[:-1]
+        near = np.zeros((n, len(self.low)))
+        for d in range(s.dims):
             gap = np.maximum(0.0, np.maximum(self.low[:, d] - at[:, d : d + 1], at[:, d : d + 1] - self.high[:, d]))
             near += gap * gap
+        order = np.argsort(near, axis=1, kind="stable")
+        near = np.take_along_axis(near, order, axis=1)
         base = (qs * qs).sum(1) + self.bound
-        slack = 1e-6 * base
-        limit, worst = np.full(len(qs), np.inf), np.full(len(qs), -np.inf)
-        ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(qs)
-        score: list[np.ndarray] = [np.zeros(0)] * len(qs)
-        verified = 0
-
-        def update(i: int, rows: np.ndarray) -> None:
-            ids[i], score[i] = self._merge(ids[i], score[i], rows, owns[i], qs[i])
-            if len(ids[i]) == k:
-                worst[i] = score[i][-1]
-                limit[i] = self.reach * max(0.0, base[i] - 2 * worst[i]) + slack[i]
-
-        start = np.argpartition(near, min(first, near.shape[1] - 1), axis=1)[:, :first]
-        for i in range(len(qs)):
-            rows = np.concatenate([np.arange(self.start[x], self.start[x + 1]) for x in start[i]])
-            verified += len(rows)
-            update(i, rows)
-            near[i, start[i]] = np.inf  # handed out
-        leaf = np.repeat(np.arange(len(self.low)), np.diff(self.start))
-        nearest = np.argsort(near.min(0), kind="stable")
-        for g in range(0, len(nearest), together):
-            leaves = nearest[g : g + together]
-            live = np.flatnonzero((near[:, leaves] <= limit[:, None]).any(1) & np.isfinite(near[:, leaves]).any(1))
+        ids, score = np.full((n, s.k), np.iinfo(np.int64).max), np.full((n, s.k), -np.inf)
+        limit, verified, live = np.full(n, np.inf), 0, np.arange(n)
+        for g in range(0, near.shape[1], together):
+            live = live[near[live, g] <= limit[live]]
             if not len(live):
+                break
+            rows = self.rows[order[live, g : g + together]]
+            let = (rows >= 0) & (near[live, g : g + together] <= limit[live, None])[:, :, None]
+            rows, let = rows.reshape(len(live), -1), let.reshape(len(live), -1)
+            let &= self.ids[rows] != owns[live, None]
+            q, c = let.nonzero()
+            verified += len(q)
+            found = np.full(rows.shape, -np.inf)
+            for i in range(0, len(q), 1 << 14):
+                part = slice(i, i + (1 << 14))
+                # row-wise sums: equal vectors get equal products wherever they stand
+                found[q[part], c[part]] = (qs[live[q[part]]] * self.vectors[rows[q[part], c[part]]]).sum(1)
+            better = (found >= score[live, -1:]) & let
+            some = better.any(1).nonzero()[0]
+            if not len(some):
                 continue
-            rows = np.concatenate([np.arange(self.start[x], self.start[x + 1]) for x in leaves])
-            product = qs[live] @ self.vectors[rows].T
-            out = near[live][:, leaf[rows]] <= np.minimum(limit[live], np.finfo(float).max)[:, None]
-            verified += int(out.sum())
-            hits = out & (product >= (worst[live] - 1e-9 * base[live])[:, None])
-            for j in np.flatnonzero(hits.any(1)):
-                update(live[j], rows[hits[j]])
+            who = live[some]
+            both_ids = np.concatenate([ids[who], np.where(better[some], self.ids[rows[some]], np.iinfo(np.int64).max)], axis=1)
+            both = np.concatenate([score[who], np.where(better[some], found[some], -np.inf)], axis=1)
+            first = np.argsort(both_ids, axis=1, kind="stable")
+            both_ids, both = np.take_along_axis(both_ids, first, 1), np.take_along_axis(both, first, 1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, : s.k]
+            ids[who], score[who] = np.take_along_axis(both_ids, best, 1), np.take_along_axis(both, best, 1)
+            full = who[score[who, -1] > -np.inf]
+            limit[full] = self.reach * np.maximum(0.0, base[full] - 2 * score[full, -1]) + 1e-6 * base[full]
         return ids, score, verified
 
 
 def _meet(bound: float, s: Settings):
-    def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(vectors) and len(queries):
-            index = Index(vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy()).astype(float), bound, s)
-            owns, qs = queries["query_id"].to_numpy(), np.stack(queries["v"].to_numpy()).astype(float)
-            for i in range(0, len(owns), 256):
-                ids, score, _ = index.search(owns[i : i + 256], qs[i : i + 256])
-                for own, a, b in zip(owns[i : i + 256], ids, score, strict=True):
-                    out += zip([own] * len(a), a, b, strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    """Stream sorted by (shard, asks): a shard's vectors, then all queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, index, held = None, None, []
+        for batch in batches:
+            of, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "asks", "vec_id"))
+            column = batch.column("v")
+            width = len(column.flatten()) // max(1, len(column))
+            vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+            cuts = np.append(((of[1:] != of[:-1]) | (asks[1:] != asks[:-1])).nonzero()[0] + 1, len(of))
+            for i, j in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True):
+                if i == j:
+                    continue
+                if of[i] != shard:
+                    shard, index, held = of[i], None, []
+                if not asks[i]:
+                    held.append((ids[i:j], vectors[i:j].copy()))
+                    continue
+                if not held and index is None:
+                    continue  # a shard without vectors
+                if index is None:
+                    index, held = Index(*(np.concatenate(x) for x in zip(*held, strict=True)), bound, s), []
+                for a in range(i, j, s.block_rows):
+                    b = min(a + s.block_rows, j)
+                    found, score, _ = index.search(ids[a:b], vectors[a:b])
+                    q, c = (score > -np.inf).nonzero()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][q]), pa.array(found[q, c]), pa.array(score[q, c])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -175,11 +193,11 @@ def nearest_by_inner_product(vectors: DataFrame, queries: DataFrame | None = Non
     facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("bound"), F.min_by(F.size("v"), "vec_id").alias("dims")).first()
     asked = rows.filter(F.col("vec_id") % every == 0) if queries is None else clean(queries)
     rows, asked = (df.filter(F.size("v") == F.lit(facts.dims)) for df in (rows, asked))
-    n_queries = asked.count() if facts.n else 0
-    shards, blocks = max(1, -(-facts.n // s.shard_rows)), max(1, -(-n_queries // s.block_rows))
-    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), "v")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_meet(float(facts.bound or 0.0), s), "query_id bigint, vec_id bigint, score double")
+    shards = max(1, -(-facts.n // s.shard_rows))
+    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+    stream = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "asks")
+    found = stream.mapInArrow(trimmed(_meet(float(facts.bound or 0.0), s)), "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
 
