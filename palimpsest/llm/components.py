@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scratch
+from palimpsest.llm.memory import trimmed
 
 
 #: Edges that one task turns into a forest at once.
@@ -80,7 +81,7 @@ def connected_components(edges: DataFrame, share: int = SHARE) -> DataFrame:
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
     now = scratch.materialise(now, "edges")
     shares = max(1, -(-now.count() // share))
-    now = scratch.materialise(now.coalesce(shares).mapInArrow(lambda batches: _forest(batches, share), "u bigint, v bigint"), "forest")
+    now = scratch.materialise(now.coalesce(shares).mapInArrow(trimmed(lambda batches: _forest(batches, share)), "u bigint, v bigint"), "forest")
     before = None
     while shares > 1:  # the stars of a single share are the components
         now = scratch.materialise(_star(_star(now, True), False), "edges")

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import scratch
 from palimpsest.llm.components import connected_components
+from palimpsest.llm.memory import trimmed
 from palimpsest.llm.wordhash import U64, fmix, row_shingles
 
 N_WORDS = 5
@@ -346,12 +347,12 @@ def _links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFr
         bits = min(s.filter_bits, (8 * n_roles).bit_length())
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
         # of fixed size: a bitmap from each task, joined by shares before the last one
-        maps = ids.mapInArrow(_bitmap(bits), "bits binary").repartition(16).mapInArrow(_or_bitmaps, "bits binary")
-        found = maps.repartition(1).mapInArrow(_or_bitmaps, "bits binary").collect()
+        maps = ids.mapInArrow(trimmed(_bitmap(bits)), "bits binary").repartition(16).mapInArrow(trimmed(_or_bitmaps), "bits binary")
+        found = maps.repartition(1).mapInArrow(trimmed(_or_bitmaps), "bits binary").collect()
         sent = spark.sparkContext.broadcast(bytes(found[0][0]))
-        texts = docs.mapInArrow(_wanted(sent, bits), docs.schema).join(roles, "id")
+        texts = docs.mapInArrow(trimmed(_wanted(sent, bits)), docs.schema).join(roles, "id")
     parts = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-    links = parts.select("hub", "kind", F.col("id").alias("doc_id"), "text").mapInArrow(_verify(n, t), "u bigint, v bigint")
+    links = parts.select("hub", "kind", F.col("id").alias("doc_id"), "text").mapInArrow(trimmed(_verify(n, t)), "u bigint, v bigint")
     return scratch.materialise(links, "links")
 
 
@@ -388,7 +389,7 @@ def _cross_pairs(left: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("node", "n"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = blocks.select("shingle", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "n", "pos", "comp")
     keyed = keyed.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "n", "node")
-    return keyed.mapInArrow(_cross(t), "hub bigint, hub_n int, node bigint, n int")
+    return keyed.mapInArrow(trimmed(_cross(t)), "hub bigint, hub_n int, node bigint, n int")
 
 
 def _join_components(nodes: DataFrame, by_node: DataFrame, links: DataFrame, share: int) -> DataFrame:
@@ -413,19 +414,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, s = docs.sparkSession, settings
     t = Fraction(threshold)
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    found = scratch.materialise(docs.mapInArrow(_survey(n, s.sketch_bits), "doc_id bigint, n int, node bigint, chunk int, counts binary"), "survey")
+    found = scratch.materialise(docs.mapInArrow(trimmed(_survey(n, s.sketch_bits)), "doc_id bigint, n int, node bigint, chunk int, counts binary"), "survey")
     info = found.filter("chunk is null").select("doc_id", "n", "node")
     nodes = info.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
 
-    chunks = found.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, classes binary")
+    chunks = found.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(trimmed(_sum_chunks), "chunk int, classes binary")
     table = np.zeros(1 << s.sketch_bits, np.uint8)
     for chunk, classes in chunks.collect():  # of fixed size
         table[chunk * _CHUNK : chunk * _CHUNK + len(classes)] = np.frombuffer(classes, np.uint8)
     sent = spark.sparkContext.broadcast(table.tobytes())
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(n, s.sketch_bits, sent, t, s.list_rows), "shingle bigint, salt int, node bigint, n int, pos int")
+    prefixes = docs.select("text").mapInArrow(trimmed(_prefixes(n, s.sketch_bits, sent, t, s.list_rows)), "shingle bigint, salt int, node bigint, n int, pos int")
     lists = prefixes.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node")
-    rows = scratch.materialise(lists.mapInArrow(_hubs(t), _ROWS), "lists")
+    rows = scratch.materialise(lists.mapInArrow(trimmed(_hubs(t)), _ROWS), "lists")
     # of lists with the same rows the first in the global order: it has a pair's first common shingle if any has
     whole = rows.filter("salt < 0").select("shingle", "family", "lead")
     dealt = rows.filter("salt >= 0").groupBy("shingle").agg(F.bit_xor(F.xxhash64("node", "n")).alias("family"), F.min_by("pos", F.struct("n", "node")).alias("lead"))

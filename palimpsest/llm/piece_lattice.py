@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.memory import trimmed
 from palimpsest.llm.wordhash import U64, fmix, powers, slices
 
 _BLANK, _MASKED = "▁", "\ud800"  # a lone surrogate stands for a literal U+2581 within a chunk
@@ -43,9 +44,12 @@ class Settings:
     model: str
     alpha: float = 1.0
     seed: int = 1
-    remember: int = 150_000
+    remember: int = 100_000
 
 
+#: New chunks filtered at once; their edges, some hundreds of bytes a character, are the most that a task holds.
+_TOGETHER = 4096
+
 #: An id from here on stands for a character that its UTF-8 bytes spell.
 _SPELLED = 1 << 21
 
@@ -224,9 +228,9 @@ def sample(texts: list[str], keys: np.ndarray, lattices: _Lattices, seed: int) -
     chunks = [_CHUNK.findall(t) for t in texts]
     per = [len(c) for c in chunks]
     flat = list(chain.from_iterable(chunks))
-    new = set(flat) - lattices.last.keys()
-    if new:
-        lattices.add(sorted(new))
+    new = sorted(set(flat) - lattices.last.keys())
+    for i in range(0, len(new), _TOGETHER):
+        lattices.add(new[i : i + _TOGETHER])
     states = list(map(lattices.last.__getitem__, flat))
     first, cum, piece, back = lattices.arrays()
     row = np.repeat(np.arange(len(texts)), per)
@@ -280,7 +284,7 @@ def _encode(s: Settings):
         lattices = _Lattices(Vocabulary(s.model, s.alpha), s.remember)
         for batch in batches:
             texts, keys = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            for i, j in _parts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1 << 20):
+            for i, j in _parts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1 << 19):
                 ids, bounds = sample([t or "" for t in texts.slice(i, j - i).to_pylist()], keys[i:j], lattices, s.seed)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
                 rest = batch.slice(i, j - i)
@@ -312,6 +316,15 @@ def _decode(s: Settings):
     return run
 
 
+def _both(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded = _encode(s)(batches)
+        twice = (pa.RecordBatch.from_arrays([*b.columns, b.column(b.num_columns - 1)], [*b.schema.names, "_ids"]) for b in encoded)
+        yield from _decode(s)(twice)
+
+    return run
+
+
 def _carried(df: DataFrame, new: str) -> tuple[list[str], list, str]:
     kept = [c for c in df.columns if c.lower() != new]
     return kept, [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(kept))
@@ -325,12 +338,23 @@ def encode_pieces(docs: DataFrame, settings: Settings, id_col: str = "doc_id", t
     """
     kept, columns, types = _carried(docs, "ids")
     rows = docs.select(*columns, F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{id_col}`")).alias("_key"))
-    out = rows.mapInArrow(_encode(settings), f"{types}, ids array<int>")
+    out = rows.mapInArrow(trimmed(_encode(settings)), f"{types}, ids array<int>")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), "ids")
 
 
 def decode_pieces(encoded: DataFrame, settings: Settings, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids_col``; a null or empty list gives an empty text."""
     kept, columns, types = _carried(encoded, "decoded")
-    out = encoded.select(*columns, F.col(f"`{ids_col}`").alias("_ids")).mapInArrow(_decode(settings), f"{types}, decoded string")
+    out = encoded.select(*columns, F.col(f"`{ids_col}`").alias("_ids")).mapInArrow(trimmed(_decode(settings)), f"{types}, decoded string")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), "decoded")
+
+
+def round_trip_pieces(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``ids`` and with ``decoded``, the text of these: both ways in one worker.
+
+    Rows and nulls are treated as by ``encode_pieces`` and ``decode_pieces``.
+    """
+    kept, columns, types = _carried(docs.drop(text_col, "ids"), "decoded")
+    rows = docs.select(*columns, F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{id_col}`")).alias("_key"))
+    out = rows.mapInArrow(trimmed(_both(settings)), ", ".join(filter(None, (types, "ids array<int>, decoded string"))))
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), "ids", "decoded")

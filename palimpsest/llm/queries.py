@@ -55,7 +55,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of each text, and whether decoding it gives the text back."""
     settings = piece_lattice.Settings(tokenizer_file("piece_bpe_32k.model"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    out = piece_lattice.decode_pieces(piece_lattice.encode_pieces(docs, settings).drop("text"), settings)
+    out = piece_lattice.round_trip_pieces(docs, settings)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scratch
+from palimpsest.llm.memory import trimmed
 
 
 @dataclass(frozen=True)
@@ -245,7 +246,7 @@ def site_noise(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     s = settings
     kinds = "host string, page bigint, path bigint, parent bigint, depth int, kind int, feature bigint"
-    rows = pages.select("url", "html").mapInArrow(_survey, kinds)
+    rows = pages.select("url", "html").mapInArrow(trimmed(_survey), kinds)
     # pages of equal main text count once: copies of a page are not a template
     counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count_distinct("page").alias("c"), F.min("parent").alias("parent"), F.min("depth").alias("depth"))
     counts = scratch.materialise(counts, "style_counts")
@@ -295,6 +296,6 @@ def extract_main_text(pages: DataFrame, settings: Settings = Settings()) -> Data
     noise = scratch.materialise(site_noise(pages, s).filter("size(noise) > 0 or lines is not null"), "site_noise")
     # a host may have a third of all pages: its few noise rows are repeated, its pages dealt over them
     noise = noise.select(F.col("host").alias("_host"), F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("_salt"), F.col("noise").alias("_noise"), F.col("lines").alias("_lines"))
-    rows = pages.mapInArrow(_hosts, "page_id bigint, url string, html string, _host string")
+    rows = pages.mapInArrow(trimmed(_hosts), "page_id bigint, url string, html string, _host string")
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(s.salts)).cast("int")).join(noise, ["_host", "_salt"], "left")
-    return rows.select("page_id", "url", F.col("html").alias("_html"), "_noise", "_lines").mapInArrow(_extract, "page_id bigint, url string, text string")
+    return rows.select("page_id", "url", F.col("html").alias("_html"), "_noise", "_lines").mapInArrow(trimmed(_extract), "page_id bigint, url string, text string")

@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scratch
+from palimpsest.llm.memory import trimmed
 from palimpsest.llm.wordhash import binary_parts, slices
 
 
@@ -524,7 +525,7 @@ def write_token_files(docs: DataFrame, path: str, settings: Settings, id_col: st
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").withColumn("part", F.spark_partition_id())
-    out = rows.select("doc_id", "text", "part").mapInArrow(_write(settings), "part int, segment int, doc_ids array<bigint>, counts array<bigint>, data binary")
+    out = rows.select("doc_id", "text", "part").mapInArrow(trimmed(_write(settings)), "part int, segment int, doc_ids array<bigint>, counts array<bigint>, data binary")
     out.write.parquet(path)
 
 
@@ -537,7 +538,7 @@ def read_token_files(docs_path: str, like: DataFrame, with_ids: bool = True) ->
     offsets = size.join(before, "part").select("part", "segment", (F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("segment")) - F.col("n")).alias("start"))
     rows = segments.join(offsets, ["part", "segment"]).select("start", "doc_ids", "counts", "data")
     columns = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return rows.mapInArrow(_read, f"{columns}, ids array<bigint>") if with_ids else rows.mapInArrow(_digests, columns)
+    return rows.mapInArrow(trimmed(_read), f"{columns}, ids array<bigint>") if with_ids else rows.mapInArrow(trimmed(_digests), columns)
 
 
 def token_files_round_trip(docs: DataFrame, settings: Settings, with_ids: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.memory import trimmed
 from palimpsest.llm.wordhash import NON_WORD, U64, binary_parts, fmix, hashes, slices, spans
 
 _KINDS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], U64)
@@ -132,7 +133,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
         rows = rows.filter(F.pmod(order, F.lit(1 << 20)) < int((1 << 20) * settings.sample_rows / count))
     rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text")).join(rows, "doc_id")
     rows = rows.withColumn("draw", order).repartition(1).sortWithinPartitions("draw", "doc_id").select("toxic", "text")
-    found = sorted(rows.mapInArrow(_train(settings), "feature bigint, weight double").collect()) or [(1 << settings.bits, 0.0)]
+    found = sorted(rows.mapInArrow(trimmed(_train(settings)), "feature bigint, weight double").collect()) or [(1 << settings.bits, 0.0)]
     return np.array([r[0] for r in found], "<i8").tobytes(), np.array([r[1] for r in found], "<f8").tobytes()
 
 
@@ -142,5 +143,5 @@ def score_toxicity(docs: DataFrame, model: tuple[bytes, bytes], settings: Settin
     kept = [c for c in docs.columns if c.lower() != "score"]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)), F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("text"))
     types = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept))
-    out = rows.mapInArrow(_score(sent, settings), f"{types}, score double")
+    out = rows.mapInArrow(trimmed(_score(sent, settings)), f"{types}, score double")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), "score")

@@ -16,7 +16,18 @@ def test_round_trip_and_reproducible(spark):
     rows = {n: {r.doc_id: (list(r.ids), r.decoded) for r in L.decode_pieces(L.encode_pieces(df.repartition(n), s), s).collect()} for n in (1, 4)}
     assert rows[1] == rows[4]
     assert all(rows[1][i][1] == (t or "") for i, t in enumerate(TEXTS))
-    assert L.encode_pieces(df.limit(0), s).count() == 0
+    both = {r.doc_id: (list(r.ids), r.decoded, r.c0) for r in L.round_trip_pieces(df.repartition(3), s).collect()}
+    assert both == {i: (*x, 2) for i, x in rows[1].items()}
+    assert L.encode_pieces(df.limit(0), s).count() == L.round_trip_pieces(df.limit(0), s).count() == 0
+
+
+def test_very_long_texts_and_runs_and_repeated_ids(spark):
+    s = L.Settings(MODEL, remember=50)
+    texts = ["word of many, " * 60_000, "x" * 20_000, None, "", "same", "same"]
+    df = spark.createDataFrame([(None if k > 3 else k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = L.round_trip_pieces(df, s).collect()
+    assert sorted(r.decoded for r in got) == sorted(t or "" for t in texts)
+    assert len({tuple(r.ids) for r in got if r.decoded == "same"}) == 1
 
 
 def test_sampling_follows_the_lattice():
