@@ -1,7 +1,8 @@
 """Written citations to identifiers and back, as column expressions.
 
-Seven forms are tried in order; the first that fits gives the result. Case of subdivisions is kept, an
-appendix title gets the suffix ``a``, and what fits no form is null.
+A citation is cut into tokens once: numbers, subdivisions in parentheses, section signs, commas and words. Each
+token has a kind of one letter, so a citation's form is a short string of kinds that is matched as a whole, and
+its parts are the tokens of a kind in order. Paths are cut at their slashes instead. What fits no form is null.
 """
 
 from __future__ import annotations
@@ -11,14 +12,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import let
 
-_NUM = r"([0-9]+[A-Za-z0-9]*(?:[-–—][A-Za-z0-9]+)*)"
-_SUB = r"((?:\s*\([A-Za-z0-9]+\))*)"
-_CODE = r"U\.?\s?S\.?\s?C\.?"
-_APP = r"(\s*,?\s*App(?:endix|x)?\.?)?"
-_SIGN = r"(?:§+|sections?|secs?\.?)"
-_TAIL = r"(\s*[,;]?\s*(?:note|et\.?\s+seq\.?))?"
-_LEVEL = r"(chapter|chap|ch|subchapter|subchap|subch|part|pt|subpart|subpt|subtitle|subtit)\.?"
-
 #: Written level and the identifier's abbreviation.
 LEVELS = {
     "chapter": "ch",
@@ -35,59 +28,107 @@ LEVELS = {
     "subtit": "st",
 }
 
-#: (name, pattern, group of title, appendix, section, subdivisions, level, level's number, trailer)
+#: Kinds of words. The code's name may be spelled in one word or in three.
+_KINDS = {
+    **{"usc": "K", "u": "u", "s": "s", "c": "c"},
+    **dict.fromkeys(("section", "sections", "sec", "secs"), "S"),
+    **dict.fromkeys(("app", "appx", "appendix"), "A"),
+    **dict.fromkeys(LEVELS, "L"),
+    **{"of": "o", "title": "T", "note": "N", "et": "e", "seq": "q"},
+}
+#: A title's number glued to the code's name, a number, a subdivision, signs, a word with its stop, or any other sign.
+_TOKEN = r"[0-9]+[aA]?(?=[uU]\.?\s?[sS])|[0-9][0-9A-Za-z]*(?:[-–—][0-9A-Za-z]+)*|\([0-9A-Za-z]+\)|§+|[A-Za-z]+\.?|[^\s]"
+
+_CODE, _APP, _END = "(?:K|usc)", "(?:,?A)?", ",?(?:N|eq)?"
+#: Form, the kinds that it is made of, and the places of the title's and the section's number among the numbers.
 _FORMS = (
-    ("path", r"^/?(?:us/usc/)?t(\d+a?)(?:/s([^/\s]+))?((?:/[A-Za-z0-9]+)*)/?$", 1, 0, 2, 3, 0, 0, 0),
-    ("path level", r"^/?(?:us/usc/)?t(\d+a?)/((?:ch|sch|pt|spt|st|d|sd)[^/\s]*(?:/[^/\s]+)*?)/?$", 1, 0, 0, 0, 0, 2, 0),
-    ("slashed", rf"^(\d+a?)/{_NUM}((?:/[A-Za-z0-9]+)*)$", 1, 0, 2, 3, 0, 0, 0),
-    ("standard", rf"(?i)^(\d{{1,2}})\s*{_CODE}{_APP}\s*(?:{_SIGN}\s*)?{_NUM}{_SUB}{_TAIL}$", 1, 2, 3, 4, 0, 0, 5),
-    ("inverted", rf"(?i)^{_SIGN}\s*{_NUM}{_SUB}\s+of\s+title\s+(\d{{1,2}}){_APP}{_TAIL}$", 3, 4, 1, 2, 0, 0, 5),
-    ("title last", rf"(?i)^{_SIGN}\s*{_NUM}{_SUB}\s*,\s*(\d{{1,2}})\s*{_CODE}{_APP}{_TAIL}$", 3, 4, 1, 2, 0, 0, 5),
-    ("level", rf"(?i)^(?:title\s+)?(\d{{1,2}})(?:\s*{_CODE})?{_APP}\s*,?\s*{_LEVEL}\s*([A-Za-z0-9-]+)$", 1, 2, 0, 0, 3, 4, 0),
-    ("title", rf"(?i)^(?:title\s+(?=\d+(?:\s|,|$))|(?=\d+\s*{_CODE}))(\d{{1,2}})(?:\s*{_CODE})?{_APP}$", 1, 2, 0, 0, 0, 0, 0),
+    ("standard", f"^n{_CODE}{_APP}S*np*{_END}$", 0, 1),
+    ("inverted", f"^S+np*oTn{_APP}{_END}$", 1, 0),
+    ("title last", f"^S+np*,n{_CODE}{_APP}{_END}$", 1, 0),
+    ("level", f"^T?n{_CODE}?{_APP},?L[nwusceq]$", 0, None),
+    ("title", f"^(?:Tn{_CODE}?|n{_CODE}){_APP}$", 0, None),
 )
 
 
 def _normal(text: Column) -> Column:
+    """One blank for white space, no parentheses around the whole, no stop at the end."""
     t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    balanced = r"^\(([^()]*(?:\([^()]*\)[^()]*)*)\)$"
-    for _ in range(2):  # wrapping parentheses, only where they belong together
-        t = F.when(t.rlike(balanced) & ~t.rlike(r"^\([A-Za-z0-9]+\)(?:\([A-Za-z0-9]+\))+$"), F.trim(F.regexp_extract(t, balanced, 1))).otherwise(t)
-    return F.regexp_replace(t, r"(?<![CcPp])[.,;\s]+$", "")
+    inner = F.substring(t, F.lit(2), F.length(t) - 2)
+    # they belong together if no prefix of what they hold closes more than it opens
+    steps = F.transform(F.filter(F.split(inner, ""), lambda c: c.isin("(", ")")), lambda c: F.when(c == "(", 1).otherwise(-1))
+    state = F.aggregate(steps, F.struct(F.lit(0).alias("open"), F.lit(0).alias("least")), lambda a, x: F.struct((a.open + x).alias("open"), F.least(a.least, a.open + x).alias("least")))
+    wrapped = t.startswith("(") & t.endswith(")") & (state.open == 0) & (state.least == 0) & inner.contains(" ")
+    return F.regexp_replace(F.when(wrapped, F.trim(inner)).otherwise(t), r"(?<=[^a-zA-Z.])[.,;]+$|[,;]+$", "")
 
 
 def parse_citation(text: Column) -> Column:
     """Struct (form, identifier, section_identifier, title, note, et_seq, appendix), or null."""
-    return let(_normal(text), _parse)
-
-
-def _parse(t: Column) -> Column:
-    out = None
-    for name, pattern, title, app, section, sub, level, num, tail in _FORMS:
-        get = lambda k, p=pattern: F.regexp_extract(t, p, k) if k else F.lit("")
-        appendix = (get(app) != "") | get(title).endswith("a")
-        titled = F.concat(F.lit("/us/usc/t"), get(title), F.when(get(app) != "", "a").otherwise(""))
-        parts = F.regexp_extract_all(get(sub), F.lit("([A-Za-z0-9]+)"), F.lit(1)) if sub else F.array().cast("array<string>")
-        holder = F.concat(titled, F.when(get(section) != "", F.concat(F.lit("/s"), get(section))).otherwise("")) if section else titled
-        if num:
-            short = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), F.lower(get(level))), F.lit("")) if level else F.lit("")
-            holder = F.concat(titled, F.lit("/"), short, get(num))
-        whole = F.concat(holder, F.array_join(F.transform(parts, lambda p: F.concat(F.lit("/"), p)), ""))
-        trailer = F.lower(get(tail))
-        found = F.when(
-            t.rlike(pattern),
-            F.struct(
-                F.lit(name).alias("form"),
-                whole.alias("identifier"),
-                holder.alias("section_identifier"),
-                F.concat(get(title), F.when(get(app) != "", "a").otherwise("")).alias("title"),
-                trailer.contains("note").alias("note"),
-                trailer.contains("seq").alias("et_seq"),
-                appendix.alias("appendix"),
-            ),
+    return let(_normal(text), lambda t: F.coalesce(_path(t), let(F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0)), _written_form)))
+
+
+def _found(form: Column, title: Column, appendix: Column, section: Column, below: Column, note: Column, et_seq: Column) -> Column:
+    """The struct of a citation from its parts; ``section`` and ``below`` are rests of a path, empty or with a slash first."""
+    number = F.regexp_replace(F.lower(title), "a$", "")
+    whole_title = F.concat(number, F.when(appendix, "a").otherwise(""))
+    holder = F.concat(F.lit("/us/usc/t"), whole_title, section)
+    return F.struct(form.alias("form"), F.concat(holder, below).alias("identifier"), holder.alias("section_identifier"), whole_title.alias("title"), note.alias("note"), et_seq.alias("et_seq"), appendix.alias("appendix"))
+
+
+def _slashes(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("/"), p)), "")
+
+
+def _path(t: Column) -> Column:
+    """An identifier, with or without its beginning, or title/section/subdivisions."""
+
+    def of(parts: Column) -> Column:
+        first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        plain = F.forall(parts, lambda p: p.rlike("^[0-9A-Za-z–—-]+$"))
+        no = F.lit(False)
+        tagged = plain & first.rlike("^t[0-9]+a?$")
+        bare = plain & (F.size(parts) >= 2) & first.rlike("^[0-9]+a?$") & second.rlike("^[0-9]")
+        below = F.slice(parts, 3, 1000)
+        rest = F.slice(parts, 2, 1000)
+        is_section = second.rlike("^s[0-9]")
+        title = F.regexp_replace(first, "^t", "")
+        of_section = lambda s: _found(F.lit("path"), title, title.endswith("a"), s, _slashes(below), no, no)
+        return (
+            F.when(tagged & F.coalesce(is_section, no), of_section(F.concat(F.lit("/"), second)))
+            .when(tagged, _found(F.lit("path"), title, title.endswith("a"), _slashes(rest), F.lit(""), no, no))
+            .when(bare, _found(F.lit("slashed"), title, title.endswith("a"), F.concat(F.lit("/s"), second), _slashes(below), no, no))
         )
-        out = found if out is None else F.coalesce(out, found)
-    return out
+
+    cut = F.filter(F.split(F.regexp_replace(t, "^/?us/usc/", ""), "/"), lambda p: p != "")
+    return F.when(t.contains("/") | t.rlike("^t[0-9]+a?$"), let(cut, of))
+
+
+def _written_form(tokens: Column) -> Column:
+    kinds = F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv))
+
+    def kind(x: Column) -> Column:
+        named = F.coalesce(F.element_at(kinds, F.lower(F.regexp_replace(x, r"\.$", ""))), F.lit("w"))
+        return F.when(x.rlike("^[0-9]"), "n").when(x.rlike("^[A-Za-z]"), named).when(x.startswith("§"), "S").when(x.startswith("(") & (F.length(x) > 2), "p").when(x.isin(",", ";"), ",").otherwise("x")
+
+    def match(shape: Column) -> Column:
+        numbers = F.filter(tokens, lambda x: x.rlike("^[0-9]"))
+        below = _slashes(F.transform(F.filter(tokens, lambda x: x.startswith("(")), lambda x: F.regexp_replace(x, r"[()]", "")))
+        level = F.element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), F.lower(F.regexp_replace(F.get(tokens, F.instr(shape, "L") - 1), r"\.$", "")))
+        last = F.regexp_replace(F.element_at(tokens, -1), r"\.$", "")
+        out = None
+        for form, pattern, at_title, at_section in _FORMS:
+            title = F.get(numbers, F.lit(at_title))
+            if form == "level":
+                section, rest = F.concat(F.lit("/"), level, last), F.lit("")
+            elif form == "title":
+                section, rest = F.lit(""), F.lit("")
+            else:
+                section, rest = F.concat(F.lit("/s"), F.get(numbers, F.lit(at_section))), below
+            appendix = shape.contains("A") | F.lower(title).endswith("a")
+            found = F.when(shape.rlike(pattern) & title.rlike("^[0-9]+[aA]?$"), _found(F.lit(form), title, appendix, section, rest, shape.contains("N"), shape.contains("eq")))
+            out = found if out is None else F.coalesce(out, found)
+        return out
+
+    return let(F.array_join(F.transform(tokens, kind), ""), match)
 
 
 def format_citation(identifier: Column) -> Column:

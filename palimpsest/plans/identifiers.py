@@ -111,8 +111,10 @@ def _cited(spark, d):
         F.concat(F.lit("("), t, F.lit(" U. S. C. App. "), s, F.lit(" note)")),
         F.concat(F.lit("Title "), t),
         F.concat(t, F.lit(" CFR "), s),
+        F.concat(t, F.lit("a USC "), s),
+        F.concat(F.lit("section "), s, F.lit(" of title "), t, F.lit("a")),
     ]
-    text = F.get(F.array(*forms), (F.col("o_orderkey") % 9).cast("int"))
+    text = F.get(F.array(*forms), (F.col("o_orderkey") % 11).cast("int"))
     return o.select("o_orderkey", text.alias("text"))
 
 
@@ -122,11 +124,11 @@ def citation_parse(spark, d):
 
 
 CITE_SQL = """
-WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS f, '/us/usc/t' || (o_orderkey % 54 + 1) AS t, o_custkey % 900 + 1 AS s FROM orders)
+WITH o AS (SELECT o_orderkey, o_orderkey % 11 AS f, '/us/usc/t' || (o_orderkey % 54 + 1) AS t, o_custkey % 900 + 1 AS s FROM orders)
 SELECT o_orderkey, CASE f WHEN 0 THEN t || '/s' || s || '/a/1' WHEN 1 THEN t || '/s' || s || '/B' WHEN 2 THEN t || '/s' || s || '/c/5' WHEN 3 THEN t || '/s' || s WHEN 4 THEN t || '/s' || s || '/a/2'
-            WHEN 5 THEN t || '/ch' || s WHEN 6 THEN t || 'a/s' || s WHEN 7 THEN t END AS identifier,
-       CASE f WHEN 5 THEN t || '/ch' || s WHEN 6 THEN t || 'a/s' || s WHEN 7 THEN t WHEN 8 THEN NULL ELSE t || '/s' || s END AS section_identifier,
-       CASE WHEN f < 8 THEN f = 6 END AS note, CASE WHEN f < 8 THEN f = 6 END AS appendix FROM o
+            WHEN 5 THEN t || '/ch' || s WHEN 7 THEN t WHEN 8 THEN NULL ELSE t || 'a/s' || s END AS identifier,
+       CASE f WHEN 5 THEN t || '/ch' || s WHEN 7 THEN t WHEN 8 THEN NULL ELSE t || CASE WHEN f IN (6, 9, 10) THEN 'a' ELSE '' END || '/s' || s END AS section_identifier,
+       CASE WHEN f <> 8 THEN f = 6 END AS note, CASE WHEN f <> 8 THEN f IN (6, 9, 10) END AS appendix FROM o
 """
 
 
@@ -135,9 +137,9 @@ def citation_format(spark, d):
 
 
 FORMAT_SQL = """
-WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS f, CAST(o_orderkey % 54 + 1 AS VARCHAR) AS t, CAST(o_custkey % 900 + 1 AS VARCHAR) AS s FROM orders)
-SELECT o_orderkey, CASE f WHEN 5 THEN t || ' U.S.C. chapter ' || s WHEN 6 THEN t || ' U.S.C. App. § ' || s WHEN 7 THEN 'Title ' || t
-       ELSE t || ' U.S.C. § ' || s || CASE f WHEN 0 THEN '(a)(1)' WHEN 1 THEN '(B)' WHEN 2 THEN '(c)(5)' WHEN 4 THEN '(a)(2)' ELSE '' END END AS written FROM o WHERE f < 8
+WITH o AS (SELECT o_orderkey, o_orderkey % 11 AS f, CAST(o_orderkey % 54 + 1 AS VARCHAR) AS t, CAST(o_custkey % 900 + 1 AS VARCHAR) AS s FROM orders)
+SELECT o_orderkey, CASE f WHEN 5 THEN t || ' U.S.C. chapter ' || s WHEN 6 THEN t || ' U.S.C. App. § ' || s WHEN 9 THEN t || ' U.S.C. App. § ' || s WHEN 10 THEN t || ' U.S.C. App. § ' || s WHEN 7 THEN 'Title ' || t
+       ELSE t || ' U.S.C. § ' || s || CASE f WHEN 0 THEN '(a)(1)' WHEN 1 THEN '(B)' WHEN 2 THEN '(c)(5)' WHEN 4 THEN '(a)(2)' ELSE '' END END AS written FROM o WHERE f <> 8
 """
 
 
