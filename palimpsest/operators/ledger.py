@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identifiers import file_title
@@ -55,15 +56,41 @@ def collisions(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Percentile of an array by nearest rank: place floor(p/100*n + 0.5), at least 1, at most n."""
-    rank = F.greatest(F.lit(1), F.least(F.size(values), F.floor(F.lit(p / 100.0) * F.size(values) + 0.5).cast("int")))
-    return F.get(F.array_sort(values), rank - 1)
+def percentiles(rows: DataFrame, by: list[str], value: str, nearest: dict[str, float], index: dict[str, float]) -> DataFrame:
+    """Percentiles of a column per group, by names: ``nearest`` by nearest rank, place floor(p/100*n + 0.5), at least 1
+    and at most n; ``index`` by index, place min(n - 1, int(p/100*n)) from 0. Nulls do not count.
 
+    Values are counted first and picked by their cumulated counts, so no group becomes a list.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*by)
+    ranked = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    n = F.col("_n")
+    places = {k: F.greatest(F.lit(1), F.least(n, F.floor(F.lit(p / 100.0) * n + 0.5))) for k, p in nearest.items()}
+    places |= {k: F.least(n - 1, F.floor(F.lit(p / 100.0) * n)) + 1 for k, p in index.items()}
+    return ranked.groupBy(*by).agg(*(F.min(F.when(F.col("_to") >= at, F.col(value))).alias(k) for k, at in places.items()))
 
-def index_percentile(values: Column, p: float) -> Column:
-    """Percentile of an array by index: place min(n - 1, int(p/100*n)), from 0."""
-    return F.get(F.array_sort(values), F.least(F.size(values) - 1, F.floor(F.lit(p / 100.0) * F.size(values)).cast("int")))
+
+def verification_report(checks: DataFrame, by: list[str]) -> DataFrame:
+    """Of checked counts (``compare_counts``) per ``by``: how many, how many do not agree, and whether all do."""
+    return checks.groupBy(*by).agg(F.count("*").alias("n_checked"), F.count_if(~F.col("sound")).alias("n_wrong"), F.every("sound").alias("sound"))
+
+
+def modal_gap(checks: DataFrame, by: list[str]) -> DataFrame:
+    """The most common difference between counted and recorded rows that is not zero, ties to the smaller one."""
+    gaps = checks.withColumn("gap", F.col("n_actual") - F.coalesce("n_recorded", F.lit(0))).filter("gap != 0").groupBy(*by, "gap").agg(F.count("*").alias("n"))
+    return gaps.groupBy(*by).agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("gap"), F.max("n").alias("n"))
+
+
+def step_summary(calls: DataFrame) -> DataFrame:
+    """Per step of ``calls`` (step, code, ms, bytes): calls, good ones (0 < code < 400), p50 and p95 of the good ones by
+    nearest rank, median bytes by index, and a histogram of codes."""
+    good = (F.col("code") > 0) & (F.col("code") < 400)
+    n = calls.groupBy("step").agg(F.count("*").alias("n"), F.count_if(good).alias("n_ok"))
+    time = percentiles(calls.filter(good), ["step"], "ms", {"p50": 50, "p95": 95}, {})
+    size = percentiles(calls.filter(good), ["step"], "bytes", {}, {"median_bytes": 50})
+    codes = histogram(calls, "code", ["step"]).withColumnRenamed("counts", "codes")
+    return n.join(time, "step", "left").join(size, "step", "left").join(codes, "step", "left")
 
 
 def histogram(rows: DataFrame, key: str, by: list[str]) -> DataFrame:

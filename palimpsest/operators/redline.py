@@ -127,7 +127,9 @@ def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def document_diff(a: Column, b: Column) -> Column:
-    """Line operations; equal texts are answered without leaving the JVM."""
+    """Line operations; a null text is an empty one. Of equal texts only nulls go to the aligner, their lines stay
+    in the JVM."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     same = F.transform(F.split(a, "\n"), lambda x: F.struct(F.lit("equal").alias("op"), x.alias("text")))
     return F.when(a == b, same).otherwise(line_diff(F.when(a != b, a), F.when(a != b, b)))
 

@@ -247,3 +247,98 @@ def recall(ranked: DataFrame, k: int = 10) -> DataFrame:
 def pool(runs: DataFrame, depth: int = 12) -> DataFrame:
     """Union of several profiles' first ``depth`` hits, each once, with the place where it was first seen."""
     return runs.filter(F.col("rank") <= depth).groupBy("query", "doc").agg(F.min(F.struct("profile_order", "rank")).alias("seen"))
+
+
+@dataclass(frozen=True)
+class Profile:
+    """How hits are scored: fields with weights, boosts of phrases in body and heading, words that may stand between
+    a phrase's words, versions searched, and the boost of versions in force where all are searched."""
+
+    name: str
+    fields: tuple[tuple[str, float], ...]
+    phrase_boost: float = 0.0
+    heading_phrase_boost: float = 0.0
+    slop: int = 2
+    scope: str = "current"
+    current_boost: float = 1.0
+
+
+#: Profiles with their weights.
+PROFILES = {
+    "deployed": Profile("deployed", (("heading", 4.0), ("body", 1.0))),
+    "heading-6": Profile("heading-6", (("heading", 6.0), ("num", 2.0), ("body", 1.0))),
+    "heading-10": Profile("heading-10", (("heading", 10.0), ("num", 2.0), ("body", 1.0))),
+    "heading-16": Profile("heading-16", (("heading", 16.0), ("num", 2.0), ("body", 1.0))),
+    "phrase": Profile("phrase", (("heading", 10.0), ("num", 2.0), ("body", 1.0)), phrase_boost=4.0, heading_phrase_boost=8.0),
+    "all-versions": Profile("all-versions", (("heading", 10.0), ("num", 2.0), ("body", 1.0)), phrase_boost=4.0, heading_phrase_boost=8.0, scope="all", current_boost=6.0),
+}
+SORTS = ("relevance", "citation", "recent")
+
+
+def phrase_hits(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, slop: int = 2) -> DataFrame:
+    """(query, doc, idf) of documents in which all words of a query stand in order, up to ``slop`` words between two.
+
+    ``queries`` is query, text, a small table. A query of one word, or with other signs than letters, digits and
+    blanks, has no phrase. ``idf`` is the sum over the query's words. Places of query words only are shuffled, and
+    words are joined place by place.
+    """
+    plain = queries.filter(F.col("text").rlike(r"^[\p{L}\p{N}_\s]+$")).select("query", terms(F.col("text")).alias("_w")).filter(F.size("_w") > 1)
+    wanted = plain.select("query", F.size("_w").alias("m"), F.posexplode("_w").alias("i", "term"))
+    longest = wanted.agg(F.max("m")).first()[0] or 0
+    words = docs.select(F.col(id_col).alias("doc"), terms(F.col(text_col)).alias("w"))
+    places = words.select("doc", F.posexplode("w").alias("at", "term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    total = F.broadcast(docs.agg(F.count("*").alias("_n")))  # one row
+    df = places.groupBy("term").agg(F.count_distinct("doc").alias("_df")).crossJoin(total).select("term", F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
+    weight = wanted.join(df, "term").groupBy("query").agg(F.sum("_idf").alias("idf"))
+    stood = wanted.filter("i = 0").join(places, "term").select("query", "m", "doc", "at")
+    done = None
+    for i in range(1, longest):
+        after = wanted.filter(F.col("i") == i).join(places, "term").select("query", "doc", F.col("at").alias("_next"))
+        stood = stood.join(after, ["query", "doc"]).filter((F.col("_next") > F.col("at")) & (F.col("_next") <= F.col("at") + 1 + slop)).select("query", "m", "doc", F.col("_next").alias("at")).distinct()
+        full = stood.filter(F.col("m") == i + 1).select("query", "doc").distinct()
+        done = full if done is None else done.unionByName(full)
+    if done is None:
+        done = stood.select("query", "doc").limit(0)
+    return done.join(weight, "query")
+
+
+def profile_scores(docs: DataFrame, queries: DataFrame, profile: Profile, columns: dict[str, str], id_col: str = "doc_id", current: str | None = None) -> DataFrame:
+    """(query, doc, score) under a profile: BM25 by field and weight, a phrase's boost times its words' idf.
+
+    ``queries`` is query, text; ``columns`` maps the profile's fields to columns of ``docs``, fields without one do
+    not score. ``current`` names the column that tells versions in force, by which the profile's scope filters or
+    boosts; without it every row counts once.
+    """
+    if current and profile.scope == "current":
+        docs = docs.filter(F.col(current))
+    words = queries.select("query", F.explode(terms(F.col("text"))).alias("term")).distinct()
+    parts = [(bm25(docs, words, id_col, columns[name]), weight) for name, weight in profile.fields if name in columns]
+    for name, boost in (("body", profile.phrase_boost), ("heading", profile.heading_phrase_boost)):
+        if boost and name in columns:
+            parts.append((phrase_hits(docs, queries, id_col, columns[name], profile.slop).withColumnRenamed("idf", "score"), boost))
+    out = weighted_score(parts)
+    if current and profile.scope == "all" and profile.current_boost != 1.0:
+        now = docs.select(F.col(id_col).alias("doc"), F.col(current).alias("_now"))
+        out = out.join(now, "doc").select("query", "doc", (F.col("score") * F.when(F.col("_now"), profile.current_boost).otherwise(1.0)).alias("score"))
+    return out
+
+
+def sort_hits(hits: DataFrame, sort: str, tie: str, sort_key: str = "sort_key", first_seq: str = "first_seq") -> DataFrame:
+    """Hits by ``relevance`` (score), ``citation`` (``sort_key``, missing last) or ``recent`` (``first_seq``, newest first),
+    then by score and ``tie``."""
+    if sort not in SORTS:
+        raise ValueError(f"sort is one of {', '.join(SORTS)}")
+    first = {"relevance": [], "citation": [F.col(sort_key).asc_nulls_last()], "recent": [F.col(first_seq).desc_nulls_last()]}[sort]
+    return hits.orderBy(*first, F.desc("score"), tie)
+
+
+def page(ordered: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """``limit`` (1 to 100) rows of an ordered result from ``offset`` (0 to 1000) on."""
+    if not (1 <= limit <= 100 and 0 <= offset <= 1000):
+        raise ValueError("limit is 1 to 100, offset 0 to 1000")
+    return ordered.offset(offset).limit(limit)
+
+
+def profile_means(scores: DataFrame) -> DataFrame:
+    """Mean nDCG and recall per profile over queries (profile, query, ndcg, recall), to four places."""
+    return scores.groupBy("profile").agg(F.round(F.avg("ndcg"), 4).alias("ndcg"), F.round(F.avg("recall"), 4).alias("recall"))

@@ -93,9 +93,9 @@ COLLISION_SQL = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GR
 
 
 def rank_percentiles(spark, d):
-    """By nearest rank and by index, of page sizes per event type (values per type are few thousands per million rows)."""
-    rows = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 10).alias("bucket")).agg(F.collect_list("value").alias("v"))
-    return rows.select("event_type", "bucket", *(ledger.nearest_rank(F.col("v"), p).alias(f"p{p}") for p in (50, 95)), ledger.index_percentile(F.col("v"), 50).alias("median"), ledger.index_percentile(F.col("v"), 99).alias("p99"))
+    """By nearest rank and by index, of values per event type and a tenth of the users."""
+    rows = table(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("bucket"), "value")
+    return ledger.percentiles(rows, ["event_type", "bucket"], "value", {"p50": 50, "p95": 95}, {"median": 50, "p99": 99})
 
 
 PERCENTILE_SQL = """
