@@ -299,12 +299,13 @@ def decode_blocks(blocks: list[bytes], length: np.ndarray, v: int) -> np.ndarray
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
-_HEAD = "<4sIQII"
+_HEAD = "<4sIQIII"
 
 
 def pack(ids: np.ndarray, block: int) -> bytes:
-    """A segment's bytes: head (magic, block size, ids, blocks, distinct ids), the sorted distinct ids and their
-    CRC-32, then size and CRC-32 of each block, then the blocks."""
+    """A segment's bytes: head (magic, block size, ids, blocks, distinct ids, bytes of their list), the list of the
+    sorted distinct ids as deflated differences and its CRC-32, then size and CRC-32 of each block, then the
+    blocks."""
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= 1 << 32):
         raise ValueError("ids are unsigned 32-bit integers")
     if len(ids) and int(ids.max()) < 1 << 22:
@@ -317,21 +318,21 @@ def pack(ids: np.ndarray, block: int) -> bytes:
     if len(known) >= _ONE:
         raise ValueError(f"a segment holds {len(known)} distinct ids; fewer than {_ONE} can be coded")
     blocks = encode_blocks(dense.astype(np.int32, copy=False), block, len(known))
-    names = known.astype("<u4").tobytes()
-    head = struct.pack(_HEAD, MAGIC, block, len(ids), len(blocks), len(known)) + names + struct.pack("<I", zlib.crc32(names))
+    names = zlib.compress(np.diff(known.astype(np.int64), prepend=0).astype("<u4").tobytes())
+    head = struct.pack(_HEAD, MAGIC, block, len(ids), len(blocks), len(known), len(names)) + names + struct.pack("<I", zlib.crc32(names))
     return head + b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks) + b"".join(blocks)
 
 
 def unpack(data: bytes) -> np.ndarray:
     """Ids of a segment; a wrong magic or checksum raises ``ValueError``."""
-    magic, block, n, count, distinct = struct.unpack_from(_HEAD, data)
+    magic, block, n, count, distinct, listed = struct.unpack_from(_HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a token file segment")
     at = struct.calcsize(_HEAD)
-    names = data[at : at + 4 * distinct]
-    if zlib.crc32(names) != struct.unpack_from("<I", data, at + 4 * distinct)[0]:
+    names = data[at : at + listed]
+    if zlib.crc32(names) != struct.unpack_from("<I", data, at + listed)[0]:
         raise ValueError("the list of ids does not match its checksum")
-    table = at + 4 * distinct + 4
+    table = at + listed + 4
     at, blocks = table + 8 * count, []
     for i in range(count):
         size, crc = struct.unpack_from("<II", data, table + 8 * i)
@@ -342,7 +343,8 @@ def unpack(data: bytes) -> np.ndarray:
     length = np.full(count, block)
     if count:
         length[-1] = n - (count - 1) * block
-    return np.frombuffer(names, "<u4")[decode_blocks(blocks, length, distinct)]
+    known = np.cumsum(np.frombuffer(zlib.decompress(names), "<u4"), dtype=np.int64).astype(np.uint32)
+    return known[decode_blocks(blocks, length, distinct)]
 
 
 #: Texts that hold one of these go through the library whole: runs of white space, white space at an end, any but blank and line break.
