@@ -3,7 +3,7 @@
 Java regular expressions have no positions in Spark SQL, so every pattern is matched as ``(.*?)(pattern)``:
 the lengths of the skipped text and of the matches add up to code-point offsets. Only texts in which a
 pattern occurs at all pay for that. Entropy slides over candidate strings with counts that are updated for
-the character that enters and the one that leaves, so a window costs two steps whatever its width.
+the character that enters and the one that leaves: a step touches a few packed longs, whatever the width.
 """
 
 from __future__ import annotations
@@ -88,25 +88,35 @@ def _xlog(n: Column) -> Column:
 def _peak(s: Column, width: int) -> Column:
     """Highest Shannon entropy (bits a character) of any window, by counts kept as the window moves.
 
-    The state holds the count of each code unit below 128 and the sum of n*log2(n) over them.
+    The state holds the count of each printable ASCII character, several to a long, and the sum of n*log2(n).
     """
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"))
+    bits = width.bit_length()
+    each, most = 63 // bits, (1 << bits) - 1
+    longs = -(-96 // each)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), longs).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"))
+
+    def place(c: Column) -> Column:
+        return F.struct(c.alias("code"), (c / each).cast("int").alias("at"), (c % each * bits).alias("shift"))
+
+    def count(n: Column, x: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.element_at(n, x["at"] + 1), x["shift"]).bitwiseAND(F.lit(most).cast("bigint"))
+
+    def one(x: Column, i: Column) -> Column:
+        return F.when(x["at"] == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), x["shift"])).otherwise(0)
 
     def move(state: Column, x: Column) -> Column:
-        into, outof = x.into, x.outof
-        n_in = F.element_at(state.n, into + 1)
-        up = F.transform(state.n, lambda v, i: v + (i == into).cast("int") - (i == outof).cast("int"))
-        same = into == outof
-        n_out = F.element_at(state.n, F.greatest(outof, F.lit(0)) + 1)
-        change = F.when(same, 0.0).otherwise(_xlog(n_in + 1) - _xlog(n_in) + F.when(outof >= 0, _xlog(n_out - 1) - _xlog(n_out)).otherwise(0.0))
-        total = state.sum + change
+        into, outof = x["into"], x["outof"]
+        counts = F.transform(state.n, lambda v, i: v + one(into, i) - one(outof, i))
+        n_in, n_out = count(state.n, into), count(state.n, outof)
+        leave = F.when(outof.isNotNull(), _xlog(n_out - 1) - _xlog(n_out)).otherwise(0.0)
+        total = state["sum"] + F.when(F.equal_null(into.code, outof.code), 0.0).otherwise(_xlog(n_in + 1) - _xlog(n_in) + leave)
         here = F.when(x.full, F.log2(F.lit(float(width))) - total / width).otherwise(0.0)
-        return F.struct(up.alias("n"), total.alias("sum"), F.greatest(state.peak, here).alias("peak"))
+        return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(state.peak, here).alias("peak"))
 
     def steps(chars: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.struct(c.alias("into"), F.coalesce(F.get(chars, i - width), F.lit(-1)).alias("outof"), (i >= width - 1).alias("full")))
+        return F.transform(chars, lambda c, i: F.struct(c.alias("into"), F.get(chars, i - width).alias("outof"), (i >= width - 1).alias("full")))
 
-    return F.aggregate(let(F.transform(F.split(s, ""), lambda c: F.ascii(c)), steps), zero, move, lambda st: st.peak)
+    return F.aggregate(let(F.transform(F.split(s, ""), lambda c: place(F.ascii(c) - 32)), steps), zero, move, lambda st: st.peak)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:

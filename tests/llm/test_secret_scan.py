@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm.secret_scan import _peak, scan_secrets, spell
+from palimpsest.llm.secret_scan import ALLOW, CLASSES, _peak, scan_secrets, spell
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 TEXTS = [
@@ -70,3 +70,31 @@ def test_filler_is_the_whole_candidate(spark):
     rows = [(1, "Zq8vT1xR5mKexample0pL7wB3nY9cD2"), (2, "example_placeholder_changeme_1234"), (3, "docs/chapter-12/some_long_title"), (4, "your-api-key-xxxxxxxxxxxxxxxx")]
     got = {r.doc_id: len(r.entropy) for r in scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def entropy_spans(x, base):
+    """Entropy spans by counting every window anew."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_-]{16,}={0,2}", x):
+        s, width = m[0], 20 if len(m[0]) >= 20 else 16
+        full, short = next((f, h) for _, p, f, h in CLASSES if re.search(p, s))
+        windows = (s[i : i + width] for i in range(len(s) - width + 1))
+        peak = max(-sum(n / width * math.log2(n / width) for n in map(w.count, set(w))) for w in windows)
+        if peak >= (full if width == 20 else short) and not any(re.search(p, s) for p in ALLOW) and not any(b <= m.start() and e >= m.end() for b, _, e in base):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_equal_counting_every_window(spark):
+    rng = random.Random(12)
+    alphabets = ["01", "abcdef0123456789", string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_letters + "+/_-", string.digits + "-_"]
+    words = ["", "\u00e9", "token=", "AKIA", "password: ", "=", "==", ".", "your-api-key-"]
+    texts = ["".join(rng.choice(words) + "".join(rng.choices(rng.choice(alphabets), k=rng.randint(1, 60))) + rng.choice([" ", "\n", "=", "==", ","]) for _ in range(rng.randint(1, 25))) for _ in range(120)]
+    texts.append("Zq8vT1xR5mK0pL7wB3nY9cD2" * 400)  # one long candidate
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = 0
+    for r in scan_secrets(df).collect():
+        want = entropy_spans(texts[r.doc_id], base_spans(texts[r.doc_id]))
+        assert [(x.start, x.end) for x in r.entropy] == want, texts[r.doc_id]
+        found += len(want)
+    assert found > 200
