@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,12 @@ _KINDS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93],
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that a model is fitted on; all else holds for every row."""
+    """``sample_rows`` and ``sample_bytes`` bound the labelled rows that a model is fitted on: rows are drawn until
+    their texts reach that many bytes. All else holds for every row."""
 
     bits: int = 20
     sample_rows: int = 20_000
+    sample_bytes: int = 128 << 20
     epochs: int = 4
     alpha: float = 3.0
     beta: float = 1.0
@@ -81,8 +84,14 @@ def fit(examples: Iterator[tuple[np.ndarray, int]] | list, s: Settings) -> tuple
 
 def _train(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        examples, taken = [], 0
         for batch in batches:
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            kept = int((taken + np.cumsum(sizes) - sizes < s.sample_bytes).sum())
+            taken += int(sizes.sum())
+            if not kept:
+                continue
+            batch = batch.slice(0, kept)
             y = batch.column("toxic").to_pylist()
             for i, j, f, row in _features(batch.column("text"), s.bits):
                 order = np.argsort(row, kind="stable")
@@ -123,7 +132,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
 
     ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) may hold nulls: unlabelled rows are left out, a
     null text is an empty one. Of a doc_id labelled more than once the larger label counts. Held-out rows
-    are never used. About ``sample_rows`` rows are drawn by the hash of their id.
+    are never used. About ``sample_rows`` rows are drawn by the hash of their id, and of these, in the order of
+    that hash, as many as begin within ``sample_bytes``. Rows of one id are ordered by their text.
     """
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -132,7 +142,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     if count > settings.sample_rows:
         rows = rows.filter(F.pmod(order, F.lit(1 << 20)) < int((1 << 20) * settings.sample_rows / count))
     rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text")).join(rows, "doc_id")
-    rows = rows.withColumn("draw", order).repartition(1).sortWithinPartitions("draw", "doc_id").select("toxic", "text")
+    rows = rows.withColumn("draw", order).repartition(1).sortWithinPartitions("draw", "doc_id", "text").select("toxic", "text")
     found = sorted(rows.mapInArrow(trimmed(_train(settings)), "feature bigint, weight double").collect()) or [(1 << settings.bits, 0.0)]
     return np.array([r[0] for r in found], "<i8").tobytes(), np.array([r[1] for r in found], "<f8").tobytes()
 

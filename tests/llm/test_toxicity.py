@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.llm.toxicity import held_out, score_toxicity, train_toxicity
+from palimpsest.llm.toxicity import Settings, fit, held_out, score_toxicity, train_toxicity
 
 
 def test_held_out_accuracy_and_edges(spark):
@@ -34,3 +36,41 @@ def test_without_labels_and_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert score_toxicity(d, train_toxicity(d, none)).first().score == 0.5
     assert score_toxicity(d.limit(0), train_toxicity(d, none)).count() == 0
+
+
+def test_weights_equal_a_plain_ftrl():
+    s = Settings(bits=6, alpha=0.7, beta=1.5, l1=0.4, l2=0.1, epochs=3)
+    rng = random.Random(4)
+    examples = [(sorted(rng.sample(range(64), rng.randint(0, 9))), rng.randint(0, 1)) for _ in range(80)]
+    z, n = dict.fromkeys(range(65), 0.0), dict.fromkeys(range(65), 0.0)
+
+    def weight(i):
+        if i == 64:  # the intercept is not penalised
+            return -z[i] * s.alpha / (s.beta + math.sqrt(n[i]))
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for features, y in examples:
+            w = {i: weight(i) for i in [*features, 64]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, wi in w.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+                z[i] += g - sigma * wi
+                n[i] += g * g
+    at, got = fit([(np.array(f, np.int64), y) for f, y in examples], s)
+    want = {i: weight(i) for i in range(65) if i == 64 or weight(i)}
+    assert list(at) == list(want) and np.allclose(got, list(want.values()), atol=1e-12)
+
+
+def test_sample_ends_with_its_bytes(spark):
+    d = spark.createDataFrame([(i, f"w{i} " * 50) for i in range(200)], "doc_id bigint, text string")
+    lab = d.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    whole, cut = (train_toxicity(d, lab, Settings(l1=0.1, sample_bytes=b)) for b in (1 << 20, 1000))
+    assert len(cut[0]) < len(whole[0]) and cut == train_toxicity(d, lab, Settings(l1=0.1, sample_bytes=1000))
+
+
+def test_repeated_ids_do_not_depend_on_arrival(spark):
+    rows = [(i % 7, f"a{i} b{i % 3} c") for i in range(90)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id bigint, toxic int")
+    one, other = (spark.createDataFrame(r, "doc_id bigint, text string") for r in (rows, rows[::-1]))
+    assert train_toxicity(one, lab) == train_toxicity(other, lab)
