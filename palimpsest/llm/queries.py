@@ -15,6 +15,7 @@ from palimpsest.llm.secret_scan import scan_secrets, spell
 from palimpsest.llm.site_style import extract_main_text
 from palimpsest.llm import token_files
 from palimpsest.llm.toxicity import held_out, score_toxicity, train_toxicity
+from palimpsest.llm.turn_repair import conversation_hashes, damage_turns, repair_conversations
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+')"
@@ -140,6 +141,60 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cost and edits of each damaged conversation, and a digest of what they make of it."""
+    conversations = _table(spark, sf_dir, "conversations")
+    found = repair_conversations(damage_turns(conversations))
+    ids = conversations.select("conv_id").distinct()
+    for part in (found.summary, conversation_hashes(found.turns)):
+        part = part.withColumnRenamed("conv_id", "of")
+        ids = ids.join(part, ids.conv_id.eqNullSafe(part.of), "left").drop("of")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return ids.withColumns(zero | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
+def _op11_sql() -> str:
+    """Paths are (cost and audit as one text, repaired text), extended row by row in a recursive query."""
+
+    def path(of: str, cost: str, letters: str, line: str | None = None) -> str:
+        said = f"{of}.t" if line is None else f"{of}.t || CASE WHEN {of}.t = '' THEN '' ELSE chr(10) END || {line}"
+        return f"{{'k': printf('%09d', CAST({of}.k[1:9] AS BIGINT) + {cost}) || {of}.k[10:] || {letters}, 't': {said}}}"
+
+    least = lambda *xs: f"list_sort([x FOR x IN [{', '.join(xs)}] IF x IS NOT NULL])[1]"
+    drop = lambda of: path(of, "4", "'D'")
+    keep = lambda of, initial: f"CASE WHEN r.fault NOT IN (1, 2) AND r.ini = '{initial}' THEN {path(of, 'r.late', chr(39) + 'K' + chr(39), 'r.role || chr(58) || r.text')} END"
+    turn = lambda of, role: f"CASE WHEN r.fault NOT IN (1, 2) THEN {path(of, '3 + r.late', chr(39) + 'R' + chr(39), chr(39) + role + ':' + chr(39) + ' || r.text')} END"
+    insert = lambda of, role: path(of, "3", "'I'", f"'{role}:'")
+    users = [f(of, x) for of in ("d.c0", "d.c1", "d.c3") for f, x in ((keep, "u"), (turn, "user"))]
+    return f"""
+WITH RECURSIVE table_of AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS word FROM conversations),
+h AS (SELECT o.*, xor(list_reduce([ascii(x) FOR x IN string_split(word, '')], lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 20 AS d FROM o, table_of),
+g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM g),
+f AS (SELECT *, CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS ini,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM n),
+r AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS late, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f),
+c AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+             count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+q(conv_id, i, c0, c1, c2, c3) AS (
+  SELECT conv_id, 0::BIGINT, {{'k': '000000000', 't': ''}}, {{'k': '900000000', 't': ''}}, {{'k': '000000003I', 't': 'user:'}}, {{'k': '000000006II', 't': 'user:' || chr(10) || 'assistant:'}} FROM c
+  UNION ALL
+  SELECT conv_id, i, c0, c1, c2, {least("c3", insert("c2", "assistant"))} FROM (
+    SELECT conv_id, i, c0, c1, {least("c2", insert("c0", "user"), insert("c1", "user"), insert("c3", "user"))} AS c2, c3 FROM (
+      SELECT r.conv_id, r.i, {drop("d.c0")} AS c0, {least(drop("d.c1"), keep("d.c0", "s"))} AS c1, {least(drop("d.c2"), *users)} AS c2, {least(drop("d.c3"), keep("d.c2", "a"), turn("d.c2", "assistant"))} AS c3
+      FROM q d JOIN r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1))),
+b AS (SELECT c.*, {least("c0", "c3")} AS best FROM q JOIN c ON c.conv_id IS NOT DISTINCT FROM q.conv_id AND c.n = q.i)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(best.k[1:9] AS BIGINT), 0) AS cost, coalesce(best.k[10:], '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
@@ -151,5 +206,6 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_repair": op11_turn_repair,
 }
-SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op3_perspective_rotation": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
+SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op3_perspective_rotation": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_turn_repair": OP11_SQL}
