@@ -10,12 +10,14 @@ from palimpsest.llm.decontaminate import contaminated
 from palimpsest.llm.jaccard_join import ngram_jaccard_join
 from palimpsest.llm.line_dedup import dedup_lines
 from palimpsest.llm import piece_lattice
+from palimpsest.llm.product_topk import top_products
 from palimpsest.llm.projected_ann import nearest_by_inner_product
 from palimpsest.llm.secret_scan import scan_secrets, spell
 from palimpsest.llm.site_style import extract_main_text
 from palimpsest.llm import token_files
 from palimpsest.llm.toxicity import held_out, score_toxicity, train_toxicity
 from palimpsest.llm.turn_repair import conversation_hashes, damage_turns, repair_conversations
+from palimpsest.llm.word_runs import periodic_runs, plant_repeats, strongest
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+')"
@@ -195,6 +197,31 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.conv_id IS
 OP11_SQL = _op11_sql()
 
 
+def op12_product_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH c AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM c q JOIN c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of documents with planted repeats: their number, the strongest, and digests of all and of what is left."""
+    found = periodic_runs(plant_repeats(_table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = F.col("best")
+    found = found.withColumn("best", strongest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.floor(1000 * best.length / best.period).alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
@@ -207,5 +234,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
     "op11_turn_repair": op11_turn_repair,
+    "op12_product_topk": op12_product_topk,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op3_perspective_rotation": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_turn_repair": OP11_SQL}
+SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op3_perspective_rotation": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_turn_repair": OP11_SQL, "op12_product_topk": OP12_SQL}
