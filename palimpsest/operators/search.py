@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -84,8 +85,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def compile_text(expression: str, tokens: Column) -> Column:
-    """A boolean text expression as a predicate over a document's token array.
+#: What a text expression asks for, as nested tuples: ("phrase", words, slop), ("prefix", start), ("fuzzy", word, edits),
+#: ("not", part), ("and", parts), ("or", parts). An empty "and" matches all, an empty "or" nothing.
+Node = tuple
+
+
+def parse_text(expression: str) -> Node:
+    """A boolean text expression as a tree.
 
     ``a b`` and ``a + b`` need both, ``a | b`` either, ``-a`` excludes, ``"a b"`` is a phrase (``~n`` lets n
     words stand between), ``a*`` a prefix, ``a~n`` any word within n edits, parentheses group. Whatever does
@@ -93,55 +99,90 @@ def compile_text(expression: str, tokens: Column) -> Column:
     """
     lexemes = re.findall(r'"[^"]*"(?:~\d+)?|[()|+]|-(?=[^\s)|+])|[^\s()|+"]+', expression)
     at = 0
+    everything: Node = ("and", ())
+
+    def words(found: list[str], slop: int = 0) -> Node:
+        return ("phrase", tuple(w.lower() for w in found), slop) if found else everything
 
-    def word(x: str) -> Column:
+    def word(x: str) -> Node:
         if x.startswith('"'):
             body, _, slop = x[1:].rpartition('"')
-            return phrase(tokens, [w.lower() for w in _WORD.findall(body)], int(slop[1:] or 0) if slop.startswith("~") else 0)
+            return words(_WORD.findall(body), int(slop[1:] or 0) if slop.startswith("~") else 0)
         if m := re.fullmatch(r"(.+?)~(\d?)", x):
-            target, edits = "".join(_WORD.findall(m[1].lower())), int(m[2] or 1)
-            return F.exists(tokens, lambda t: F.levenshtein(t, F.lit(target), edits) >= 0)
+            return ("fuzzy", "".join(_WORD.findall(m[1].lower())), int(m[2] or 1))
         if x.endswith("*") and len(x) > 1:
-            start = x[:-1].lower()
-            return F.exists(tokens, lambda t: t.startswith(start))
-        found = [w.lower() for w in _WORD.findall(x)]
-        return phrase(tokens, found, 0) if found else F.lit(True)
+            return ("prefix", x[:-1].lower())
+        return words(_WORD.findall(x))
 
-    def atom() -> Column:
+    def atom() -> Node:
         nonlocal at
         x = lexemes[at]
         at += 1
         if x == "-":
-            return ~atom() if at < len(lexemes) else F.lit(True)
+            return ("not", atom()) if at < len(lexemes) else everything
         if x == "(":
             inner = either()
             at += at < len(lexemes) and lexemes[at] == ")"
             return inner
-        return F.lit(True) if x in (")", "|", "+") else word(x)
+        return everything if x in (")", "|", "+") else word(x)
 
-    def all_() -> Column:
+    def all_() -> Node:
         nonlocal at
-        out = F.lit(True)
+        parts = []
         while at < len(lexemes) and lexemes[at] not in ("|", ")"):
             if lexemes[at] == "+":
                 at += 1
                 continue
-            out &= atom()
-        return out
+            parts.append(atom())
+        return ("and", tuple(parts))
 
-    def either() -> Column:
+    def either() -> Node:
         nonlocal at
-        out = all_()
+        parts = [all_()]
         while at < len(lexemes) and lexemes[at] == "|":
             at += 1
-            out |= all_()
-        return out
+            parts.append(all_())
+        return ("or", tuple(parts)) if len(parts) > 1 else parts[0]
 
-    out = either()
+    out = [either()]
     while at < len(lexemes):  # a stray closing parenthesis
         at += 1
-        out &= either()
-    return out
+        out.append(either())
+    return ("and", tuple(out)) if len(out) > 1 else out[0]
+
+
+def leaves_of(node: Node) -> list[Node]:
+    """The distinct words, phrases, prefixes and fuzzy words of a tree."""
+    if node[0] in ("phrase", "prefix", "fuzzy"):
+        return [node]
+    parts = (node[1],) if node[0] == "not" else node[1]
+    return list(dict.fromkeys(leaf for part in parts for leaf in leaves_of(part)))
+
+
+def predicate(node: Node, holds: Callable[[Node], Column]) -> Column:
+    """A tree as a condition, given the condition of each leaf."""
+    if node[0] == "not":
+        return ~predicate(node[1], holds)
+    if node[0] in ("and", "or"):
+        out = F.lit(node[0] == "and")
+        for part in node[1]:
+            found = predicate(part, holds)
+            out = out & found if node[0] == "and" else out | found
+        return out
+    return holds(node)
+
+
+def compile_text(expression: str, tokens: Column) -> Column:
+    """:func:`parse_text` as a predicate over a document's token array, for texts that are in no index."""
+
+    def holds(leaf: Node) -> Column:
+        if leaf[0] == "fuzzy":
+            return F.exists(tokens, lambda t: F.levenshtein(t, F.lit(leaf[1]), leaf[2]) >= 0)
+        if leaf[0] == "prefix":
+            return F.exists(tokens, lambda t: t.startswith(leaf[1]))
+        return phrase(tokens, list(leaf[1]), leaf[2])
+
+    return predicate(parse_text(expression), holds)
 
 
 def phrase(tokens: Column, words: list[str], slop: int = 0) -> Column:

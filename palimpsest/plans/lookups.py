@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import ledger, resolve, search
 from palimpsest.plans.identifiers import CITE_SQL, _cited
-from palimpsest.plans.tables import table
+from palimpsest.plans.tables import document_index, table
 
 
 def _concat(*parts):
@@ -149,9 +149,8 @@ _HEADING = "split_part(text, chr(10), 1)"
 
 
 def _profiled(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"))
     queries = table(spark, d, "region").limit(1).select(F.explode(F.array(F.struct(F.lit("two").alias("query"), F.lit("of the").alias("text")), F.struct(F.lit("one").alias("query"), F.lit("with").alias("text")))).alias("q")).select("q.*")
-    return search.profile_scores(docs, queries, search.PROFILES["phrase"], {"heading": "heading", "body": "text"})
+    return document_index(spark, d).profile_scores(queries, search.PROFILES["phrase"])
 
 
 def search_profile(spark, d):

@@ -6,13 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators import search
-from palimpsest.plans.tables import table
+from palimpsest.plans.tables import document_index, table
 
 _TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 
 def term_frequencies(spark, d):
-    return search.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return document_index(spark, d).lexicon("body").select("term", "df", "cf")
 
 
 TF_SQL = f"WITH p AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1"
@@ -29,7 +29,7 @@ def _queries(spark, d):
 
 
 def search_bm25(spark, d):
-    return search.bm25(table(spark, d, "documents"), _queries(spark, d)).select("query", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    return document_index(spark, d).scores(_queries(spark, d), {"body": 1.0}).select("query", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 BM25_SQL = f"""
@@ -42,9 +42,16 @@ FROM t JOIN df USING (term) JOIN q USING (term), n GROUP BY 1, 2
 """
 
 
+def search_top(spark, d):
+    """The ten best of each query; blocks that can't hold one are not scored."""
+    return document_index(spark, d).top(_queries(spark, d), {"body": 1.0}).select("query", F.col("rank").cast("bigint").alias("rank"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+TOP_SQL = f"SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM ({BM25_SQL})) WHERE rank <= 10"
+
+
 def _matching(spark, d, expression):
-    docs = table(spark, d, "documents").select("doc_id", search.terms(F.col("text")).alias("w"))
-    return docs.filter(search.compile_text(expression, F.col("w"))).select("doc_id")
+    return document_index(spark, d).match(expression).select(F.col("doc").alias("doc_id"))
 
 
 def _any(word):
@@ -74,8 +81,8 @@ FUZZY_SQL = f"WITH t AS (SELECT doc_id, {_TERMS} AS w FROM documents) SELECT doc
 
 def search_collapse(spark, d):
     """One hit per source: the newest, ordered by the source's best score."""
-    hits = search.bm25(table(spark, d, "documents"), _queries(spark, d).filter("query = 'all'")).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
-    hits = hits.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    index = document_index(spark, d)
+    hits = index.scores(_queries(spark, d).filter("query = 'all'"), {"body": 1.0}).join(index.documents, "doc").select(F.col("doc").alias("doc_id"), "source", F.round("score", 6).alias("score"))
     return search.collapse(hits, "source", "doc_id").select("source", "doc_id", "score", "best")
 
 
@@ -99,8 +106,9 @@ UNION ALL (SELECT 'status', coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, 'no
 
 def scoped_search(spark, d):
     q = search.parse_query('title:t1 title:2 status:none "of the" from')
-    docs = table(spark, d, "documents").select("doc_id", search.terms(F.col("text")).alias("w"), (F.col("doc_id") % 5).cast("string").alias("title_num"), F.when(F.col("doc_id") % 2 == 0, "live").alias("status"))
-    return docs.filter(search.filter_column(q) & search.compile_text(q.text, F.col("w"))).select("doc_id")
+    docs = document_index(spark, d).match(q.text).select(F.col("doc").alias("doc_id"))
+    docs = docs.withColumns({"title_num": (F.col("doc_id") % 5).cast("string"), "status": F.when(F.col("doc_id") % 2 == 0, "live")})
+    return docs.filter(search.filter_column(q)).select("doc_id")
 
 
 SCOPED_SQL = f"""
@@ -175,6 +183,7 @@ SELECT DISTINCT ON (query, doc) query, doc, CAST(profile AS BIGINT) AS profile,
 REGISTERED = {
     "term_frequencies": (term_frequencies, TF_SQL),
     "search_bm25": (search_bm25, BM25_SQL),
+    "search_top": (search_top, TOP_SQL),
     "search_boolean": (search_boolean, BOOLEAN_SQL),
     "search_phrase": (search_phrase, PHRASE_SQL),
     "search_prefix_fuzzy": (search_prefix_fuzzy, FUZZY_SQL),
