@@ -18,6 +18,8 @@ INNER_LEVELS = ("subsection", "paragraph", "subparagraph", "clause", "subclause"
 _PROVISION = T.StructType().add("found", "boolean").add("xml", "string")
 _ENTRIES = T.ArrayType(T.StructType().add("anchor", "string").add("num", "string").add("heading", "string"))
 
+_TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
+
 
 def cut_provision(markup: str | None, identifier: str | None) -> tuple[bool, str | None]:
     """The source's own text of the first element with an identifier; declarations of name spaces that it inherits are added."""
@@ -33,7 +35,8 @@ def cut_provision(markup: str | None, identifier: str | None) -> tuple[bool, str
 
     def end(_tag):
         if found.get("depth") == len(stack) and "end" not in found:
-            found["end"] = data.index(b">", parser.CurrentByteIndex) + 1
+            opened = _TAG.match(data, found["begin"]).end()  # an empty element ends there, and has no end tag to look for
+            found["end"] = opened if data[opened - 2 : opened] == b"/>" else data.index(b">", parser.CurrentByteIndex) + 1
         stack.pop()
 
     parser.StartElementHandler, parser.EndElementHandler = start, end

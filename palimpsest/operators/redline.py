@@ -1,58 +1,32 @@
-"""Differences between two versions: characters, lines with words inside them, and line multisets.
+"""Differences between two versions: characters, words, lines with words inside them, and line multisets.
 
-Alignment needs sequence algorithms that SQL lacks, so these are Arrow-batched functions; a pair is one
-row, pairs are independent, and equal texts never reach the aligner.
+Alignment needs sequence algorithms that SQL lacks (``functions/align.py``), so these are Arrow-batched functions; a pair
+is one row, pairs are independent, and equal texts never reach the aligner. Scripts are shortest ones, at any length:
+a pair's memory grows with its texts, its time with length times edits. A null side is an empty text.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())]))
-#: Share of common words from which a removed and an added line count as one changed line.
-CHANGED_FROM = 0.4
-
-
-def _ops(a, b, join: str = "") -> list[dict]:
-    out = []
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            out.append({"op": "equal", "text": join.join(a[i:j])})
-        else:
-            if i < j:
-                out.append({"op": "delete", "text": join.join(a[i:j])})
-            if k < m:
-                out.append({"op": "insert", "text": join.join(b[k:m])})
-    return out
+from palimpsest.functions import align
 
-
-def _tidy(ops: list[dict]) -> list[dict]:
-    """Short equal stretches between changes are folded into them, so that edits read as words."""
-    out = list(ops)
-    changed = True
-    while changed:
-        changed = False
-        for i in range(1, len(out) - 1):
-            here = out[i]
-            if here["op"] != "equal" or out[i - 1]["op"] == "equal" or out[i + 1]["op"] == "equal":
-                continue
-            before = sum(len(x["text"]) for x in out[max(0, i - 2) : i] if x["op"] != "equal")
-            after = sum(len(x["text"]) for x in out[i + 1 : i + 3] if x["op"] != "equal")
-            if len(here["text"]) <= min(before, after) // 2:
-                out[i : i + 1] = [{"op": "delete", "text": here["text"]}, {"op": "insert", "text": here["text"]}]
-                changed = True
-                break
-        out = _merge(out)
-    return out
+_OP = T.StructType().add("op", "string").add("text", "string")
+OPS = T.ArrayType(_OP)
+LINES = T.ArrayType(T.StructType().add("op", "string").add("kind", "string").add("depth", "integer").add("spans", OPS))
+#: Share of the longer line's characters that must stay for a removed and an added line to count as one changed line.
+CHANGED_FROM = 0.4
+_WORDS = re.compile(r"\s+|\S+")
 
 
 def _merge(ops: list[dict]) -> list[dict]:
+    """Neighbours of a kind joined; between equal stretches one deletion, then one insertion."""
     out: list[dict] = []
     held = {"delete": "", "insert": ""}
 
@@ -75,44 +49,57 @@ def _merge(ops: list[dict]) -> list[dict]:
     return out
 
 
+def _worded(script: list[align.Edit], a, b) -> list[dict]:
+    return _merge([{"op": op, "text": "".join(b[k:m] if op == "insert" else a[i:j])} for op, i, j, k, m in script])
+
+
 def character_ops(a: str, b: str) -> list[dict]:
     if a == b:
         return [{"op": "equal", "text": a}] if a else []
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    middle = _ops(a[start : len(a) - end], b[start : len(b) - end])
-    return _tidy(_merge([{"op": "equal", "text": a[:start]}, *middle, {"op": "equal", "text": a[len(a) - end :] if end else ""}]))
+    codes = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b))
+    return _worded(align.at_boundaries(align.tidy(align.edit_script(*codes)), a, b), a, b)
 
 
 def word_ops(a: str, b: str) -> list[dict]:
-    return _merge(_ops(re.findall(r"\s+|\S+", a), re.findall(r"\s+|\S+", b)))
+    x, y = _WORDS.findall(a), _WORDS.findall(b)
+    return _worded(align.edit_script(*align.numbered(x, y)), x, y)
 
 
-def _alike(a: str, b: str) -> float:
-    x, y = a.split(), b.split()
-    same = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-    return same / max(len(x), len(y), 1)
+#: A line: kind, depth, text.
+Line = tuple[str, int, str]
 
 
-def line_ops(a: list[str], b: list[str]) -> list[dict]:
-    """Lines as equal, delete, insert or changed; a changed line holds its word-level marks."""
+def line_ops(a: list[Line], b: list[Line]) -> list[dict]:
+    """Lines as equal, delete, insert or changed. Lines are the same if kind, depth and text are; of a removed and an added
+    stretch at one place the first lines are compared with each other, the second, and so on, and a changed line has
+    word-level spans and the kind and depth that it has now."""
     out: list[dict] = []
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+
+    def put(op: str, line: Line, spans: list[dict] | None = None) -> None:
+        out.append({"op": op, "kind": line[0], "depth": line[1], "spans": spans or [{"op": op, "text": line[2]}]})
+
+    script = align.edit_script(*align.numbered(a, b))
+    for p, (op, i, j, k, m) in enumerate(script):
         if op == "equal":
-            out += [{"op": "equal", "text": x} for x in a[i:j]]
-            continue
-        old, new = a[i:j], b[k:m]
-        for x, y in zip(old, new, strict=False):
-            if _alike(x, y) >= CHANGED_FROM:
-                mark = {"equal": "%s", "delete": "[-%s-]", "insert": "{+%s+}"}
-                out.append({"op": "changed", "text": "".join(mark[o["op"]] % o["text"] for o in word_ops(x, y))})
-            else:
-                out += [{"op": "delete", "text": x}, {"op": "insert", "text": y}]
-        out += [{"op": "delete", "text": x} for x in old[len(new) :]] + [{"op": "insert", "text": y} for y in new[len(old) :]]
+            for line in b[k:m]:
+                put("equal", line)
+        elif op == "delete":
+            added = b[script[p + 1][3] : script[p + 1][4]] if script[p + 1 : p + 2] and script[p + 1][0] == "insert" else []
+            for n, line in enumerate(a[i:j]):
+                if n >= len(added):
+                    put("delete", line)
+                    continue
+                spans = word_ops(line[2], added[n][2])
+                stays = sum(len(s["text"]) for s in spans if s["op"] == "equal")
+                if stays >= CHANGED_FROM * max(len(line[2]), len(added[n][2]), 1):
+                    put("changed", added[n], spans)
+                else:
+                    put("delete", line)
+                    put("insert", added[n])
+        else:
+            paired = script[p - 1][2] - script[p - 1][1] if p and script[p - 1][0] == "delete" else 0
+            for line in b[k + min(paired, m - k) : m]:
+                put("insert", line)
     return out
 
 
@@ -121,17 +108,42 @@ def character_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([character_ops(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(OPS)
-def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([line_ops((x or "").split("\n"), (y or "").split("\n")) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(LINES)
+def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
+    def lines(side):
+        return [] if side is None else [(x["kind"], x["depth"], x["text"]) for x in side]
+
+    return pd.Series([line_ops(lines(x), lines(y)) for x, y in zip(a, b, strict=True)])
+
+
+def block_diff(a: Column, b: Column) -> Column:
+    """Array of (op, kind, depth, spans) from two arrays of (depth, kind, text), such as ``functions.blocks.reading_blocks``
+    gives. Equal sides stay in the JVM."""
+    none = F.array().cast(T.ArrayType(T.StructType().add("depth", "integer").add("kind", "string").add("text", "string")))
+    a, b = F.coalesce(a, none), F.coalesce(b, none)
+    span = lambda x: F.array(F.struct(F.lit("equal").alias("op"), x.text.alias("text")))
+    same = F.transform(a, lambda x: F.struct(F.lit("equal").alias("op"), x.kind.alias("kind"), x.depth.alias("depth"), span(x).alias("spans")))
+    return F.when(a == b, same.cast(LINES)).otherwise(_aligned(F.when(a != b, a), F.when(a != b, b)))
 
 
 def document_diff(a: Column, b: Column) -> Column:
-    """Line operations; a null text is an empty one. Of equal texts only nulls go to the aligner, their lines stay
-    in the JVM."""
+    """Array of (op, text) over the lines of two plain texts; a changed line's text marks words as [-old-] and {+new+}."""
+    lines = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.struct(F.lit(1).alias("depth"), F.lit("text").alias("kind"), x.alias("text")))
+
+    def marked(x: Column) -> Column:
+        words = F.transform(x.spans, lambda s: F.when(s.op == "delete", F.concat(F.lit("[-"), s.text, F.lit("-]"))).when(s.op == "insert", F.concat(F.lit("{+"), s.text, F.lit("+}"))).otherwise(s.text))
+        return F.when(x.op == "changed", F.concat_ws("", words)).otherwise(F.concat_ws("", x.spans.text))
+
+    return F.transform(block_diff(lines(a), lines(b)), lambda x: F.struct(x.op.alias("op"), marked(x).alias("text")))
+
+
+def source_redline(a: Column, b: Column) -> Column:
+    """Struct (ops, inserted, deleted): the markup itself compared by characters, and how many were added and removed."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    same = F.transform(F.split(a, "\n"), lambda x: F.struct(F.lit("equal").alias("op"), x.alias("text")))
-    return F.when(a == b, same).otherwise(line_diff(F.when(a != b, a), F.when(a != b, b)))
+    whole = F.when(a == "", F.array().cast(OPS)).otherwise(F.array(F.struct(F.lit("equal").alias("op"), a.alias("text"))).cast(OPS))
+    ops = F.when(a == b, whole).otherwise(character_diff(F.when(a != b, a), F.when(a != b, b)))
+    n = lambda k: F.aggregate(F.filter(ops, lambda x: x.op == k), F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(x.text))
+    return F.struct(ops.alias("ops"), n("insert").alias("inserted"), n("delete").alias("deleted"))
 
 
 def diff_counts(ops: Column) -> Column:
@@ -141,10 +153,10 @@ def diff_counts(ops: Column) -> Column:
 
 
 def diff_summary(ops: Column) -> Column:
-    """``2 changed, 1 inserted``, or ``no changes``."""
+    """``2 lines changed, 1 line added``, or ``No changes``."""
     c = diff_counts(ops)
-    parts = [F.when(c[k] > 0, F.concat(c[k].cast("string"), F.lit(f" {k}"))) for k in ("changed", "inserted", "deleted")]
-    return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("no changes"))
+    parts = [F.when(c[k] > 0, F.concat(c[k].cast("string"), F.when(c[k] == 1, " line ").otherwise(" lines "), F.lit(word))) for k, word in (("changed", "changed"), ("inserted", "added"), ("deleted", "removed"))]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("No changes"))
 
 
 def line_multiset_diff(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:

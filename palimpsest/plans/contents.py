@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import identifiers as I
+from palimpsest.functions import blocks
 from palimpsest.operators import hierarchy, redline
 from palimpsest.plans.tables import table
 
@@ -152,6 +153,54 @@ def document_diff(spark, d):
     return rows.select("conv_id", "turn", redline.diff_summary(F.col("ops")).alias("summary"), F.size("ops").alias("n_ops"))
 
 
+def _section_versions(spark, d):
+    """Orders with their first two lines as versions of a section: (a) names the part, the old one may have a (b), the new
+    one a note; both have a note inside a sentence, and the new one is indented in another way."""
+    line = table(spark, d, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.min(F.when(F.col("l_linenumber") == 1, F.col("l_partkey"))).alias("p"), F.min(F.when(F.col("l_linenumber") == 2, F.col("l_partkey"))).alias("q")
+    ).filter("p is not null and q is not null")
+
+    def markup(part, gap, more):
+        head = F.concat(F.lit("<section><num>§ "), F.col("k").cast("string"), F.lit(".</num>" + gap + "<heading>Supply</heading>" + gap))
+        body = F.concat(F.lit("<subsection><num>(a)</num><chapeau>Whoever needs part "), F.col(part).cast("string"), F.lit(",<note>see below</note> shall<i>soon</i> order it.</chapeau></subsection>"))
+        return F.concat(head, body, more, F.lit("</section>"))
+
+    second = F.when(F.col("p") % 2 == 0, "<subsection><num>(b)</num><content>No more than one.</content></subsection>").otherwise("")
+    note = F.when(F.col("q") % 3 == 0, "<notes><note><heading>History</heading><p>Added later.</p></note></notes>").otherwise("")
+    return line.select("k", "p", "q", markup("p", "", second).alias("old"), markup("q", "\n  ", note).alias("new"))
+
+
+def reading_lines(spark, d):
+    """The lines of every section's old version."""
+    rows = _section_versions(spark, d).select("k", F.posexplode(blocks.reading_blocks("old")).alias("at", "line"))
+    return rows.select("k", F.col("at").cast("bigint").alias("at"), F.col("line.depth").cast("bigint").alias("depth"), "line.kind", "line.text")
+
+
+_TWO_SQL = "SELECT a.l_orderkey AS k, min(a.l_partkey) AS p, min(b.l_partkey) AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 GROUP BY 1"
+READING_SQL = f"""
+WITH s AS ({_TWO_SQL})
+SELECT k, CAST(0 AS BIGINT) AS at, CAST(1 AS BIGINT) AS depth, 'text' AS kind, '§ ' || k || '. Supply' AS text FROM s
+UNION ALL SELECT k, 1, 2, 'text', '(a) Whoever needs part ' || p || ',see below shallsoon order it.' FROM s
+UNION ALL SELECT k, 2, 2, 'text', '(b) No more than one.' FROM s WHERE p % 2 = 0
+"""
+
+
+def section_redline(spark, d):
+    """Every section's new version against its old one: summary, marked line of (a), characters of markup that differ."""
+    rows = _section_versions(spark, d).select("k", redline.block_diff(blocks.reading_blocks("old"), blocks.reading_blocks("new")).alias("d"))
+    marks = F.transform(F.get("d", F.lit(1)).spans, lambda s: F.when(s.op == "equal", s.text).otherwise(F.concat(F.substring(s.op, 1, 1), F.lit("<"), s.text, F.lit(">"))))
+    return rows.select("k", redline.diff_summary(F.col("d")).alias("summary"), F.concat_ws("", marks).alias("marked"), F.size("d").cast("bigint").alias("n_lines"))
+
+
+REDLINE_SQL = f"""
+WITH s AS ({_TWO_SQL})
+SELECT k, CASE WHEN p = q AND p % 2 <> 0 AND q % 3 <> 0 THEN 'No changes' ELSE
+    concat_ws(', ', CASE WHEN p <> q THEN '1 line changed' END, CASE WHEN q % 3 = 0 THEN '2 lines added' END, CASE WHEN p % 2 = 0 THEN '1 line removed' END) END AS summary,
+  '(a) Whoever needs part ' || CASE WHEN p = q THEN p || ',see' ELSE 'd<' || p || ',see>i<' || q || ',see>' END || ' below shallsoon order it.' AS marked,
+  CAST(2 + CASE WHEN p % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN q % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_lines FROM s
+"""
+
+
 REGISTERED = {
     "tree_breadcrumb": (tree_breadcrumb, BREADCRUMB_SQL),
     "toc_sibling_order": (toc_siblings, SIBLING_SQL),
@@ -164,4 +213,6 @@ REGISTERED = {
     "content_keys_pages": (content_keys, KEY_SQL),
     "line_multiset_diff": (line_multiset_diff, MULTISET_SQL),
     "document_diff": (document_diff, None),
+    "reading_lines": (reading_lines, READING_SQL),
+    "section_redline": (section_redline, REDLINE_SQL),
 }

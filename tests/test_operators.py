@@ -76,4 +76,4 @@ def test_diff_reassembles_both_texts(spark):
             assert "".join(o["text"] for o in ops if o["op"] != "delete") == b
     rows = spark.createDataFrame([("a b c d\nx", "a b c e\nx\ny")], "old string, new string").select(redline.document_diff(F.col("old"), F.col("new")).alias("ops"))
     out = rows.select("ops", redline.diff_summary(F.col("ops")).alias("s")).first()
-    assert out.s == "1 changed, 1 inserted" and out.ops[0].text == "a b c [-d-]{+e+}"
+    assert out.s == "1 line changed, 1 line added" and out.ops[0].text == "a b c [-d-]{+e+}"
