@@ -44,7 +44,8 @@ def build_index(spark: SparkSession, root: str, docs: DataFrame, id_col: str, fi
     only postings travel to their terms. ``attributes`` are columns that searches filter, sort and show by.
     """
     rows = docs.filter(F.col(id_col).isNotNull())
-    n_docs = rows.count()
+    sizes = rows.agg(F.count("*").alias("n_docs"), *(F.count(c).alias(f"_{name}") for name, c in fields.items())).first()
+    n_docs = sizes.n_docs
     blocks = max(1, -(-n_docs // BLOCK_DOCS))
     block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("block")
     placed = rows.select(F.col(id_col).alias("doc"), block, *(F.col(c).alias(f"_{name}") for name, c in fields.items())).repartition("doc")
@@ -62,7 +63,7 @@ def build_index(spark: SparkSession, root: str, docs: DataFrame, id_col: str, fi
     lexicon = store.read(tables["postings"]).groupBy("bucket", "term", "field").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
     tables["lexicon"] = store.write("lexicon", lexicon, lambda df, path: df.repartition("bucket").write.partitionBy("bucket").parquet(path))
     tokens = {r.field: r.cf for r in store.read(tables["lexicon"]).groupBy("field").agg(F.sum("cf").alias("cf")).collect()}
-    built = store.commit(tables, {"n_docs": n_docs, "buckets": BUCKETS, "tokens": {name: tokens.get(name, 0) for name in fields}})
+    built = store.commit(tables, {"n_docs": n_docs, "buckets": BUCKETS, "tokens": {name: tokens.get(name, 0) for name in fields}, "filled": {name: sizes[f"_{name}"] for name in fields}})
     if promote:
         store.promote(built)
     return built
@@ -85,10 +86,10 @@ class Index:
         return found.filter(F.col("field") == field) if field else found
 
     def _average(self, field: Column) -> Column:
-        n = max(1, self.snapshot.facts["n_docs"])
+        """Mean length of a field over the documents that have one (an empty text counts, a null one does not)."""
         out = F.lit(1.0)
         for name, tokens in self.snapshot.facts["tokens"].items():
-            out = F.when(field == name, tokens / n).otherwise(out)
+            out = F.when(field == name, tokens / max(1, self.snapshot.facts["filled"][name])).otherwise(out)
         return out
 
     def idf(self, df: Column) -> Column:

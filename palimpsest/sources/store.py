@@ -11,12 +11,14 @@ pinned ones are not retired.
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -46,8 +48,15 @@ class Files:
         where = self._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self._conf)
 
+    def _local(self, where, fs) -> str | None:
+        """A local file's name. Spark's local file system keeps checksums in files of their own, which a rename moves in a
+        second step; without them it is one step."""
+        return where.toUri().getPath() if fs.getScheme() == "file" else None
+
     def read(self, path: str) -> str | None:
         where, fs = self._open(path)
+        if local := self._local(where, fs):
+            return Path(local).read_text() if os.path.exists(local) else None
         if not fs.exists(where):
             return None
         stream = fs.open(where)
@@ -58,6 +67,10 @@ class Files:
 
     def write(self, path: str, text: str) -> None:
         where, fs = self._open(path)
+        if local := self._local(where, fs):
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            Path(local).write_text(text)
+            return
         stream = fs.create(where, True)
         try:
             stream.write(bytearray(text.encode()))
@@ -70,6 +83,9 @@ class Files:
         if fs.getScheme() in ("s3a", "s3", "gs", "abfs", "abfss", "wasb", "wasbs"):
             return self.write(path, text)  # one put; nothing is seen before it is complete
         self.write(new := f"{path}.{uuid.uuid4().hex}", text)
+        if local := self._local(where, fs):
+            os.replace(self._open(new)[0].toUri().getPath(), local)
+            return
         rename = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
         options = self._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
         options[0] = rename.getField("OVERWRITE").get(None)
