@@ -1,5 +1,6 @@
 import datetime
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,12 +36,21 @@ def citations():
     return out
 
 
-#: Texts that name nothing of the code.
-UNREAD = ["", "lorem", "91", "sec. 91", "(d)(12)", "38 CFR 3.1", "P.L. 99-1", "38 Stat. 17", "title", "Title IX", "38 USC 91 or 92", "38 USC (b)", "91 of title 38", "38//", "t/s91", "usc 38", "38 USC 91(b", None]
+def unread():
+    """Texts that name nothing of the code: written forms with a token left out, doubled or swapped, and plain words."""
+    rng = random.Random(12)
+    out = ["", "   ", None, "lorem ipsum", "title", "//"]
+    for _ in range(6):
+        title, section = str(rng.randint(2, 54)), str(rng.randint(60, 9000))
+        code = rng.choice(["USC", "U.S.C."])
+        out += [section, f"§ {section}", f"{section} of title {title}", f"{code} {title}", f"{code} {section} {title}"]  # left out or swapped
+        out += [f"{title} {code} {section} {section}", f"{title} {code} {code} {section}", f"{title} {title} {code} {section}"]  # doubled
+        out += [f"{title} {code} ({section[0]})", f"{title} {code} {section}(b"]
+    return out
 
 
 def test_citation_forms(spark):
-    rows = citations() + [(x, None) for x in UNREAD]
+    rows = citations() + [(x, None) for x in unread()]
     df = spark.createDataFrame(rows, "text string, want string").withColumn("got", C.parse_citation(F.col("text")).identifier)
     wrong = [tuple(r) for r in df.filter("NOT (got <=> want)").collect()]
     assert not wrong
