@@ -1,21 +1,23 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in built-in functions only.
 
-An item of thirty shingles inside a document of ten thousand has a Jaccard similarity near zero, so one
-signature length for all cannot find it. Documents are therefore put into size classes (powers of two), and
-a document's MinHash signature has bins in proportion to its class's upper bound (one permutation hashing:
-the top bits of a shingle's hash are its bin, the hash its rank), a quarter of it. An item gets one signature
-for each class. At d shingles a bin a shared shingle is its bin's minimum with probability (1 - exp(-d)) / d,
-so an item of many shingles is met by some bin almost surely, whatever the sizes. Items so short that the
-chance to be met by none exceeds ``miss`` are looked up by all their shingles in all of a document's, and no
-such item is lost. Candidates are then verified by exact containment, on the shingles themselves.
+An item of thirty shingles inside a document of ten thousand has a Jaccard similarity near zero, so signatures
+of one length for all cannot find it. Here an item's signature is the smallest of its shingles' hashes (bottom-k
+MinHash), and its length k follows the item's size: a document that contains the item lacks at most m - need of its
+m shingles, so of the m - need + ``agree`` smallest hashes at least ``agree`` are the document's, and no item is
+lost, however short it is or long the document.
+
+A document's signature is its shingle hashes up to a bound (scaled MinHash). Items are partitioned by size, and the
+bound of a document's size class is the largest hash in the signatures of those items that fit into it, so no
+document hands over hashes that no signature can hold. Documents and items that agree in enough hashes are
+candidates; they are verified by exact containment, on the shingles themselves.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scratch
@@ -23,30 +25,21 @@ from palimpsest.llm.columns import let
 
 #: Words are cut at space and the control characters 9 to 13.
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Size classes: a document of up to 2**k shingles is in class k.
+#: Size classes: an item that needs at most 2**k shingles, and a document of at least as many, are in class k.
 MAX_CLASS = 31
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words a shingle; least share of an item's shingles; shingles of a class's upper bound for each bin, as a
-    power of two; largest chance for an item to be met by no bin, beyond which it is looked up whole; and the
-    size of the items' tables up to which they are broadcast (estimated bytes; beyond it they are joined by
-    shuffle)."""
+    """Words a shingle; least share of an item's shingles; hashes in which the signatures of a pair must agree (fewer
+    where the item has fewer); and the size of the items' tables up to which they are broadcast (estimated bytes;
+    beyond it they are joined by shuffle)."""
 
     n: int = 5
     containment: float = 0.75
-    bin_bits: int = 2
-    miss: float = 1e-9
+    agree: int = 2
     broadcast_bytes: int = 64 << 20
 
-    def least_long(self) -> int:
-        """Shingles from which an item is searched for by signatures."""
-        d = 2.0**self.bin_bits
-        # of a bin's shingles the item's own that the document lacks may be the least
-        met = self.containment * (1 - math.exp(-d)) / d
-        return math.ceil(math.log(self.miss) / math.log1p(-met) / self.containment)
-
 
 def _words(text: Column) -> Column:
     cut = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_SPACE}|{_SPACE}$", "")
@@ -74,46 +67,52 @@ def _item_shingles(items: DataFrame, n: int) -> DataFrame:
     return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n_item")), "item_id")
 
 
-def _bits(k: Column, s: Settings) -> Column:
-    """Bits of the bin's number in size class ``k``."""
-    return F.greatest(k - s.bin_bits, F.lit(1))
+def item_signatures(item: DataFrame, s: Settings) -> DataFrame:
+    """(item_id, h, k, hits): each item's smallest hashes, its size class, and how many of them a document that
+    contains it has at least."""
+    need = F.ceil(F.col("n_item") * s.containment)
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy("h", "shingle"))
+    rows = item.withColumn("need", need).withColumn("rank", rank)
+    hits = F.least(F.lit(s.agree), "need")
+    k = F.ceil(F.log2("need")).cast("int")
+    return rows.filter(F.col("rank") <= F.col("n_item") - F.col("need") + hits).select("item_id", "h", k.alias("k"), hits.cast("int").alias("hits"))
 
 
-def _signature(text: Column, s: Settings, whole: bool) -> Column:
-    """Array of (k, h, least): the text's size class and the least hash of each of its non-empty bins, or all hashes."""
+def _bounds(signatures: DataFrame) -> list[int | None]:
+    """Largest hash of a signature for each size class and those below it: 32 numbers, whatever the items."""
+    largest = {r.k: r.h for r in signatures.groupBy("k").agg(F.max("h").alias("h")).collect()}
+    found = [[h for k, h in largest.items() if k <= c] for c in range(MAX_CLASS + 1)]
+    return [max(hs, default=None) for hs in found]
 
-    def bins(hashes: Column) -> Column:
-        k = F.ceil(F.log2(F.size(hashes))).cast("int")
 
-        def mark(bound: Column) -> Column:
-            k, cut = bound["k"], bound["cut"]
-            of = lambda h: F.call_function("shiftrightunsigned", h, cut)
-            least = lambda h, i: (i == 0) | (of(h) != of(F.get(hashes, i - 1)))
-            if whole:
-                return F.transform(hashes, lambda h, i: F.struct(k.alias("k"), h.alias("h"), least(h, i).alias("least")))
-            return F.transform(F.filter(hashes, least), lambda h: F.struct(k.alias("k"), h.alias("h"), F.lit(True).alias("least")))
+def _signature(text: Column, n: int, bounds: list[int | None]) -> Column:
+    """The text's distinct shingle hashes up to the bound of its size class, which its number of shingles rounds up to."""
+    bound = F.array(*(F.lit(b).cast("bigint") for b in bounds))
 
-        return let(F.struct(k.alias("k"), (F.lit(64) - _bits(k, s)).alias("cut")), mark)
+    def low(hashes: Column) -> Column:
+        k = F.ceil(F.log2(F.size(hashes))).cast("int")
+        return let(F.get(bound, k), lambda b: F.array_distinct(F.filter(hashes, lambda h: h <= b)))
 
-    return let(_words(text), lambda w: let(F.sort_array(F.transform(_starts(w, s.n), lambda i: _hash(w, i, s.n))), bins))
+    return let(_words(text), lambda w: let(F.transform(_starts(w, n), lambda i: _hash(w, i, n)), low))
 
 
 def _candidates(texts: DataFrame, item: DataFrame, s: Settings, hint) -> DataFrame:
-    """Distinct (doc_id, item_id) whose signatures meet, or that share enough hashes where the item is short."""
-    short, long = item.filter(F.col("n_item") < s.least_long()), item.filter(F.col("n_item") >= s.least_long())
-    signed = long.select("item_id", "h", "n_item", F.explode(F.sequence(F.lit(0), F.lit(MAX_CLASS))).alias("item_k"))
-    signed = signed.filter(F.pow(F.lit(2.0), F.col("item_k")) >= F.col("n_item") * s.containment)
-    signed = signed.withColumn("cut", F.lit(64) - _bits(F.col("item_k"), s))
-    signed = signed.groupBy("item_id", "n_item", "item_k", F.expr("shiftrightunsigned(h, cut)").alias("bin")).agg(F.min("h").alias("h")).select("item_id", "n_item", "item_k", "h")
-    looked_up = scratch.materialise(short.select("item_id", "n_item", F.lit(None).cast("int").alias("item_k"), "h").unionByName(signed), "item_signatures")
-    whole = not looked_up.filter("item_k is null").isEmpty()
-
-    # explode_outer, as an inner one is preceded by a filter that computes the array a second time
-    rows = texts.select("doc_id", F.explode_outer(_signature(F.col("text"), s, whole)).alias("m"))
-    signature = rows.select("doc_id", F.col("m.k").alias("k"), F.col("m.h").alias("h"), F.col("m.least").alias("least"))
-    met = signature.join(hint(looked_up), "h").filter("item_k is null or (least and item_k = k)")
-    shared = met.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n"), F.first("n_item").alias("n_item"), F.max(F.col("item_k").isNotNull()).alias("long"))
-    return shared.filter(F.col("long") | (F.col("n") >= F.col("n_item") * s.containment)).select("doc_id", "item_id")
+    """Distinct (doc_id, item_id) whose signatures agree in enough hashes."""
+    signatures = scratch.materialise(item_signatures(item, s), "item_signatures")
+    bounds = _bounds(signatures)
+
+    def handed_over(df: DataFrame, bounds: list[int | None]) -> DataFrame:
+        # explode_outer, as an inner one is preceded by a filter that computes the array a second time
+        return df.select("doc_id", F.explode_outer(_signature(F.col("text"), s.n, bounds)).alias("h"))
+
+    rows = handed_over(texts, bounds)
+    # the texts of a repeated id are one document, longer than each of them: these hand over for items of all sizes
+    repeated = scratch.materialise(texts.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated_ids")
+    if not repeated.isEmpty():
+        rows = rows.unionByName(handed_over(texts.join(repeated, "doc_id", "left_semi"), bounds[-1:] * len(bounds)))
+    met = rows.join(hint(signatures.select("item_id", "h", "hits")), "h")
+    shared = met.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n"), F.first("hits").alias("hits"))
+    return shared.filter("n >= hits").select("doc_id", "item_id")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -127,7 +126,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     s = settings
     item = scratch.materialise(_item_shingles(items, s.n), "item_shingles")
-    small = item.count() * (MAX_CLASS + 1) * 48 <= s.broadcast_bytes
+    size = item.agg(F.coalesce(F.sum(F.octet_length("shingle") + 64), F.lit(0)).alias("n")).first().n
+    small = size <= s.broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     pairs = scratch.materialise(_candidates(texts, item, s, hint), "candidates")
