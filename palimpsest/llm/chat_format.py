@@ -4,8 +4,8 @@ For every participant of a conversation the dialogue is rendered with that speak
 others as named users; a mask marks what a model is to learn, the assistant's own words. System turns keep
 their role in every rendering and are never learnt.
 
-A conversation is cut into parts by its turn numbers, and a part of very many rows into pieces, so that one with
-millions of turns is many rows of bounded size; they carry their offset in the whole rendering.
+A conversation is cut into parts by its turn numbers, and each part into pieces of equally many rows in its order, so
+that one with millions of turns is many rows of bounded size; they carry their offset in the whole rendering.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from palimpsest.llm.columns import let
 
 @dataclass(frozen=True)
 class Settings:
-    """Turn numbers of one part, rows up to which a part is one piece (and about which larger parts' pieces
-    have), the markup around a turn, and the role that is no participant."""
+    """Turn numbers of one part, rows of a piece (a part's last has what is left), the markup around a turn, and the
+    role that is no participant."""
 
     part_turns: int = 128
     piece_rows: int = 2048
@@ -35,25 +35,59 @@ class Settings:
 _TURN = "struct<turn:bigint,role:string,text:string>"
 
 
-def _pieces(rows: DataFrame, large: DataFrame, limit: int) -> DataFrame:
-    """The rows of large parts as (conv_id, part, piece, turns): what has one turn number and role is a piece, or
-    several by hash of the text; equal rows are counted first and their copies dealt over pieces."""
+def _dealt(rows: DataFrame, s: Settings) -> DataFrame:
+    """Distinct rows of parts as (conv_id, part, piece, turn, role, text, copies), by rank in the part's order.
+
+    Only parts with more rows than a piece have rows beyond piece 0, and only theirs are ranked: sorted by ranges, so
+    that no part lies in one task; a range's rows are numbered on their own, and what the ranges before hold is added.
+    """
     keys = ["conv_id", "part"]
-    once = rows.join(large, keys, "left_semi").groupBy(*keys, "turn", "role", "text").agg(F.count("*").alias("copies"))
-    once = scratch.materialise(once, "turns")
-    said = once.groupBy(*keys, "turn", "role").agg(F.ceil(F.sum("copies") / limit).alias("buckets"))
-    # null numbers take part in the join
-    a, b = once.alias("a"), said.alias("b")
-    match = F.expr("a.conv_id = b.conv_id and a.part = b.part and a.turn <=> b.turn and a.role = b.role")
-    dealt = a.join(b, match).select("a.*", F.pmod(F.xxhash64("a.text"), "b.buckets").alias("bucket"))
-    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / limit))))
-    dealt = dealt.withColumn("copies", F.least(F.lit(limit), F.col("copies") - F.col("chunk") * limit).cast("int"))
-    # a text of more copies than a piece has rows fills pieces of its own
-    own = F.when(F.col("chunk") > 0, F.xxhash64("text")).otherwise(F.lit(0))
-    found = dealt.groupBy(*keys, "turn", "role", "bucket", own.alias("own"), "chunk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "copies"))).alias("turns"))
-    order = W.partitionBy(*keys).orderBy("turn", "role", "bucket", "own", "chunk")
+    once = rows.groupBy(*keys, "turn", "role", "text").agg(F.count("*").alias("copies"))
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > s.piece_rows).select(*keys)
+    large = scratch.materialise(large, "large_parts")
+    zero = F.lit(0).cast("bigint").alias("piece")
+    if large.isEmpty():
+        return once.select(*keys, zero, "turn", "role", "text", "copies")
+    small = once.join(large, keys, "left_anti").select(*keys, zero, "turn", "role", "text", "copies")
+    order = [*keys, "turn", "role", "text"]
+    # written, as another run of a range sort may cut elsewhere
+    ranged = once.join(large, keys, "left_semi").repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    ranged = scratch.materialise(ranged, "ranges")
+    before = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offset = ranged.groupBy(*keys, "range").agg(F.sum("copies").alias("n"))
+    offset = offset.select(*keys, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = W.partitionBy(*keys, "range").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("offset") + F.coalesce(F.sum("copies").over(inside), F.lit(0))
+    placed = ranged.join(offset, [*keys, "range"]).withColumn("first", first).withColumn("end", F.col("first") + F.col("copies"))
+    size = F.lit(s.piece_rows)
+    # copies of one row may reach over several pieces
+    placed = placed.withColumn("piece", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((F.col("end") - 1) / size))))
+    copies = F.least("end", (F.col("piece") + 1) * size) - F.greatest("first", F.col("piece") * size)
+    return small.unionByName(placed.select(*keys, F.col("piece").cast("bigint").alias("piece"), "turn", "role", "text", copies.alias("copies")))
+
+
+def _pieces(rows: DataFrame, s: Settings) -> DataFrame:
+    """(conv_id, part, piece, turns) with a piece's turns in order, copies repeated."""
+    found = _dealt(rows, s).groupBy("conv_id", "part", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", F.col("copies").cast("int").alias("copies")))).alias("turns"))
     turns = F.flatten(F.transform("turns", lambda x: F.array_repeat(F.struct(x.turn.alias("turn"), x.role.alias("role"), x.text.alias("text")), x.copies)))
-    return found.select(*keys, (F.row_number().over(order) - 1).cast("bigint").alias("piece"), turns.cast(f"array<{_TURN}>").alias("turns"))
+    return found.select("conv_id", "part", "piece", turns.cast(f"array<{_TURN}>").alias("turns"))
+
+
+def _starts(parts: DataFrame, speakers: DataFrame, s: Settings) -> DataFrame:
+    """(conv_id, speaker, part, piece, start): where each piece begins in each speaker's rendering, from lengths alone."""
+    plain = len(s.head) + 1 + len(s.tail)
+    size = lambda name, t: F.length(name) + plain + F.length(t.text)
+    as_other = lambda t: size(F.when(t.role == s.system, F.lit(s.system)).otherwise(F.concat(F.lit("user name="), t.role)), t)
+    total = F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + as_other(t))
+    keys = ["conv_id", "part", "piece"]
+    narrow = scratch.materialise(parts.select(*keys, total.alias("total"), F.transform("turns", lambda t: t.role).alias("roles")), "piece_sizes")
+    own = narrow.select(*keys, F.explode("roles").alias("speaker")).groupBy(*keys, "speaker").agg(F.count("*").alias("own"))
+    both = narrow.select(*keys, "total").join(speakers, "conv_id").join(own, [*keys, "speaker"], "left")
+    # a speaker's own turns are headed by assistant instead of the name
+    less = F.coalesce("own", F.lit(0)) * (F.length(F.concat(F.lit("user name="), "speaker")) - len("assistant"))
+    earlier = W.partitionBy("conv_id", "speaker").orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("total") - less).over(earlier), F.lit(0)).cast("bigint")
+    return both.select("conv_id", "speaker", "part", "piece", start.alias("start"))
 
 
 def rotate_perspectives(turns: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -62,11 +96,10 @@ def rotate_perspectives(turns: DataFrame, settings: Settings = Settings()) -> Da
     ``turns`` has conv_id, turn, role and text. A turn reads ``<head>assistant\\n<text><tail>`` where the
     speaker is its author, ``<head>user name=<role>\\n<text><tail>`` elsewhere, and ``<head>system\\n...`` for
     system turns. ``mask`` holds (start, end) code points within the piece, over the speaker's words with the
-    tail's marker; ``start`` is the piece's offset in the whole rendering. A part of up to ``piece_rows`` rows is
-    one piece, number 0.
+    tail's marker; ``start`` is the piece's offset in the whole rendering. A part's row number r, from 0, is in piece
+    ``r / piece_rows``, rounded down. There are as many renderings of a conversation as it has participants.
 
-    Turns are ordered by number, ties by role and text, equal rows stay repeated; a null number sorts first. In
-    parts of several pieces ties of one role may be ordered by a hash of the text instead.
+    Turns are ordered by number, ties by role and text, equal rows stay repeated; a null number sorts first.
     A null role is the participant ``unknown``, a null text is empty. Rows with a null conv_id are left out.
     A conversation of system turns only has no participant and no row. Other columns are ignored.
     """
@@ -76,14 +109,8 @@ def rotate_perspectives(turns: DataFrame, settings: Settings = Settings()) -> Da
     )
     rows = rows.withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / s.part_turns).cast("bigint"))
     speakers = rows.filter(F.col("role") != s.system).select("conv_id", F.col("role").alias("speaker")).distinct()
-    item = F.struct(F.col("turn"), "role", "text")
-    large = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).filter(F.col("n") > s.piece_rows).select("conv_id", "part")
-    large = scratch.materialise(large, "large_parts")
-    split = not large.isEmpty()
-    small = rows.join(large, ["conv_id", "part"], "left_anti") if split else rows
-    parts = small.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(item)).cast(f"array<{_TURN}>").alias("turns")).select("conv_id", "part", F.lit(0).cast("bigint").alias("piece"), "turns")
-    if split:
-        parts = parts.unionByName(_pieces(rows, large, s.piece_rows))
+    parts = scratch.materialise(_pieces(rows, s), "pieces")
+    starts = _starts(parts, speakers, s)
 
     def lead(t: Column, speaker: Column) -> Column:
         name = F.when(t.role == s.system, F.lit(s.system)).when(t.role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), t.role))
@@ -108,8 +135,6 @@ def rotate_perspectives(turns: DataFrame, settings: Settings = Settings()) -> Da
 
         return let(said, marks)
 
-    both = parts.join(speakers, "conv_id").select("conv_id", "speaker", "part", "piece", F.size("turns").alias("n_turns"), render(F.col("turns"), F.col("speaker")).alias("r"))
-    both = both.select("conv_id", "speaker", "part", "piece", "n_turns", F.col("r.text").alias("text"), F.col("r.done.mask").alias("mask"), F.col("r.done.at").alias("size"))
-    earlier = W.partitionBy("conv_id", "speaker").orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("size").over(earlier), F.lit(0)).cast("bigint")
-    return both.select("conv_id", "speaker", "part", "piece", start.alias("start"), F.col("n_turns").cast("bigint").alias("n_turns"), "text", "mask")
+    both = parts.join(starts, ["conv_id", "part", "piece"]).withColumn("r", render(F.col("turns"), F.col("speaker")))
+    n = F.size("turns").cast("bigint").alias("n_turns")
+    return both.select("conv_id", "speaker", "part", "piece", "start", n, F.col("r.text").alias("text"), F.col("r.done.mask").alias("mask"))

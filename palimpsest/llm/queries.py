@@ -67,24 +67,25 @@ def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part of every rendering as length, digest and mask spans."""
+    """Every piece of every rendering as length, digest and mask spans."""
     out = rotate_perspectives(_table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda x: F.concat_ws(":", x.start, x.end)), ",")
-    return out.select("conv_id", "speaker", "part", "start", "n_turns", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), mask.alias("mask"))
+    return out.select("conv_id", "speaker", "part", "piece", "start", "n_turns", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), mask.alias("mask"))
 
 
 OP3_SQL = """
-WITH t AS (SELECT conv_id, turn, CAST(floor(coalesce(turn, -1) / 128) AS BIGINT) AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH c AS (SELECT conv_id, turn, CAST(floor(coalesce(turn, -1) / 128) AS BIGINT) AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // 2048 AS piece FROM c),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-x AS (SELECT t.conv_id, speaker, part, turn, role, text,
+x AS (SELECT t.conv_id, speaker, part, piece, turn, role, text,
              '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS lead
       FROM t JOIN s ON s.conv_id = t.conv_id),
 y AS (SELECT *, length(lead) + length(text) + 11 AS size,
-             coalesce(sum(length(lead) + length(text) + 11) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
-z AS (SELECT conv_id, speaker, part, count(*) AS n_turns, sum(size) AS size, string_agg(lead || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS body,
+             coalesce(sum(length(lead) + length(text) + 11) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
+z AS (SELECT conv_id, speaker, part, piece, count(*) AS n_turns, sum(size) AS size, string_agg(lead || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS body,
              coalesce(string_agg(CAST(off + length(lead) AS BIGINT) || ':' || CAST(off + length(lead) + length(text) + 10 AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = speaker), '') AS mask
-      FROM y GROUP BY conv_id, speaker, part)
-SELECT conv_id, speaker, part, CAST(coalesce(sum(size) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+      FROM y GROUP BY conv_id, speaker, part, piece)
+SELECT conv_id, speaker, part, piece, CAST(coalesce(sum(size) OVER (PARTITION BY conv_id, speaker ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
        n_turns, length(body) AS n_chars, sha256(body) AS text_sha256, mask FROM z
 """
 

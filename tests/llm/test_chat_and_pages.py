@@ -1,4 +1,9 @@
+import random
+
+import duckdb
+
 from palimpsest.llm.chat_format import Settings, rotate_perspectives
+from palimpsest.llm.queries import OP3_SQL, op3_perspective_rotation
 from palimpsest.llm.site_style import extract_main_text, main_text, parse
 
 CHAT = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi \U0001f600"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "x"), (2, 5, "system", "alone"), (None, 1, "ann", "lost"), (3, 300, "ann", "later")]
@@ -25,19 +30,33 @@ def test_very_many_rows_of_one_turn_are_dealt_over_pieces(spark):
     rows = [(1, None, "ann", f"t{k % 40}") for k in range(300)] + [(1, 7, "bob", "same")] * 150 + [(1, 8, "ann", "end" * 5000), (2, 1, "ann", "Hi")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = rotate_perspectives(df, Settings(piece_rows=20)).collect()
-    assert max(r.n_turns for r in got) < 100 and len(got) > 2 * 20
-    whole = {}
+    # null numbers are part -1 with 300 rows, the others part 0 with 151
+    want = {(-1, k): 20 for k in range(15)} | {(0, k): 20 for k in range(7)} | {(0, 7): 11}
+    assert {(r.part, r.piece): r.n_turns for r in got if r.conv_id == 1} == want
+    whole, plain = {}, {}
     for r in sorted(got, key=lambda r: (r.part, r.piece)):
         text = whole.setdefault((r.conv_id, r.speaker), "")
         assert r.start == len(text)
         whole[r.conv_id, r.speaker] = text + r.text
-    plain = {(r.conv_id, r.speaker): "" for r in got}
     for r in sorted(rotate_perspectives(df).collect(), key=lambda r: (r.part, r.piece)):
         assert r.piece == 0
-        plain[r.conv_id, r.speaker] += r.text
-    assert {k: sorted(v.split("<|im_start|>")) for k, v in whole.items()} == {k: sorted(v.split("<|im_start|>")) for k, v in plain.items()}
-    # the order of numbers and roles holds across pieces
-    assert [x.split("\n")[1][:1] for x in whole[1, "bob"].split("<|im_start|>")[1:]] == ["t"] * 300 + ["s"] * 150 + ["e"]
+        plain[r.conv_id, r.speaker] = plain.get((r.conv_id, r.speaker), "") + r.text
+    assert whole == plain  # however large the pieces are, the rendering is one
+
+
+def test_large_part_equals_its_sql(spark, tmp_path):
+    """2,100 rows of one turn number, more of others, hot copies, and nulls, against the query's SQL."""
+    rng = random.Random(3)
+    rows = [(1, 5, rng.choice(["ann", "bob", "system", None]), f"t{rng.randrange(900)}") for _ in range(2100)] + [(1, None, "ann", None)] * 2500
+    rows += [(2, k // 3, rng.choice(["ann", "cy"]), f"u{k}") for k in range(700)] + [(1, 200, "bob", "late"), (None, 1, "ann", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(OP3_SQL).df()
+    got = op3_perspective_rotation(spark, str(tmp_path)).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, want.astype(str).values))
+    assert got.piece.max() == 2
 
 
 def test_main_text_of_messy_markup():
