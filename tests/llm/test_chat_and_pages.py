@@ -56,7 +56,7 @@ def test_large_part_equals_its_sql(spark, tmp_path):
     want = con.execute(OP3_SQL).df()
     got = op3_perspective_rotation(spark, str(tmp_path)).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, want.astype(str).values))
-    assert got.piece.max() == 2
+    assert got.piece.max() == 1
 
 
 def test_main_text_of_messy_markup():
