@@ -21,6 +21,11 @@ _ENTRIES = T.ArrayType(T.StructType().add("anchor", "string").add("num", "string
 _TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
 
 
+def whole_tag(data: bytes, begin: int) -> int:
+    """Where the tag that begins at ``begin`` ends."""
+    return _TAG.match(data, begin).end()
+
+
 def cut_provision(markup: str | None, identifier: str | None) -> tuple[bool, str | None]:
     """The source's own text of the first element with an identifier; declarations of name spaces that it inherits are added."""
     data = (markup or "").encode()
@@ -35,7 +40,7 @@ def cut_provision(markup: str | None, identifier: str | None) -> tuple[bool, str
 
     def end(_tag):
         if found.get("depth") == len(stack) and "end" not in found:
-            opened = _TAG.match(data, found["begin"]).end()  # an empty element ends there, and has no end tag to look for
+            opened = whole_tag(data, found["begin"])  # an empty element ends there, and has no end tag to look for
             found["end"] = opened if data[opened - 2 : opened] == b"/>" else data.index(b">", parser.CurrentByteIndex) + 1
         stack.pop()
 

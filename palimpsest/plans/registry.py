@@ -6,10 +6,10 @@ cannot say it (trees of markup, sequence alignment).
 
 from __future__ import annotations
 
-from palimpsest.plans import contents, history, identifiers, lookups, operations, ranking
+from palimpsest.plans import contents, history, identifiers, lookups, operations, ranking, snapshots
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (history, identifiers, contents, ranking, operations, lookups):
+for _module in (history, identifiers, contents, ranking, operations, lookups, snapshots):
     QUERIES |= {name: query for name, (query, _) in _module.REGISTERED.items()}
     SQL |= {name: sql for name, (_, sql) in _module.REGISTERED.items() if sql}

@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palimpsest.functions.identifiers import content_hash, date_in_prose, squeeze, strip_tags, titles_in_prose
+from palimpsest.functions.markup import whole_tag
 
 #: Root namespaces and the schema generation that they mean.
 GENERATIONS = {"http://xml.house.gov/schemas/uslm/1.0": "uslm-1", "http://schemas.gpo.gov/xml/uslm": "uslm-2"}
@@ -25,7 +28,25 @@ GENERATIONS = {"http://xml.house.gov/schemas/uslm/1.0": "uslm-1", "http://schema
 LEVELS = ("title", "subtitle", "chapter", "subchapter", "part", "subpart", "division", "subdivision", "appendix")
 QUOTED = ("quotedContent", "quotedText")
 
-SECTION = "path string, kind string, seq int, identifier string, guid string, level string, num string, num_value string, heading string, status string, parent_identifier string, depth int, ancestors array<string>, guid_refs array<struct<guid:string,identifier:string>>, n_raw int, markup string"
+#: Name spaces of a document's metadata.
+DC, DCTERMS = "http://purl.org/dc/elements/1.1/", "http://purl.org/dc/terms/"
+
+
+def _struct(**types: T.DataType | str) -> T.StructType:
+    return T.StructType([T.StructField(k, T.StringType() if v == "string" else v) for k, v in types.items()])
+
+
+_NAMES, _INT = T.ArrayType(T.StringType()), T.IntegerType()
+_GUID = T.ArrayType(_struct(guid="string", identifier="string"))
+_NOTE = T.ArrayType(_struct(topic="string", role="string", heading="string", markup="string"))
+SECTION = _struct(
+    path="string", generation="string", kind="string", seq=_INT, identifier="string", guid="string", temporal_id="string", level="string", num="string", num_value="string", heading="string", status="string",
+    source_credit="string", parent_identifier="string", depth=_INT, ancestors=_NAMES, ancestor_levels=_NAMES, guid_refs=_GUID, notes=_NOTE, n_raw=_INT, markup="string",
+)
+METADATA = _struct(
+    path="string", generation="string", identifier="string", doc_number="string", doc_title="string", doc_publication_name="string", release_label="string", is_positive_law=T.BooleanType(),
+    created="string", converter="string", publisher="string", creator="string",
+)
 
 
 def sniff_generation(head: bytes) -> str:
@@ -37,27 +58,42 @@ def sniff_generation(head: bytes) -> str:
     raise ValueError("no known namespace on the root element")
 
 
+def as_utf8(data: bytes) -> bytes:
+    """A document's bytes in UTF-8, by its byte order mark or declaration; the parser's offsets are then offsets of UTF-8."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16").encode()
+    said = re.match(rb"<\?xml[^>]*?\sencoding=[\"']([\w.-]+)", data)
+    return data if not said or said[1].lower() in (b"utf-8", b"us-ascii", b"ascii") else data.decode(said[1].decode()).encode()
+
+
+def _squeezed(node: dict) -> str | None:
+    return re.sub(r"\s+", " ", "".join(node["text"])).strip() or None
+
+
 def parse_document(data: bytes) -> list[dict]:
-    """Structure nodes (pre-order) and real sections of one document.
+    """Structure nodes (pre-order) and real sections of one document, a section with its own notes and source credit.
 
     A section is real if it has an identifier and stands in no quoted content; one that is not stays inside
-    its parent's markup. Equal identifiers are all kept, in document order.
+    its parent's markup. Equal identifiers are all kept, in document order. A section's own notes are its children and
+    those of its children that group notes; notes deeper in belong to what they stand in.
     """
-    parser = expat.ParserCreate(namespace_separator="|")
+    data = as_utf8(data)
+    parser = expat.ParserCreate("utf-8", "|")
     parser.buffer_text = True
     out: list[dict] = []
     stack: list[dict] = []
+    caught: list[dict] = []
     count = {"section": 0, "node": 0, "raw": 0}
 
     def start(name, attrs):
         tag = name.rpartition("|")[2]
         up = stack[-1] if stack else None
         quoted = bool(up and up["quoted"]) or tag in QUOTED
-        node = {"tag": tag, "attrs": attrs, "quoted": quoted, "begin": parser.CurrentByteIndex, "text": [], "row": None, "kids": {}, "identifier": attrs.get("identifier") or (up["identifier"] if up else None)}
+        node = {"tag": tag, "attrs": attrs, "quoted": quoted, "begin": parser.CurrentByteIndex, "text": [], "row": None, "kids": {}, "first": set(), "heading": None, "identifier": attrs.get("identifier") or (up["identifier"] if up else None)}
         count["raw"] += tag == "section"
         own = attrs.get("identifier")
         if own and not quoted and (tag == "section" or tag in LEVELS):
-            above = [n["attrs"]["identifier"] for n in stack if n["row"]]
+            above = [n["row"] for n in stack if n["row"]]
             kind = "section" if tag == "section" else "node"
             if not (kind == "node" and any(n["tag"] == "section" for n in stack)):
                 holder = next((n for n in reversed(stack) if n["row"]), None)
@@ -67,7 +103,11 @@ def parse_document(data: bytes) -> list[dict]:
                     count["section"] += 1
                 else:
                     kids["n"] += 1
-                node["row"] = {"kind": kind, "seq": seq, "identifier": own, "guid": attrs.get("id"), "level": tag, "num": None, "num_value": None, "heading": None, "status": attrs.get("status"), "parent_identifier": above[-1] if above else None, "depth": len(above), "ancestors": above, "guid_refs": [], "markup": None}
+                names = [r["identifier"] for r in above]
+                node["row"] = {
+                    "kind": kind, "seq": seq, "identifier": own, "guid": attrs.get("id"), "temporal_id": attrs.get("temporalId"), "level": tag, "num": None, "num_value": None, "heading": None, "status": attrs.get("status"),
+                    "source_credit": None, "parent_identifier": names[-1] if names else None, "depth": len(names), "ancestors": names, "ancestor_levels": [r["level"] for r in above], "guid_refs": [], "notes": [], "markup": None,
+                }
                 out.append(node["row"])
         if attrs.get("id"):
             for n in reversed(stack + [node]):
@@ -75,27 +115,104 @@ def parse_document(data: bytes) -> list[dict]:
                     n["row"]["guid_refs"].append({"guid": attrs["id"], "identifier": node["identifier"]})
                     break
         stack.append(node)
+        if tag in ("num", "heading", "sourceCredit"):
+            caught.append(node)
 
     def text(data_):
-        for n in stack[-3:]:
+        for n in caught:
             n["text"].append(data_)
 
+    def source(node):
+        opened = whole_tag(data, node["begin"])  # an empty element ends there, and has no end tag to look for
+        close = opened if data[opened - 2 : opened] == b"/>" else data.index(b">", parser.CurrentByteIndex) + 1
+        return data[node["begin"] : close].decode()
+
     def end(name):
         node = stack.pop()
-        up = stack[-1]["row"] if stack else None
-        if up and node["tag"] in ("num", "heading") and up[node["tag"]] is None:
-            up[node["tag"]] = re.sub(r"\s+", " ", "".join(node["text"])).strip() or None
-            if node["tag"] == "num":
-                up["num_value"] = node["attrs"].get("value")
+        up = stack[-1] if stack else None
+        row = up["row"] if up else None
+        if caught and caught[-1] is node:
+            caught.pop()
+            if up and node["tag"] not in up["first"]:  # later ones of a name do not count, even where the first is empty
+                up["first"].add(node["tag"])
+                if row and node["tag"] == "num":
+                    row["num"], row["num_value"] = _squeezed(node), node["attrs"].get("value")
+                elif row:
+                    row["heading" if node["tag"] == "heading" else "source_credit"] = _squeezed(node)
+                elif node["tag"] == "heading":
+                    up["heading"] = _squeezed(node)
+        elif node["tag"] == "note" and up:
+            holder = stack[-2] if up["tag"] == "notes" and len(stack) > 1 else up
+            if holder["row"] and holder["row"]["kind"] == "section":
+                holder["row"]["notes"].append({"topic": node["attrs"].get("topic"), "role": node["attrs"].get("role"), "heading": node["heading"], "markup": source(node)})
         if node["row"] and node["row"]["kind"] == "section":
-            close = data.index(b">", parser.CurrentByteIndex) + 1
-            node["row"]["markup"] = data[node["begin"] : close].decode("utf-8", "replace")
+            node["row"]["markup"] = source(node)
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
     parser.Parse(data, True)
     return [r | {"n_raw": count["raw"]} for r in out]
 
 
+class _Done(Exception):
+    """Raised by a handler to stop the parser."""
+
+
+def parse_metadata(data: bytes) -> dict:
+    """What a document says about itself: its root's identifier and the first of each field of ``meta``, both generations.
+
+    Reading stops behind ``meta``, or where the body begins without one. The release is what follows ``@`` in the
+    publication's name.
+    """
+    data = as_utf8(data)
+    generation = sniff_generation(data[:65536])
+    parser = expat.ParserCreate("utf-8", "|")
+    parser.buffer_text = True
+    found: dict[tuple[str, str], str | None] = {}
+    open_, root = [], {}
+
+    def start(name, attrs):
+        tag = name.rpartition("|")[2]
+        if not open_:
+            root.update(attrs)
+        elif len(open_) == 1 and tag != "meta":
+            raise _Done
+        open_.append({"name": name, "attrs": attrs, "text": []})
+
+    def text(data_):
+        for n in open_[2:3]:
+            n["text"].append(data_)
+
+    def end(_name):
+        node = open_.pop()
+        if len(open_) == 1:
+            raise _Done
+        if len(open_) == 2:
+            space, _, tag = node["name"].rpartition("|")
+            key = ("property", node["attrs"].get("role")) if tag == "property" else (space if space in (DC, DCTERMS) else "", tag)
+            found.setdefault(key, _squeezed(node))
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    try:
+        parser.Parse(data, True)
+    except _Done:
+        pass
+    publication, positive = found.get(("", "docPublicationName")), ("property", "is-positive-law")
+    old = generation == "uslm-1"
+    return {
+        "generation": generation,
+        "identifier": root.get("identifier", ""),
+        "doc_number": found.get(("", "docNumber")),
+        "doc_title": found.get((DC, "title")),
+        "doc_publication_name": publication,
+        "release_label": (publication or "").partition("@")[2] or None,
+        "is_positive_law": (found[positive] or "").lower() == "yes" if old and positive in found else None,
+        "created": found.get((DCTERMS, "created") if old else ("", "processedDate")),
+        "converter": found.get((DC, "creator") if old else ("", "processedBy")),
+        "publisher": None if old else found.get((DC, "publisher")),
+        "creator": None if old else found.get((DC, "creator")),
+    }
+
+
 def xml_member(content: bytes) -> bytes:
     """The only XML member of a zip file, or the bytes themselves."""
     if content[:2] != b"PK":
@@ -107,25 +224,58 @@ def xml_member(content: bytes) -> bytes:
         return z.read(names[0])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in re.split(r", (?![^<]*>)", SECTION)]
+def _record(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            data = xml_member(content)
-            sniff_generation(data[:65536])
-            rows = [{"path": path} | r for r in parse_document(data)]
-            for i in range(0, len(rows), 500):
-                part = rows[i : i + 500]
-                guid = pa.list_(pa.struct([("guid", pa.string()), ("identifier", pa.string())]))
-                types = {"seq": pa.int32(), "depth": pa.int32(), "n_raw": pa.int32(), "ancestors": pa.list_(pa.string()), "guid_refs": guid}
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], types.get(n, pa.string())) for n in names], names)
+            yield path, xml_member(content)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for path, data in _contents(batches):
+        generation = sniff_generation(as_utf8(data)[:65536])
+        rows = [{"path": path, "generation": generation} | r for r in parse_document(data)]
+        for i in range(0, len(rows), 500):
+            yield _record(rows[i : i + 500], SECTION)
+
+
+def _parse_metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for path, data in _contents(batches):
+        yield _record([{"path": path} | parse_metadata(data)], METADATA)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def parse_snapshots(files: DataFrame) -> DataFrame:
+    """Sections and structure nodes of documents given as (path, content), with content hashes."""
+    rows = files.select("path", "content").mapInArrow(_parse, SECTION)
+    return rows.withColumn("content_hash", content_hash(F.col("markup"))).withColumn("text", squeeze(strip_tags(F.col("markup"))))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Sections and structure nodes of all XML (or zipped XML) files under ``path``, with content hashes."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInArrow(_parse, SECTION)
-    return rows.withColumn("content_hash", content_hash(F.col("markup"))).withColumn("text", squeeze(strip_tags(F.col("markup"))))
+    return parse_snapshots(_files(spark, path))
+
+
+def snapshot_metadata(files: DataFrame) -> DataFrame:
+    """One row of metadata for each document given as (path, content)."""
+    return files.select("path", "content").mapInArrow(_parse_metadata, METADATA)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row of metadata for each XML (or zipped XML) file under ``path``."""
+    return snapshot_metadata(_files(spark, path))
+
+
+def section_notes(sections: DataFrame) -> DataFrame:
+    """One row for each note of a section: path, identifier, seq of the section, place (from 0), topic, role, heading, markup."""
+    rows = sections.filter("kind = 'section'").select("path", "identifier", "seq", F.posexplode("notes").alias("place", "n"))
+    return rows.select("path", "identifier", "seq", "place", "n.*")
 
 
 def guid_pins(sections: DataFrame) -> DataFrame:
