@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identifiers import dash_variants, prefixes
+from palimpsest.sources.store import shared_dir
 
 
 def longest_prefix(requests: DataFrame, known: DataFrame, path: str, identifier: str, least: int = 4) -> DataFrame:
@@ -24,16 +27,37 @@ def first_candidate(requests: DataFrame, known: DataFrame, number: str, identifi
     return requests.join(hit, number, "left")
 
 
-def breadcrumbs(nodes: DataFrame, node: str = "id", parent: str = "parent_id", depth: int = 32) -> DataFrame:
-    """(node, path) with the ids from the root down, by doubling: log2(depth) joins, whatever the tree's size.
+def breadcrumbs(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
+    """(node, path, cyclic): the ids from the root down, however deep the tree; ``cyclic`` and a null path where the
+    way up never ends, in a cycle or below one.
 
-    A node of a cycle or below ``depth`` keeps the part of its path that was reached.
+    By doubling: a round joins each open path to the path above it, so a tree of depth d takes log2(d) rounds. Rounds
+    are written to the shared folder, which keeps each one's plan the same size. Every round closes the nodes that
+    are up to twice as deep as those before; when one closes none, what is left leads into cycles. A null or unknown
+    parent makes a node a root; a null id has no row.
     """
-    up = nodes.select(F.col(node).alias("n"), F.col(parent).alias("top"), F.array(node).alias("path"))
-    for _ in range(max(1, (depth - 1).bit_length())):
+    spark = nodes.sparkSession
+    root = f"{shared_dir(spark)}/palimpsest/breadcrumbs/{uuid.uuid4().hex}"
+
+    def write(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{root}/{k}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{k}")
+
+    kind = nodes.schema[node].dataType
+    first = nodes.filter(F.col(f"`{node}`").isNotNull()).select(F.col(f"`{node}`").alias("n"), F.col(f"`{parent}`").cast(kind).alias("top"))
+    up = write(first.select("n", "top", F.array("n").alias("path")), 0)
+    left, k = up.filter("top is not null").count(), 0
+    while left:
         above = up.select(F.col("n").alias("_n"), F.col("top").alias("_top"), F.col("path").alias("_path"))
-        up = up.join(above, up.top == above._n, "left").select("n", F.col("_top").alias("top"), F.concat(F.coalesce("_path", F.array().cast(up.schema["path"].dataType)), "path").alias("path"))
-    return up.select(F.col("n").alias(node), "path")
+        going = up.filter("top is not null").join(above, F.col("top") == F.col("_n"), "left")
+        path = F.concat(F.coalesce("_path", F.array().cast(up.schema["path"].dataType)), "path")
+        k += 1
+        up = write(up.filter("top is null").unionByName(going.select("n", F.col("_top").alias("top"), path.alias("path"))), k)
+        before, left = left, up.filter("top is not null").count()
+        if left == before:
+            break
+    ends = F.col("top").isNull()
+    return up.select(F.col("n").alias(node), F.when(ends, F.col("path")).alias("path"), (~ends).alias("cyclic"))
 
 
 def children(nodes: DataFrame, parent: Column, served_seq: Column | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def _nodes(spark, d):
 
 
 def tree_breadcrumb(spark, d):
-    return hierarchy.breadcrumbs(_nodes(spark, d), depth=8).select("id", F.array_join("path", "/").alias("path"))
+    return hierarchy.breadcrumbs(_nodes(spark, d)).select("id", F.array_join("path", "/").alias("path"))
 
 
 BREADCRUMB_SQL = """

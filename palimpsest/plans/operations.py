@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators import accounts, ledger
+from palimpsest.operators import accounts, layers, ledger
 from palimpsest.plans.tables import table
 
 
@@ -150,7 +150,29 @@ def json_props(spark, d):
 
 JSON_SQL = "WITH e AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS top FROM e GROUP BY 1"
 
+def layer_costs(spark, d):
+    """Users as pages, three types of events as layers, events as calls; every third is cached, up to two come first."""
+    e = table(spark, d, "events")
+    layer = F.get(F.array(F.lit("edge"), F.lit("proxy"), F.lit("site")), F.expr("array_position(array('view', 'click', 'error'), event_type)").cast("int") - 1)
+    measures = e.select(F.col("user_id").alias("step"), layer.alias("layer"), F.col("value").alias("total")).filter("layer is not null")
+    calls = e.select(F.col("user_id").alias("page"), F.col("event_id").alias("place"), F.concat(F.lit("c"), "event_id").alias("call"), F.col("value").alias("cost"), (F.col("user_id") % 3).alias("sequential"), (F.col("event_id") % 3 != 0).alias("per_view"))
+    return layers.attribute_layers(measures, calls, ("edge", "proxy", "site"), ("step",), "step", digits=2)
+
+
+LAYER_SQL = """
+WITH t AS (SELECT user_id AS step, max(value) FILTER (WHERE event_type = 'view') AS edge_total, max(value) FILTER (WHERE event_type = 'click') AS proxy_total, max(value) FILTER (WHERE event_type = 'error') AS site_total FROM events GROUP BY 1),
+c AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > user_id % 3 AS late FROM events WHERE event_id % 3 <> 0 AND value IS NOT NULL),
+n AS (SELECT user_id, count(*) FILTER (WHERE event_id % 3 <> 0 AND value IS NOT NULL) AS api_calls, count(*) FILTER (WHERE event_id % 3 = 0) AS api_calls_cached FROM events GROUP BY 1),
+m AS (SELECT user_id, coalesce(sum(value) FILTER (WHERE NOT late), 0) + coalesce(max(value) FILTER (WHERE late), 0) AS api_cost FROM c GROUP BY 1),
+s AS (SELECT user_id, min('c' || event_id) AS slowest_parallel FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS r FROM c WHERE late) WHERE r = 1 GROUP BY 1)
+SELECT step, edge_total, proxy_total, site_total, round(edge_total - proxy_total, 2) AS edge_own, round(proxy_total - site_total, 2) AS proxy_own, round(site_total - api_cost, 2) AS site_own,
+       CASE WHEN api_calls > 0 THEN api_calls END AS api_calls, CASE WHEN api_calls > 0 THEN api_calls_cached END AS api_calls_cached, round(api_cost, 2) AS api_cost, slowest_parallel
+FROM t JOIN n ON n.user_id = step LEFT JOIN m ON m.user_id = step LEFT JOIN s ON s.user_id = step WHERE edge_total IS NOT NULL
+"""
+
+
 REGISTERED = {
+    "layer_costs": (layer_costs, LAYER_SQL),
     "backfill_plan": (backfill_plan, BACKFILL_SQL),
     "latest_release_affecting": (latest_affecting, AFFECT_SQL),
     "load_plan": (load_plan, LOAD_SQL),

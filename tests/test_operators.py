@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import asof, hierarchy, redline, search, versions
+from palimpsest.operators import asof, hierarchy, layers, redline, search, versions
 
 
 def test_as_of_equals_brute_force(spark):
@@ -37,6 +37,43 @@ def test_upsert_is_idempotent_and_order_free(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == want
 
 
+def test_breadcrumbs_of_any_depth_and_cycles(spark):
+    """A chain of 200 levels, bushes, unknown parents, cycles and what hangs below them."""
+    rng = random.Random(8)
+    up = {0: None} | {i: i - 1 for i in range(1, 200)} | {i: rng.randrange(i) for i in range(200, 400)}
+    up |= {500: 999, 501: 500, 600: 601, 601: 602, 602: 600, 603: 601, 604: 603, 700: 700}
+    df = spark.createDataFrame(list(up.items()) + [(None, 3)], "id int, parent_id int").selectExpr("*", "1 AS n", "2 AS path")
+    got = {r.id: (r.path, r.cyclic) for r in hierarchy.breadcrumbs(df).collect()}
+
+    def way(i):
+        path = []
+        while i in up:
+            if i in path:
+                return None, True
+            path.insert(0, i)
+            i = up[i]
+        return path, False
+
+    assert got == {i: way(i) for i in up} and len(got[199][0]) == 200
+    assert hierarchy.breadcrumbs(df.limit(0)).count() == 0
+
+
+def test_call_costs_equal_a_loop(spark):
+    rng = random.Random(9)
+    rows = [(f"p{k % 9}", rng.randrange(6), f"c{k}", rng.choice([None, 1, 2, 3, 5]), k % 9 % 4 or None, rng.choice([True, True, False, None])) for k in range(150)]
+    df = spark.createDataFrame(rows + [("none", 1, "x", None, 1, True)], "page string, place int, call string, cost int, sequential int, per_view boolean").selectExpr("*", "1 AS first", "2 AS at")
+    got = {r.page: tuple(r)[1:] for r in layers.call_costs(df).collect()}
+    want = {}
+    for page in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == page]
+        live = sorted((r for r in mine if r[3] is not None and r[5] is not False), key=lambda r: (r[1], r[2]))
+        head, tail = live[: mine[0][4] or 0], live[mine[0][4] or 0 :]
+        most = max((r[3] for r in tail), default=0)
+        want[page] = (len(live), sum(r[5] is False for r in mine), sum(r[3] for r in head) + most, min((r[2] for r in tail if r[3] == most), default=None))
+    assert got == want
+    assert layers.call_costs(df.limit(0)).count() == 0
+
+
 def test_structure_does_not_depend_on_load_order(spark):
     rows = [("n", 5, "new"), ("n", 2, "old"), ("m", 3, "x")]
     a, b = (hierarchy.merge_structure(spark.createDataFrame(r, "identifier string, seq int, heading string")) for r in (rows, rows[::-1]))
