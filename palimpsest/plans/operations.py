@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators import accounts, layers, ledger
+from palimpsest.operators import accounts, layers, ledger, resolve, search
 from palimpsest.plans.tables import table
 
 
@@ -171,7 +171,39 @@ FROM t JOIN n ON n.user_id = step LEFT JOIN m ON m.user_id = step LEFT JOIN s ON
 """
 
 
+def release_listing(spark, d):
+    """Releases that affect title 5, with how many titles were loaded from each."""
+    o = table(spark, d, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    loads = o.select(day.alias("seq"), (F.col("o_custkey") % 7).alias("title"), F.when(F.col("o_orderkey") % 3 != 0, 1).alias("sections_loaded"))
+    out = resolve.list_releases(_releases(spark, d), loads, "5")
+    return out.select(F.col("seq").cast("bigint").alias("seq"), F.size("titles_affected").cast("bigint").alias("n_affected"), "n_titles")
+
+
+LISTING_SQL = f"""
+WITH {_RELEASES}, l AS (SELECT date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS seq, count(DISTINCT o_custkey % 7) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)
+SELECT CAST(r.seq AS BIGINT) AS seq, count(*) AS n_affected, coalesce(max(n), 0) AS n_titles FROM r LEFT JOIN l ON l.seq = r.seq GROUP BY r.seq HAVING bool_or(title = '05')
+"""
+
+
+def release_scopes(spark, d):
+    """Lines as matching versions of suppliers, order months as releases: in force in month 20, and newest seen by then."""
+    month = F.expr("(year(l_shipdate) - 1992) * 12 + month(l_shipdate)").cast("bigint")
+    hits = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), month.alias("first_seq"), F.col("l_quantity").cast("double").alias("score")).withColumn("in_force_seqs", F.array("first_seq", F.col("first_seq") + 1))
+    kept = [search.at_release(hits, "key", 20, from_map).select(F.lit(scope).alias("scope"), "key", "first_seq", "score") for scope, from_map in (("in force", True), ("seen", False))]
+    return kept[0].unionByName(kept[1])
+
+
+SCOPES_SQL = """
+WITH h AS (SELECT l_suppkey AS key, CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) AS BIGINT) AS first_seq, CAST(l_quantity AS DOUBLE) AS score FROM lineitem),
+s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first_seq DESC, score DESC) AS r FROM h WHERE first_seq <= 20)
+SELECT 'in force' AS scope, key, first_seq, score FROM h WHERE first_seq IN (19, 20) UNION ALL SELECT 'seen', key, first_seq, score FROM s WHERE r = 1
+"""
+
+
 REGISTERED = {
+    "release_listing": (release_listing, LISTING_SQL),
+    "release_scopes": (release_scopes, SCOPES_SQL),
     "layer_costs": (layer_costs, LAYER_SQL),
     "backfill_plan": (backfill_plan, BACKFILL_SQL),
     "latest_release_affecting": (latest_affecting, AFFECT_SQL),

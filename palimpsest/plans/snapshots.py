@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import shape
+from palimpsest.functions import markup, shape
 from palimpsest.plans.tables import table
 from palimpsest.sources import documents
 
@@ -107,9 +107,34 @@ SELECT name, CAST(inline AS BIGINT) AS inline, CAST(isolated AS BIGINT) AS isola
   UNION ALL SELECT 'notes', 0, even FROM c UNION ALL SELECT 'note', 0, 2 * even + own FROM c) WHERE inline + isolated > 0
 """
 
+
+def section_contents(spark, d):
+    """Entries of each section's own contents, in order."""
+    rows = documents.parse_snapshots(_documents(spark, d)).filter("kind = 'section'")
+    return rows.select("identifier", F.posexplode(markup.contents(F.col("markup"))).alias("place", "e")).select("identifier", F.col("place").cast("bigint").alias("place"), "e.*")
+
+
+CONTENTS_SQL = f"""
+WITH l AS ({_LINES}), s AS (SELECT '/us/usc/t' || k || '/s' || n AS identifier, p FROM l),
+e AS (SELECT identifier, 1 AS o, identifier || '/a' AS anchor, '(a)' AS num FROM s WHERE p % 4 > 0 UNION ALL SELECT identifier, 2, 'source', 'Source credit' FROM s WHERE p % 3 = 0 UNION ALL SELECT identifier, 3, 'notes', 'Notes' FROM s WHERE p % 2 = 0)
+SELECT identifier, CAST(row_number() OVER (PARTITION BY identifier ORDER BY o) - 1 AS BIGINT) AS place, anchor, num, CAST(NULL AS VARCHAR) AS heading FROM e
+"""
+
+
+def section_identifiers(spark, d):
+    """Identifiers that can be copied from inside each section."""
+    rows = documents.parse_snapshots(_documents(spark, d)).filter("kind = 'section'")
+    return rows.select("identifier", F.array_join(markup.level_identifiers(F.col("markup")), " ").alias("inner"))
+
+
+INNER_SQL = f"WITH l AS ({_LINES}) SELECT '/us/usc/t' || k || '/s' || n AS identifier, CASE WHEN p % 4 > 0 THEN '/us/usc/t' || k || '/s' || n || '/a' ELSE '' END AS inner FROM l"
+
+
 REGISTERED = {
     "snapshot_sections": (snapshot_sections, SECTIONS_SQL),
     "snapshot_notes": (snapshot_notes, NOTES_SQL),
+    "section_contents": (section_contents, CONTENTS_SQL),
+    "section_identifiers": (section_identifiers, INNER_SQL),
     "snapshot_metadata": (snapshot_metadata, METADATA_SQL),
     "section_depths": (section_depths, DEPTHS_SQL),
     "inline_elements": (inline_elements, INLINE_SQL),
