@@ -271,5 +271,6 @@ def shaped_results(index: Index, hits: DataFrame, sort: str = "relevance", limit
     total = shown.agg(F.count_distinct("identifier").alias("total") if seq is not None or all_versions else F.count("*").alias("total"))
     page = search.page(search.sort_hits(shown, sort, "doc", "sort_key", "first_release_seq"), limit, offset)
     if seq is None:
-        page = search.earlier_matches(page, rows, "identifier")
+        # the join does not keep the page's order
+        page = search.sort_hits(search.earlier_matches(page, rows, "identifier"), sort, "doc", "sort_key", "first_release_seq")
     return page, total
