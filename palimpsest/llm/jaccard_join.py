@@ -31,7 +31,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -363,24 +363,19 @@ def _open_rows(rows: DataFrame, by_node: DataFrame) -> DataFrame:
     return scratch.materialise(placed.join(lists.filter("least != most").select("shingle", "size"), "shingle"), "open_rows")
 
 
-def _allowed(t: Fraction) -> Column:
-    """``_possible`` over the columns n_a, pos_a, n_b and pos_b, of which the first set is the smaller."""
-    num, den = t.numerator, t.denominator
-    need = f"({num} * (n_a + n_b) + {num + den - 1}) div {num + den}"
-    return F.expr(f"n_a * {den} >= n_b * {num} AND 1 + least(n_a - pos_a - 1, n_b - pos_b - 1) >= {need} AND pos_a <= n_a - ({2 * num} * n_a + {num + den - 1}) div {num + den}")
-
-
 def _central_pairs(left: DataFrame, rows: DataFrame, t: Fraction, hubs: int) -> DataFrame:
     """Pairs of open lists' rows with the rows of other components, a few in each list, that stand in most lists."""
+    num, den = t.numerator, t.denominator
     weight = rows.groupBy("node", "n").agg(F.count("*").alias("weight"))
     order = W.partitionBy("shingle").orderBy(F.desc("weight"), "n", "node")
     top = left.join(weight, ["node", "n"]).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= hubs)
-    top = top.select("shingle", *(F.col(c).alias(f"{c}_h") for c in ("node", "n", "pos", "comp")))
-    both = left.join(top, "shingle").filter("comp != comp_h")
-    me, its = F.struct("n", "node", "pos"), F.struct(F.col("n_h").alias("n"), F.col("node_h").alias("node"), F.col("pos_h").alias("pos"))
-    both = both.select(F.least(me, its).alias("x"), F.greatest(me, its).alias("y"))
-    both = both.select(*(F.col(f"{v}.{c}").alias(f"{c}_{k}") for v, k in (("x", "a"), ("y", "b")) for c in ("node", "n", "pos")))
-    return both.filter(_allowed(t)).select(F.col("node_a").alias("hub"), F.col("n_a").alias("hub_n"), F.col("node_b").alias("node"), F.col("n_b").alias("n"))
+    # ``_possible`` in terms of each row's shingles from its place on, and whether that place is in its index prefix.
+    # Number by number: the code of compared structs, repeated for each use, takes the JVM's compiler 1.4 GB
+    sides = [x.select("shingle", "node", "n", "comp", (F.col("n") - F.col("pos")).alias("rest"), F.expr(f"{2 * num} * n <= {num + den} * (n - pos)").alias("early")) for x in (left, top)]
+    both = sides[0].join(sides[1].select("shingle", *(F.col(c).alias(f"{c}_h") for c in ("node", "n", "comp", "rest", "early"))), "shingle")
+    first = "n < n_h OR (n = n_h AND node < node_h)"  # rows of two components are not of one node
+    both = both.filter(f"comp != comp_h AND n * {den} >= n_h * {num} AND n_h * {den} >= n * {num} AND {num + den} * least(rest, rest_h) >= {num} * (n + n_h) AND if({first}, early, early_h)")
+    return both.selectExpr(f"if({first}, node, node_h) AS hub", "least(n, n_h) AS hub_n", f"if({first}, node_h, node) AS node", "greatest(n, n_h) AS n")
 
 
 def _cross_pairs(left: DataFrame, t: Fraction, block_rows: int) -> DataFrame:

@@ -85,3 +85,25 @@ def test_empty_and_null_ids(spark):
 def test_components_of_many_shares(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 99) for i in range(30)], "u bigint, v bigint").repartition(6)
     assert {(r.u, r.component) for r in connected_components(edges, share=5).collect()} == {(i, 0) for i in range(41)} | {(i, 99) for i in range(99, 130)}
+
+
+def test_central_pairs_are_the_possible_ones_in_little_code(spark):
+    """All pairs that the filters allow, and code that the JVM's compiler takes in (4,746 bytes took it 1.4 GB)."""
+    schema = "shingle bigint, node bigint, n int, pos int, comp bigint, size bigint"
+    rng = random.Random(4)
+    size = {k: rng.randint(20, 30) for k in range(60)}
+    rows = sorted({(s, k): (s, k, size[k], rng.randrange(9), k % 5, 20) for s in range(12) for k in rng.sample(range(60), 20)}.values())
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # whose plan shows its code only stage by stage
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    left = spark.createDataFrame(rows, schema)
+    out = J._central_pairs(left, left, J.THRESHOLD, 100)  # as many hubs as a list has rows
+    want = set()
+    for a, b in combinations(rows, 2):
+        a, b = sorted((a, b), key=lambda r: (r[2], r[1]))
+        if a[0] == b[0] and a[4] != b[4] and J._possible(*(np.array(x) for x in (a[2], a[3], b[2], b[3])), J.THRESHOLD):
+            want.add((a[1], a[2], b[1], b[2]))
+    assert {tuple(r) for r in out.collect()} == want
+    assert 50 < len(want) < len(list(combinations(size, 2)))
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(out.distinct()._jdf.queryExecution().executedPlan())
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 2500
