@@ -1,18 +1,18 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-Every id is predicted by three models that learn as they code. Order 2 names the id that last followed the
-two ids before it, with the length of its run of right guesses. Order 1 keeps the ids that most often
-followed the one before, with counts. Order 0 counts the block's ids. Their shares of the probability are
-mixed by weights that are learnt for each state of confidence: the order-2 guess and the order-1 followers
-take their shares of one interval (an id that both name gets the sum), and what is left belongs to order 0,
-within which an id's share is its count besides a uniform start. One id is thus one step of the arithmetic
-coder, or two where order 0 has to spell it. All arithmetic is on integers, so a file reads back on any
-machine.
-
-Models and coder start anew in each block, which lets numpy code hundreds of blocks side by side: one step
-codes the t-th id of every block. Order-0 counts enter at steps that double up to ``_REFRESH`` ids. A segment
-(one row of the written table) holds whole documents, the sorted list of the ids in it, its blocks and their
-CRC-32 sums, and can be read alone. Ids are any unsigned 32-bit integers.
+Every id is predicted by three models. Order 2 names the id that last followed the two ids before it, with
+the length of its run of right guesses. Order 1 keeps the ids that most often followed the one before, with
+counts. Both learn as they code. Order 0 is the share of each id in the segment, written once beside the list
+of its ids. Their shares of the probability are mixed by weights that are learnt for each state of
+confidence: the order-2 guess and the order-1 followers take their shares of one interval (an id that both
+name gets the sum), and what is left belongs to order 0. One id is thus one step of the arithmetic coder, or
+two where order 0 has to spell it. All arithmetic is on integers, so a file reads back on any machine.
+
+Models and coder start anew in each block, which lets numpy code thousands of blocks side by side: one step
+codes the t-th id of every block, and costs little more for many blocks than for few. Blocks are therefore
+cut shorter, down to ``_SHORT`` ids, where a segment would have less than ``_LANES`` of them. A segment
+(one row of the written table) holds whole documents, the sorted list of the ids in it with their shares, its
+blocks and their CRC-32 sums, and can be read alone. Ids are any unsigned 32-bit integers.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from palimpsest.llm.wordhash import binary_parts, slices
 
 @dataclass(frozen=True)
 class Settings:
-    """Tokenizer file (a path, or the name of a public vocabulary), id after each document, ids of a block and
-    (about) of a segment, chunks remembered by a worker, bytes of text tokenized at once."""
+    """Tokenizer file (a path, or the name of a public vocabulary), id after each document, most ids of a block and
+    (about) ids of a segment, chunks remembered by a worker, bytes of text tokenized at once."""
 
     tokenizer: str
     end_id: int = 0
@@ -48,18 +48,20 @@ class Settings:
     batch_bytes: int = 4 << 20
 
 
-MAGIC = b"PTF2"
+MAGIC = b"PTF3"
 _TOP, _KEEP, _MASK = 62, 46, (1 << 62) - 1
 #: Weights and shares add up to 1 << _SCALE.
 _SCALE, _RATE = 15, 5
 #: A follower is its count above the dense id of 24 bits.
 _ID_BITS, _COUNT_CAP = 24, 100
 _ONE, _ID = 1 << _ID_BITS, (1 << _ID_BITS) - 1
-_SLOTS1, _SLOTS2, _FOLLOWERS = 4096, 8192, 3
-#: Order-0 counts weigh so much against the uniform start, and are taken in at least every so many ids.
-_GAIN, _REFRESH = 4, 512
-#: Cells of the order-0 tables of blocks coded side by side.
-_CELLS, _FINE = 1 << 24, 64
+_FOLLOWERS = 3
+_PLACES = np.arange(_FOLLOWERS)[:, None]
+_MIX1, _MIX2 = np.int32(0x2545F), np.int32(0x9E3B1)
+#: Blocks that a segment is cut into if they have so many ids at least.
+_LANES, _SHORT = 2048, 2048
+#: Ids of blocks coded side by side.
+_CELLS = 1 << 23
 #: Steps between looks at the room left for coded digits, of which a step writes four at most.
 _ROOM = 64
 
@@ -71,133 +73,128 @@ _SHARE = np.minimum(_SHARE, 1 << _SCALE)
 
 
 class _Model:
-    """State of ``n`` blocks side by side over ``v`` dense ids; those still open are the first ``k``."""
+    """State of ``n`` blocks of at most ``longest`` ids side by side; those still open are the first ``k``."""
 
-    def __init__(self, n: int, v: int):
-        self.n, self.v = n, v
+    def __init__(self, n: int, longest: int):
+        bits = max(6, (longest - 1).bit_length())
+        self.mask1, self.mask2 = np.int32((1 << bits - 2) - 1), np.int32((1 << bits - 1) - 1)
         # an empty place holds an id that no segment has, with a count of none
-        self.one = np.full((n * _SLOTS1, _FOLLOWERS), _ID, np.int32)
-        self.two = np.full(n * _SLOTS2, _ID, np.int32)
+        self.one = np.full(n * _FOLLOWERS << bits - 2, _ID, np.int32)
+        self.two = np.full(n << bits - 1, _ID, np.int32)
         self.w1, self.w2 = np.full(n * 16, 1 << (_SCALE - 2), np.int32), np.full(n * 16, 1 << (_SCALE - 2), np.int32)
-        self.lane = np.arange(n)
-        self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.count = np.zeros(n * v, np.int32)
-        self.width = -(-v // _FINE) * _FINE
-        self.start = np.zeros((n, self.width + 1), np.int32)
-        self.start[:, :] = np.minimum(np.arange(self.width + 1), v)
-        self.total, self.fresh, self.next = v, 0, 16
-
-    def refresh(self, t: int, seen: np.ndarray, k: int) -> None:
-        """Take the ids of steps up to ``t`` into the order-0 counts; ``seen`` holds the steps since the last time."""
-        np.add.at(self.count, (self.lane[:k] * self.v + seen[:, :k]).ravel(), 1)
-        table = self.count.reshape(self.n, self.v)
-        start = self.start[:k]
-        np.cumsum(table[:k, : self.v], axis=1, dtype=np.int32, out=start[:, 1 : self.v + 1])
-        start[:, self.v + 1 :] = start[:, self.v : self.v + 1]
-        start *= _GAIN
-        start += np.minimum(np.arange(self.width + 1, dtype=np.int32), self.v)
-        self.total, self.fresh = t * _GAIN + self.v, t
-        self.next = t + min(t, _REFRESH)
+        lane = np.arange(n)
+        self.base1, self.base2, self.base = lane << bits - 2, lane << bits - 1, lane * 16
+        self.prev, self.mixed = np.zeros(n, np.int32), np.zeros(n, np.int32)
 
     def predict(self, k: int):
         """(order-2 guess, its share, followers' ids and shares (3, k)) of the next id in every open block."""
-        lane, a, b = self.lane[:k], self.prev[:k], self.prev2[:k]
-        self.at1 = lane * _SLOTS1 + (a & (_SLOTS1 - 1))
-        self.at2 = lane * _SLOTS2 + (((a * 0x2545F + b * 0x9E3B1) >> 3) & (_SLOTS2 - 1))
-        self.e1 = self.one.take(self.at1, axis=0).T.copy()
+        a = self.prev[:k]
+        self.at1 = (self.base1[:k] + (a & self.mask1)) * _FOLLOWERS + _PLACES
+        self.at2 = self.base2[:k] + ((a * _MIX1 + self.mixed[:k]) >> np.int32(3) & self.mask2)
+        self.e1 = self.one.take(self.at1)
         self.e2 = self.two.take(self.at2)
         count = self.e1 >> _ID_BITS
-        total = count[0] + count[1] + count[2]
+        total = count[0] + count[1]
+        total += count[2]
         run = self.e2 >> _ID_BITS
-        self.state = lane * 16 + (_STATE1.take(total) + _STATE2.take(run))
+        self.state = self.base[:k] + (_STATE1.take(total) + _STATE2.take(run))
         self.w1_now, self.w2_now = self.w1.take(self.state), self.w2.take(self.state)
         self.ids1, self.guess = self.e1 & _ID, self.e2 & _ID
-        share = _SHARE[count, total]
+        share = _SHARE.take(count * _SHARE.shape[1] + total)
         share *= self.w1_now
         share >>= _SCALE
         mine = self.w2_now * (run > 0)
-        self.same = self.ids1 == self.guess
-        both = share * self.same
-        mine += both[0] + both[1] + both[2]
+        both = share * (self.ids1 == self.guess)
+        mine += both[0]
+        mine += both[1]
+        mine += both[2]
         share -= both
         return self.guess, mine, self.ids1, share
 
-    def learn(self, k: int, x: np.ndarray) -> None:
-        x32 = x.astype(np.int32)
-        right = self.guess == x32
-        e0, e1, e2 = self.e1
-        m = self.ids1 == x32
-        known = m[0] | m[1] | m[2]
-        self.w2[self.state] = self.w2_now + (((right.astype(np.int32) << _SCALE) - self.w2_now) >> _RATE)
-        self.w1[self.state] = self.w1_now + ((((known & ~right).astype(np.int32) << _SCALE) - self.w1_now) >> _RATE)
-        self.e1 += m * np.int32(_ONE)
-        self.e1[2] = np.where(known, self.e1[2], x32 + np.int32(_ONE))
-        high = np.maximum(self.e1[1], self.e1[2])
-        row = np.empty((k, _FOLLOWERS), np.int32)
-        row[:, 2] = np.minimum(self.e1[1], self.e1[2])
-        row[:, 1] = np.minimum(self.e1[0], high)
-        row[:, 0] = top = np.maximum(self.e1[0], high)
-        full = top >= _COUNT_CAP << _ID_BITS
-        if full.any():
-            row[full] = ((row[full] >> (_ID_BITS + 1)) << _ID_BITS) | (row[full] & _ID)
-        self.one[self.at1] = row
-        self.two[self.at2] = np.where(right & (self.e2 >= _ONE), self.e2 + np.int32(_ONE) * (self.e2 < _COUNT_CAP << _ID_BITS), x32 + np.int32(_ONE))
-        self.prev2[:k], self.prev[:k] = self.prev[:k], x
-
-
-def _encode_group(grid: np.ndarray, length: np.ndarray, v: int) -> list[bytes]:
+    def learn(self, k: int, x: np.ndarray, right: np.ndarray, m: np.ndarray) -> None:
+        """Take ids ``x`` into the models; ``right`` and ``m``: where the guess and the followers name them."""
+        known = m[0] | m[1]
+        known |= m[2]
+        fresh = x + np.int32(_ONE)
+        self.w2[self.state] = self.w2_now + ((right * np.int32(1 << _SCALE) - self.w2_now) >> _RATE)
+        self.w1[self.state] = self.w1_now + (((known & ~right) * np.int32(1 << _SCALE) - self.w1_now) >> _RATE)
+        e1 = self.e1
+        e1 += m * np.int32(_ONE)
+        last = np.where(known, e1[2], fresh)
+        high = np.maximum(e1[1], last)
+        np.minimum(e1[1], last, out=e1[2])
+        np.minimum(e1[0], high, out=e1[1])
+        np.maximum(e1[0], high, out=e1[0])
+        if len(high) and e1[0].max() >= _COUNT_CAP << _ID_BITS:
+            full = e1[0] >= _COUNT_CAP << _ID_BITS
+            e1[:, full] = ((e1[:, full] >> (_ID_BITS + 1)) << _ID_BITS) | (e1[:, full] & _ID)
+        self.one[self.at1] = e1
+        self.two[self.at2] = np.where(right, self.e2 + (self.e2 < _COUNT_CAP << _ID_BITS) * np.int32(_ONE), fresh)
+        np.multiply(self.prev[:k], _MIX2, out=self.mixed[:k])
+        self.prev[:k] = x
+
+
+def _frequencies(count: np.ndarray) -> np.ndarray:
+    """Order-0 shares of ids that occur ``count`` times: whole numbers above 0 whose sum is a power of two."""
+    v = len(count)
+    total = 1 << max(16, v.bit_length() + 2)
+    out = count.astype(np.int64) * (total - v) // max(1, int(count.sum())) + 1
+    if v:
+        out[out.argmax()] += total - int(out.sum())
+    return out.astype(np.uint32)
+
+
+def _encode_group(grid: np.ndarray, length: np.ndarray, longest: int, freq: np.ndarray) -> list[bytes]:
     """Coded columns of ``grid`` (steps x blocks); ``length`` may only fall."""
     steps, n = grid.shape
-    m = _Model(n, v)
+    m = _Model(n, longest)
+    size0 = freq.astype(np.int64)
+    first0 = np.cumsum(size0) - size0
+    bits0 = int(size0.sum()).bit_length() - 1
     low, wide, pos = np.zeros(n, np.int64), np.full(n, 1 << _TOP, np.int64), np.ones(n, np.int64)
     out = np.zeros((n, steps // 2 + 4 * _ROOM), np.int32)
     flat, cols = out.reshape(-1), np.arange(n) * out.shape[1]
     open_ = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
-    starts = m.start.reshape(-1)
     for t in range(steps):
         k = open_[t]
         if t % _ROOM == 0 and int(pos.max()) + 4 * _ROOM > out.shape[1]:
             out = np.concatenate([out, np.zeros((n, steps // 4 + 4 * _ROOM), np.int32)], axis=1)
             flat, cols = out.reshape(-1), np.arange(n) * out.shape[1]
-        if t == m.next:
-            m.refresh(t, grid[m.fresh : t], k)
         x = grid[t, :k]
         guess, mine, ids, share = m.predict(k)
-        hit = guess == x
-        hits = ids == x
-        hits &= share > 0
-        b1 = mine
-        b2 = b1 + share[0]
+        hit, hits = guess == x, ids == x
+        b2 = mine + share[0]
         b3 = b2 + share[1]
-        own = np.where(hit, mine, hits[0] * share[0] + hits[1] * share[1] + hits[2] * share[2])
-        below = np.where(hit, 0, hits[0] * b1 + hits[1] * b2 + hits[2] * b3)
+        own = share * hits
+        own = np.where(hit, mine, own[0] + own[1] + own[2])
+        below = np.where(hits[0], mine, np.where(hits[1], b2, b3))
+        below *= ~hit
         spelled = (own == 0).nonzero()[0]
-        named = b3 + share[2]
-        below[spelled] = named[spelled]
-        own[spelled] = (1 << _SCALE) - named[spelled]
-        unit = wide[:k] >> _SCALE
-        low[:k] += unit * below
-        wide[:k] = unit * own
+        named = b3[spelled] + share[2][spelled]
+        below[spelled] = named
+        own[spelled] = (1 << _SCALE) - named
+        lo, wd = low[:k], wide[:k]
+        wd >>= _SCALE
+        lo += wd * below
+        wd *= own
         if len(spelled):
-            at = spelled * (m.width + 1) + x[spelled]
-            first = starts.take(at).astype(np.int64)
-            size = starts.take(at + 1) - first
-            unit = wide[spelled] // m.total
-            low[spelled] += unit * first
-            wide[spelled] = unit * size
-        m.learn(k, x)
-        over = (low[:k] > _MASK).nonzero()[0]
+            ids0 = x[spelled]
+            unit = wide[spelled] >> bits0
+            low[spelled] += unit * first0.take(ids0)
+            wide[spelled] = unit * size0.take(ids0)
+        m.learn(k, x, hit, hits)
+        over = (lo > _MASK).nonzero()[0]
         if len(over):
             flat[cols[over] + pos[over] - 1] += 1
             low[over] &= _MASK
-        small = (wide[:k] < (1 << _KEEP)).nonzero()[0]
+        small = (wd < (1 << _KEEP)).nonzero()[0]
         while len(small):
-            lo = low[small]
-            flat[cols[small] + pos[small]] = lo >> _KEEP
+            lo, at = low[small], pos[small]
+            flat[cols[small] + at] = lo >> _KEEP
             low[small] = (lo & ((1 << _KEEP) - 1)) << 16
             wider = wide[small] << 16
             wide[small] = wider
-            pos[small] += 1
+            pos[small] = at + 1
             small = small[wider < (1 << _KEEP)]
     for _ in range(4):  # within the room of the last look
         flat[cols + pos] = low >> _KEEP
@@ -209,14 +206,18 @@ def _encode_group(grid: np.ndarray, length: np.ndarray, v: int) -> list[bytes]:
     return [out[i, 1 : pos[i]].astype("<u2").tobytes() for i in range(n)]
 
 
-def _decode_group(blocks: list[bytes], length: np.ndarray, v: int) -> np.ndarray:
+def _decode_group(blocks: list[bytes], length: np.ndarray, longest: int, freq: np.ndarray) -> np.ndarray:
     """The grid (steps x blocks) of a group of coded blocks."""
     n, steps = len(blocks), int(length[0])
     digits = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.int32)
     for i, b in enumerate(blocks):
         digits[i, : len(b) // 2] = np.frombuffer(b, "<u2")
     flat, cols = digits.reshape(-1), np.arange(n) * digits.shape[1]
-    m = _Model(n, v)
+    m = _Model(n, longest)
+    size0 = freq.astype(np.int64)
+    first0 = np.cumsum(size0) - size0
+    bits0 = int(size0.sum()).bit_length() - 1
+    named0 = np.repeat(np.arange(len(freq), dtype=np.int32), size0)
     first4 = digits[:, :4].astype(np.int64)
     dif = (first4[:, 0] << 46) | (first4[:, 1] << 30) | (first4[:, 2] << 14) | (first4[:, 3] >> 2)
     # digits are 16 bits wide and the window 62: the part of a digit not yet taken is kept by position
@@ -224,42 +225,38 @@ def _decode_group(blocks: list[bytes], length: np.ndarray, v: int) -> np.ndarray
     wide = np.full(n, 1 << _TOP, np.int64)
     grid = np.zeros((steps, n), np.int32)
     open_ = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
-    starts, row = m.start.reshape(-1), m.width + 1
-    coarse = np.ascontiguousarray(m.start[:, : m.width : _FINE])
-    fine = np.arange(_FINE)
+    lane, held = np.arange(n), 0
     for t in range(steps):
         k = open_[t]
-        if t == m.next:
-            m.refresh(t, grid[m.fresh : t], k)
-            coarse = np.ascontiguousarray(m.start[:, : m.width : _FINE])
+        if k != held:
+            # ends of the intervals, and the ids that they name
+            held, ends, names = k, np.zeros((6, k), np.int32), np.zeros((5, k), np.int32)
+            ends[5] = 1 << _SCALE
         guess, mine, ids, share = m.predict(k)
-        unit = wide[:k] >> _SCALE
-        target = dif[:k] // unit
-        b2 = mine + share[0]
-        b3 = b2 + share[1]
-        named = b3 + share[2]
-        x = np.where(target < mine, guess, np.where(target < b2, ids[0], np.where(target < b3, ids[1], ids[2]))).astype(np.int64)
-        below = np.where(target < mine, 0, np.where(target < b2, mine, np.where(target < b3, b2, b3)))
-        own = np.where(target < mine, mine, np.where(target < b2, share[0], np.where(target < b3, share[1], share[2])))
-        spelled = (target >= named).nonzero()[0]
-        below[spelled] = named[spelled]
-        own[spelled] = (1 << _SCALE) - named[spelled]
-        dif[:k] -= unit * below
-        wide[:k] = unit * own
+        ends[1] = mine
+        np.add(mine, share[0], out=ends[2])
+        np.add(ends[2], share[1], out=ends[3])
+        np.add(ends[3], share[2], out=ends[4])
+        names[0], names[1:4] = guess, ids
+        df, wd = dif[:k], wide[:k]
+        wd >>= _SCALE
+        target = (df // wd).astype(np.int32)
+        at = (target >= ends[1:5]).sum(0, dtype=np.int8) * np.int64(k)
+        spelled = (at == 4 * k).nonzero()[0]
+        at += lane[:k]
+        x, below = names.take(at), ends.take(at)
+        own = ends.take(at + k) - below
+        df -= wd * below
+        wd *= own
         if len(spelled):
-            unit = wide[spelled] // m.total
-            want = dif[spelled] // unit
-            group = ((coarse[spelled] <= want[:, None]).sum(1) - 1) * _FINE
-            at = spelled * row + group
-            found = at + (starts[at[:, None] + fine] <= want[:, None]).sum(1) - 1
-            first = starts.take(found).astype(np.int64)
-            size = starts.take(found + 1) - first
-            x[spelled] = found - spelled * row
-            dif[spelled] -= unit * first
-            wide[spelled] = unit * size
+            unit, left = wide[spelled] >> bits0, dif[spelled]
+            ids0 = named0.take(left // unit)
+            x[spelled] = ids0
+            dif[spelled] = left - unit * first0.take(ids0)
+            wide[spelled] = unit * size0.take(ids0)
         grid[t, :k] = x
-        m.learn(k, x)
-        small = (wide[:k] < (1 << _KEEP)).nonzero()[0]
+        m.learn(k, x, guess == x, ids == x)
+        small = (wd < (1 << _KEEP)).nonzero()[0]
         while len(small):
             q = pos[small]
             dif[small] = (dif[small] << 16) | ((flat.take(q).astype(np.int64) & 3) << 14) | (flat.take(q + 1) >> 2)
@@ -270,31 +267,35 @@ def _decode_group(blocks: list[bytes], length: np.ndarray, v: int) -> np.ndarray
     return grid
 
 
-def _groups(n: int, v: int) -> Iterator[tuple[int, int]]:
-    step = max(1, _CELLS // max(v, 1))
+def _groups(n: int, longest: int) -> Iterator[tuple[int, int]]:
+    step = max(1, _CELLS // max(longest, 1))
     for i in range(0, n, step):
         yield i, min(i + step, n)
 
 
-def encode_blocks(ids: np.ndarray, block: int, v: int) -> list[bytes]:
-    """Coded blocks of ``block`` dense ids (below ``v``) each; the last may be shorter."""
-    n = -(-len(ids) // block)
+def encode_blocks(ids: np.ndarray, block: int, v: int, freq: np.ndarray | None = None) -> list[bytes]:
+    """Coded blocks of ``block`` dense ids (below ``v``) each; the last may be shorter. ``freq``: order-0 shares of
+    the ids, as ``_frequencies`` gives them; alike if left out."""
+    freq = _frequencies(np.ones(v, np.int64)) if freq is None else freq
+    n, longest = -(-len(ids) // block), min(block, len(ids))
     out: list[bytes] = []
-    for i, j in _groups(n, v):
+    for i, j in _groups(n, longest):
         part = ids[i * block : j * block]
         length = np.full(j - i, block)
         length[-1] = len(part) - (j - i - 1) * block
         grid = np.zeros((j - i) * block, np.int32)
         grid[: len(part)] = part
-        out += _encode_group(np.ascontiguousarray(grid.reshape(j - i, block)[:, : length[0]].T), length, v)
+        out += _encode_group(np.ascontiguousarray(grid.reshape(j - i, block)[:, : length[0]].T), length, block, freq)
     return out
 
 
-def decode_blocks(blocks: list[bytes], length: np.ndarray, v: int) -> np.ndarray:
-    """Dense ids of coded blocks with ``length`` ids each (lengths must not grow)."""
+def decode_blocks(blocks: list[bytes], length: np.ndarray, v: int, freq: np.ndarray | None = None, block: int | None = None) -> np.ndarray:
+    """Dense ids of coded blocks with ``length`` ids each (lengths must not grow); ``block``: ids of a whole block,
+    the first one's if left out."""
+    freq = _frequencies(np.ones(v, np.int64)) if freq is None else freq
     parts = []
-    for i, j in _groups(len(blocks), v):
-        grid = _decode_group(blocks[i:j], length[i:j], v)
+    for i, j in _groups(len(blocks), int(length[0]) if len(blocks) else 1):
+        grid = _decode_group(blocks[i:j], length[i:j], block or int(length[0]), freq)
         parts += [grid.T[: j - i - 1].ravel(), grid[: length[j - 1], -1]]
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
@@ -304,21 +305,24 @@ _HEAD = "<4sIQIII"
 
 def pack(ids: np.ndarray, block: int) -> bytes:
     """A segment's bytes: head (magic, block size, ids, blocks, distinct ids, bytes of their list), the list of the
-    sorted distinct ids as deflated differences and its CRC-32, then size and CRC-32 of each block, then the
-    blocks."""
+    sorted distinct ids as differences and of their order-0 shares, deflated, and its CRC-32, then size and
+    CRC-32 of each block, then the blocks. Blocks are shorter than ``block`` where a segment would have few."""
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= 1 << 32):
         raise ValueError("ids are unsigned 32-bit integers")
     if len(ids) and int(ids.max()) < 1 << 22:
-        known = np.bincount(ids).nonzero()[0]
+        count = np.bincount(ids)
+        known = count.nonzero()[0]
         place = np.zeros(int(known[-1]) + 1, np.int32)
         place[known] = np.arange(len(known))
-        dense = place[ids]
+        dense, count = place[ids], count[known]
     else:
-        known, dense = np.unique(ids, return_inverse=True)
+        known, dense, count = np.unique(ids, return_inverse=True, return_counts=True)
     if len(known) >= _ONE:
         raise ValueError(f"a segment holds {len(known)} distinct ids; fewer than {_ONE} can be coded")
-    blocks = encode_blocks(dense.astype(np.int32, copy=False), block, len(known))
-    names = zlib.compress(np.diff(known.astype(np.int64), prepend=0).astype("<u4").tobytes())
+    block = min(block, max(_SHORT, -(-len(ids) // _LANES)))
+    freq = _frequencies(count)
+    blocks = encode_blocks(dense.astype(np.int32, copy=False), block, len(known), freq)
+    names = zlib.compress(np.diff(known.astype(np.int64), prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes())
     head = struct.pack(_HEAD, MAGIC, block, len(ids), len(blocks), len(known), len(names)) + names + struct.pack("<I", zlib.crc32(names))
     return head + b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks) + b"".join(blocks)
 
@@ -343,16 +347,16 @@ def unpack(data: bytes) -> np.ndarray:
     length = np.full(count, block)
     if count:
         length[-1] = n - (count - 1) * block
-    known = np.cumsum(np.frombuffer(zlib.decompress(names), "<u4"), dtype=np.int64).astype(np.uint32)
-    return known[decode_blocks(blocks, length, distinct)]
+    listing = np.frombuffer(zlib.decompress(names), "<u4")
+    known = np.cumsum(listing[:distinct], dtype=np.int64).astype(np.uint32)
+    return known[decode_blocks(blocks, length, distinct, listing[distinct:], block)]
 
 
 #: Texts that hold one of these go through the library whole: runs of white space, white space at an end, any but blank and line break.
 _ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x09\x0B\x0C\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_STOP[list(b".,;:!?")] = True
 _BLANK, _BREAK = 32, 10
+#: Kinds of bytes: blank 1, line break 2, one of ``.,;:!?`` 4, ASCII letter or digit 8.
+_KINDS = bytes(1 if c == _BLANK else 2 if c == _BREAK else 4 if c in b".,;:!?" else 8 if c < 128 and chr(c).isalnum() else 0 for c in range(256))
 
 
 class Tokenizer:
@@ -420,9 +424,10 @@ class Tokenizer:
         data, offs = binary_parts(texts)
         rows = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         whole = {r: np.array(self._whole(texts[r].as_py()), np.int32) for r in rows.nonzero()[0].tolist()}
+        kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
         cut = np.zeros(len(data) + 1, bool)
-        cut[:-1] = (data == _BLANK) | (data == _BREAK)
-        cut[1:-1] |= (data[:-1] == _BREAK) | (_STOP[data[1:]] & _ALNUM[data[:-1]])
+        cut[:-1] = (kind & 3) != 0
+        cut[1:-1] |= ((kind[:-1] & 2) | ((kind[1:] << 1) & kind[:-1] & 8)) != 0
         for r in whole:
             cut[offs[r] : offs[r + 1]] = False
         full = (offs[1:] > offs[:-1]).nonzero()[0]
@@ -432,13 +437,19 @@ class Tokenizer:
         chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         code, names = chunks.indices.to_numpy(), chunks.dictionary.to_pylist()
         mine = {int(code[np.searchsorted(at, offs[r])]): ids for r, ids in whole.items() if offs[r + 1] > offs[r]}
-        new = [c for i, c in enumerate(names) if c not in self.at and i not in mine]
-        if len(self.at) + len(new) > self.remember:
+        found = list(map(self.at.get, names))
+        missing = [i for i, k in enumerate(found) if k is None and i not in mine]
+        if len(self.at) + len(missing) > self.remember:
             self.clear()
-            new = [c for i, c in enumerate(names) if c not in self.at and i not in mine]
-        if new:
-            self._learn(new)
-        known = np.fromiter((self.at.get(c, 0) for c in names), np.int64, len(names))
+            found = list(map(self.at.get, names))
+            missing = [i for i, k in enumerate(found) if k is None and i not in mine]
+        if missing:
+            self._learn([names[i] for i in missing])
+            for i in missing:
+                found[i] = self.at[names[i]]
+        for i in mine:
+            found[i] = 0
+        known = np.array(found, np.int64)
         start, size = self.start[known], self.size[known]
         pool, more = self.ids[: self.n], []
         top = self.n

@@ -41,6 +41,20 @@ def test_all_new_ids_fit_the_room_for_digits():
     assert len(data) < 8 * len(ids)
 
 
+def test_small_segments_have_many_blocks_that_know_the_segments_shares():
+    rng = np.random.default_rng(5)
+    ids = rng.choice(3_000, 100_000, p=(w := 1 / np.arange(1, 3_001)) / w.sum())
+    data = T.pack(ids, 16_384)
+    _, block, n, blocks, *_ = T.struct.unpack_from(T._HEAD, data)
+    assert (n, block, blocks) == (100_000, 2_048, 49)  # 7 blocks of 16,384 took as many steps as 8 times the ids
+    share = np.bincount(ids)[np.unique(ids)] / n
+    assert 8 * len(data) / n < 1.06 * -(share * np.log2(share)).sum()  # random: nothing to learn but shares
+    assert (T.unpack(data) == ids).all()
+    for v in (1, 3, 70_000):
+        freq = T._frequencies(rng.integers(1, 1 << 40, v))
+        assert freq.min() > 0 and int(freq.sum()).bit_count() == 1
+
+
 def test_blocks_are_coded_alike_alone_and_side_by_side(monkeypatch):
     ids = np.minimum(800, np.random.default_rng(2).zipf(1.2, 5_000)).astype(np.int32)
     together = T.encode_blocks(ids, 1_000, 801)
