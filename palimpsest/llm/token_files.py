@@ -390,6 +390,26 @@ class Tokenizer:
         self.at: dict[bytes, int] = {b"\n": 0}
         self.start, self.size, self.ids, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 1
         self.ids[0], self.size[0] = self.newline, 1
+        self.used = np.zeros(1 << 16, np.int32)
+
+    def forget(self) -> None:
+        """Keep the chunks that more than one batch had of late, the first half of what is remembered at most."""
+        keep = np.append(0, (self.used[1 : len(self.at)] > 1).nonzero()[0] + 1)[: self.remember // 2]
+        names, kept = list(self.at), keep.tolist()  # in the order of their numbers
+        size, start, used = self.size[keep], self.start[keep], self.used[keep] >> 1
+        ends = np.cumsum(size)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
+        self.clear()
+        self.at = {names[k]: i for i, k in enumerate(kept)}
+        self._room(len(keep), len(ids))
+        self.start[: len(keep)], self.size[: len(keep)], self.used[: len(keep)] = ends - size, size, used
+        self.ids[: len(ids)], self.n = ids, len(ids)
+
+    def _room(self, chunks: int, ids: int) -> None:
+        while chunks > len(self.start):
+            self.start, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.used))
+        while ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
 
     def _whole(self, text: str) -> list[int]:
         return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -408,10 +428,7 @@ class Tokenizer:
                 if not lead:
                     ids = ids[~first]
                 k = len(self.at)
-                while k + len(part) > len(self.start):
-                    self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-                while self.n + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                self._room(k + len(part), self.n + len(ids))
                 self.ids[self.n : self.n + len(ids)] = ids
                 self.start[k : k + len(part)] = self.n + np.cumsum(size) - size
                 self.size[k : k + len(part)] = size
@@ -435,12 +452,12 @@ class Tokenizer:
         at = cut[:-1].nonzero()[0]
         bounds = np.append(at, len(data)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        code, names = chunks.indices.to_numpy(), chunks.dictionary.to_pylist()
+        code, names = chunks.indices.to_numpy(), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         mine = {int(code[np.searchsorted(at, offs[r])]): ids for r, ids in whole.items() if offs[r + 1] > offs[r]}
         found = list(map(self.at.get, names))
         missing = [i for i, k in enumerate(found) if k is None and i not in mine]
         if len(self.at) + len(missing) > self.remember:
-            self.clear()
+            self.forget()
             found = list(map(self.at.get, names))
             missing = [i for i, k in enumerate(found) if k is None and i not in mine]
         if missing:
@@ -450,6 +467,7 @@ class Tokenizer:
         for i in mine:
             found[i] = 0
         known = np.array(found, np.int64)
+        self.used[known] += 1
         start, size = self.start[known], self.size[known]
         pool, more = self.ids[: self.n], []
         top = self.n

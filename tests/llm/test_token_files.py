@@ -86,6 +86,20 @@ def test_chunks_join_to_the_ids_of_whole_texts():
         assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_chunks_of_many_batches_outlast_full_memory():
+    t = T.Tokenizer(PATH, 200)
+    often = " ".join(f"often{i}" for i in range(50))
+    for k in range(12):
+        text = often + " " + " ".join(f"once{k}x{i}" for i in range(60))
+        ids, _ = t.encode(pa.array([text]), 0)
+        assert ids.tolist() == [*t.t.encode(text, add_special_tokens=False).ids, 0]
+        assert len(t.at) <= 200
+        if k > 1:
+            assert sum(b"often" in c for c in t.at) == 50
+    t.forget()
+    assert sum(b"often" in c for c in t.at) == 50 and not any(b"once" in c for c in t.at)
+
+
 def test_equals_the_library(spark):
     import tokenizers
 
