@@ -44,11 +44,11 @@ class Settings:
     end_id: int = 0
     block: int = 16_384
     segment: int = 1 << 23
-    remember: int = 400_000
+    remember: int = 690_000
     batch_bytes: int = 4 << 20
 
 
-MAGIC = b"PTF3"
+MAGIC = b"PTF4"
 _TOP, _KEEP, _MASK = 62, 46, (1 << 62) - 1
 #: Weights and shares add up to 1 << _SCALE.
 _SCALE, _RATE = 15, 5
@@ -56,20 +56,27 @@ _SCALE, _RATE = 15, 5
 _ID_BITS, _COUNT_CAP = 24, 100
 _ONE, _ID = 1 << _ID_BITS, (1 << _ID_BITS) - 1
 _FOLLOWERS = 3
-_PLACES = np.arange(_FOLLOWERS)[:, None]
 _MIX1, _MIX2 = np.int32(0x2545F), np.int32(0x9E3B1)
 #: Blocks that a segment is cut into if they have so many ids at least.
-_LANES, _SHORT = 2048, 2048
+_LANES, _SHORT = 4096, 2048
 #: Ids of blocks coded side by side.
 _CELLS = 1 << 23
 #: Steps between looks at the room left for coded digits, of which a step writes four at most.
 _ROOM = 64
 
-_STATE1 = np.array([0, 1, *[2] * 3, *[3] * 400], np.int32)
-_STATE2 = np.array([0, 4, *[8] * 2, *[12] * 200], np.int32)
-_SHARE = np.zeros((_COUNT_CAP + 30, _FOLLOWERS * (_COUNT_CAP + 30)), np.int32)
-_SHARE[:, 1:] = (np.arange(len(_SHARE))[:, None] << _SCALE) // np.arange(1, _SHARE.shape[1])
-_SHARE = np.minimum(_SHARE, 1 << _SCALE)
+#: Four numbers taken and put at once: the followers of an id, and one that is not used.
+_RECORD = np.dtype((np.void, 16))
+
+
+def _confidence() -> np.ndarray:
+    """By run of the guess, then total of the followers' counts: 1 / total in 65,536ths above the state (4 bits)."""
+    run, total = np.arange(_COUNT_CAP + 1), np.arange(1 << _TOTAL_BITS)
+    state = np.digitize(run, (1, 2, 4))[:, None] * 4 + np.digitize(total, (1, 2, 5))
+    return (((1 << 16) // np.maximum(1, total) << 4) + state).astype(np.int32).ravel()
+
+
+_TOTAL_BITS = (_FOLLOWERS * _COUNT_CAP).bit_length()
+_CONFIDENCE = _confidence()
 
 
 class _Model:
@@ -79,61 +86,90 @@ class _Model:
         bits = max(6, (longest - 1).bit_length())
         self.mask1, self.mask2 = np.int32((1 << bits - 2) - 1), np.int32((1 << bits - 1) - 1)
         # an empty place holds an id that no segment has, with a count of none
-        self.one = np.full(n * _FOLLOWERS << bits - 2, _ID, np.int32)
+        self.one = np.full(n * 4 << bits - 2, _ID, np.int32).view(_RECORD)
         self.two = np.full(n << bits - 1, _ID, np.int32)
-        self.w1, self.w2 = np.full(n * 16, 1 << (_SCALE - 2), np.int32), np.full(n * 16, 1 << (_SCALE - 2), np.int32)
+        # the followers' weight and the guess's
+        self.weight = np.full(n * 16 * 2, 1 << (_SCALE - 2), np.int32).view(np.int64)
         lane = np.arange(n)
         self.base1, self.base2, self.base = lane << bits - 2, lane << bits - 1, lane * 16
         self.prev, self.mixed = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.record, self.target = np.zeros((n, 4), np.int32), np.zeros((n, 2), np.int32)
+        self.ends = np.zeros((6, n), np.int32)
 
     def predict(self, k: int):
-        """(order-2 guess, its share, followers' ids and shares (3, k)) of the next id in every open block."""
+        """(order-2 guess, followers' ids (3, k), ends of the intervals (6, k)) of the next id in every open block: the
+        guess's, the followers' and that of order 0 lie between an end and the next."""
         a = self.prev[:k]
-        self.at1 = (self.base1[:k] + (a & self.mask1)) * _FOLLOWERS + _PLACES
+        self.at1 = self.base1[:k] + (a & self.mask1)
         self.at2 = self.base2[:k] + ((a * _MIX1 + self.mixed[:k]) >> np.int32(3) & self.mask2)
-        self.e1 = self.one.take(self.at1)
+        self.e1 = np.ascontiguousarray(self.one.take(self.at1).view(np.int32).reshape(k, 4).T[:_FOLLOWERS])
         self.e2 = self.two.take(self.at2)
         count = self.e1 >> _ID_BITS
         total = count[0] + count[1]
         total += count[2]
         run = self.e2 >> _ID_BITS
-        self.state = self.base[:k] + (_STATE1.take(total) + _STATE2.take(run))
-        self.w1_now, self.w2_now = self.w1.take(self.state), self.w2.take(self.state)
-        self.ids1, self.guess = self.e1 & _ID, self.e2 & _ID
-        share = _SHARE.take(count * _SHARE.shape[1] + total)
-        share *= self.w1_now
-        share >>= _SCALE
-        mine = self.w2_now * (run > 0)
-        both = share * (self.ids1 == self.guess)
+        sure = _CONFIDENCE.take((run << _TOTAL_BITS) + total)
+        self.state = self.base[:k] + (sure & 15)
+        self.weights = self.weight.take(self.state).view(np.int32).reshape(k, 2)
+        sure >>= 4
+        sure *= self.weights[:, 0]  # below 1 << 31
+        sure >>= 8
+        share = count
+        share *= sure
+        share >>= 8
+        ids1, guess = self.e1 & _ID, self.e2 & _ID
+        both = share * (ids1 == guess)
+        share -= both
+        if self.ends.shape[1] != k:
+            self.ends = np.zeros((6, k), np.int32)
+        ends = self.ends
+        ends[5] = 1 << _SCALE
+        mine = np.multiply(self.weights[:, 1], run > 0, out=ends[1])
         mine += both[0]
         mine += both[1]
         mine += both[2]
-        share -= both
-        return self.guess, mine, self.ids1, share
+        np.add(mine, share[0], out=ends[2])
+        np.add(ends[2], share[1], out=ends[3])
+        np.add(ends[3], share[2], out=ends[4])
+        return guess, ids1, ends
 
     def learn(self, k: int, x: np.ndarray, right: np.ndarray, m: np.ndarray) -> None:
         """Take ids ``x`` into the models; ``right`` and ``m``: where the guess and the followers name them."""
         known = m[0] | m[1]
         known |= m[2]
         fresh = x + np.int32(_ONE)
-        self.w2[self.state] = self.w2_now + ((right * np.int32(1 << _SCALE) - self.w2_now) >> _RATE)
-        self.w1[self.state] = self.w1_now + (((known & ~right) * np.int32(1 << _SCALE) - self.w1_now) >> _RATE)
-        e1 = self.e1
+        target = self.target[:k]
+        np.multiply(known > right, np.int32(1 << _SCALE), out=target[:, 0])
+        np.multiply(right, np.int32(1 << _SCALE), out=target[:, 1])
+        target -= self.weights
+        target >>= _RATE
+        target += self.weights
+        self.weight[self.state] = target.view(np.int64).ravel()
+        e1, record = self.e1, self.record[:k]
         e1 += m * np.int32(_ONE)
         last = np.where(known, e1[2], fresh)
         high = np.maximum(e1[1], last)
-        np.minimum(e1[1], last, out=e1[2])
-        np.minimum(e1[0], high, out=e1[1])
-        np.maximum(e1[0], high, out=e1[0])
-        if len(high) and e1[0].max() >= _COUNT_CAP << _ID_BITS:
-            full = e1[0] >= _COUNT_CAP << _ID_BITS
-            e1[:, full] = ((e1[:, full] >> (_ID_BITS + 1)) << _ID_BITS) | (e1[:, full] & _ID)
-        self.one[self.at1] = e1
-        self.two[self.at2] = np.where(right, self.e2 + (self.e2 < _COUNT_CAP << _ID_BITS) * np.int32(_ONE), fresh)
+        np.minimum(e1[1], last, out=record[:, 2])
+        np.minimum(e1[0], high, out=record[:, 1])
+        np.maximum(e1[0], high, out=record[:, 0])
+        full = (record[:, 0] >= _COUNT_CAP << _ID_BITS).nonzero()[0]
+        if len(full):
+            halved = record[full]
+            record[full] = (halved >> (_ID_BITS + 1) << _ID_BITS) | (halved & _ID)
+        self.one[self.at1] = record.view(_RECORD).ravel()
+        grown = self.e2 + (self.e2 < _COUNT_CAP << _ID_BITS) * np.int32(_ONE)
+        self.two[self.at2] = np.where(right, grown, fresh)
         np.multiply(self.prev[:k], _MIX2, out=self.mixed[:k])
         self.prev[:k] = x
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a // b`` of numbers from 0 whose quotients are small, without the slow division of whole numbers."""
+    q = (a.astype(np.float64) / b.astype(np.float64)).astype(np.int64)
+    rest = a - q * b  # without a sign a number below 0 is a large one
+    return q if (rest.view(np.uint64) < b.view(np.uint64)).all() else a // b
+
+
 def _frequencies(count: np.ndarray) -> np.ndarray:
     """Order-0 shares of ids that occur ``count`` times: whole numbers above 0 whose sum is a power of two."""
     v = len(count)
@@ -151,106 +187,109 @@ def _encode_group(grid: np.ndarray, length: np.ndarray, longest: int, freq: np.n
     size0 = freq.astype(np.int64)
     first0 = np.cumsum(size0) - size0
     bits0 = int(size0.sum()).bit_length() - 1
-    low, wide, pos = np.zeros(n, np.int64), np.full(n, 1 << _TOP, np.int64), np.ones(n, np.int64)
-    out = np.zeros((n, steps // 2 + 4 * _ROOM), np.int32)
-    flat, cols = out.reshape(-1), np.arange(n) * out.shape[1]
+    low, wide, lane = np.zeros(n, np.int64), np.full(n, 1 << _TOP, np.int64), np.arange(n)
+    # digits by place, then block, as the blocks are at about the same place; what carries is kept above 16 bits
+    out, pos = np.zeros((steps // 2 + 4 * _ROOM, n), np.int32), lane + n
+    flat = out.reshape(-1)
     open_ = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
     for t in range(steps):
         k = open_[t]
-        if t % _ROOM == 0 and int(pos.max()) + 4 * _ROOM > out.shape[1]:
-            out = np.concatenate([out, np.zeros((n, steps // 4 + 4 * _ROOM), np.int32)], axis=1)
-            flat, cols = out.reshape(-1), np.arange(n) * out.shape[1]
+        if t % _ROOM == 0 and int(pos.max()) + 4 * _ROOM * n > out.size:
+            out = np.concatenate([out, np.zeros((steps // 4 + 4 * _ROOM, n), np.int32)])
+            flat = out.reshape(-1)
         x = grid[t, :k]
-        guess, mine, ids, share = m.predict(k)
+        guess, ids, ends = m.predict(k)
         hit, hits = guess == x, ids == x
-        b2 = mine + share[0]
-        b3 = b2 + share[1]
-        own = share * hits
-        own = np.where(hit, mine, own[0] + own[1] + own[2])
-        below = np.where(hits[0], mine, np.where(hits[1], b2, b3))
-        below *= ~hit
-        spelled = (own == 0).nonzero()[0]
-        named = b3[spelled] + share[2][spelled]
-        below[spelled] = named
-        own[spelled] = (1 << _SCALE) - named
+        h = hits.view(np.int8)
+        which = np.int8(4) - h[0] * np.int8(3) - h[1] * np.int8(2) - h[2]
+        which *= ~hit
+        at = which * np.int64(k)
+        at += lane[:k]
+        below = ends.take(at)
+        at += k
+        own = ends.take(at) - below
+        none = (own == 0).nonzero()[0]  # named, but without a share
+        if len(none):
+            at[none] = none + 5 * k
+            below[none] = ends[4].take(none)
+            own[none] = (1 << _SCALE) - below[none]
+        spelled = (at >= 5 * k).nonzero()[0]
         lo, wd = low[:k], wide[:k]
         wd >>= _SCALE
         lo += wd * below
         wd *= own
         if len(spelled):
-            ids0 = x[spelled]
-            unit = wide[spelled] >> bits0
+            ids0 = x.take(spelled)
+            unit = wd.take(spelled) >> bits0
             low[spelled] += unit * first0.take(ids0)
             wide[spelled] = unit * size0.take(ids0)
         m.learn(k, x, hit, hits)
-        over = (lo > _MASK).nonzero()[0]
-        if len(over):
-            flat[cols[over] + pos[over] - 1] += 1
-            low[over] &= _MASK
         small = (wd < (1 << _KEEP)).nonzero()[0]
         while len(small):
-            lo, at = low[small], pos[small]
-            flat[cols[small] + at] = lo >> _KEEP
+            lo, q = low.take(small), pos.take(small)
+            flat[q] = lo >> _KEEP
             low[small] = (lo & ((1 << _KEEP) - 1)) << 16
-            wider = wide[small] << 16
+            pos[small] = q + n
+            wider = wide.take(small) << 16
             wide[small] = wider
-            pos[small] = at + 1
             small = small[wider < (1 << _KEEP)]
     for _ in range(4):  # within the room of the last look
-        flat[cols + pos] = low >> _KEEP
+        flat[pos] = low >> _KEEP
         low = (low & ((1 << _KEEP) - 1)) << 16
-        pos += 1
-    for q in range(int(pos.max()) - 1 if n else 0, 0, -1):
-        out[:, q - 1] += out[:, q] >> 16
-        out[:, q] &= 0xFFFF
-    return [out[i, 1 : pos[i]].astype("<u2").tobytes() for i in range(n)]
+        pos += n
+    rows = (pos // max(n, 1)).tolist()
+    for q in range(max(rows, default=1) - 1, 0, -1):
+        out[q - 1] += out[q] >> 16
+        out[q] &= 0xFFFF
+    digits = np.ascontiguousarray(out[: max(rows, default=1)].astype("<u2").T)
+    return [digits[i, 1 : rows[i]].tobytes() for i in range(n)]
 
 
 def _decode_group(blocks: list[bytes], length: np.ndarray, longest: int, freq: np.ndarray) -> np.ndarray:
     """The grid (steps x blocks) of a group of coded blocks."""
     n, steps = len(blocks), int(length[0])
-    digits = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.int32)
+    digits = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.uint16)
     for i, b in enumerate(blocks):
         digits[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    flat, cols = digits.reshape(-1), np.arange(n) * digits.shape[1]
+    digits = np.ascontiguousarray(digits.T)
     m = _Model(n, longest)
     size0 = freq.astype(np.int64)
     first0 = np.cumsum(size0) - size0
     bits0 = int(size0.sum()).bit_length() - 1
-    named0 = np.repeat(np.arange(len(freq), dtype=np.int32), size0)
-    first4 = digits[:, :4].astype(np.int64)
-    dif = (first4[:, 0] << 46) | (first4[:, 1] << 30) | (first4[:, 2] << 14) | (first4[:, 3] >> 2)
-    # digits are 16 bits wide and the window 62: the part of a digit not yet taken is kept by position
-    pos = cols + 3
+    named0 = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.int32), size0)
+    first4 = digits[:4].astype(np.int64)
+    dif = (first4[0] << 46) | (first4[1] << 30) | (first4[2] << 14) | (first4[3] >> 2)
+    # digits are 16 bits wide and the window 62: the end of a digit comes with the start of the next
+    digits[:-1] = (digits[:-1] & 3) << 14 | digits[1:] >> 2
+    flat, lane = digits.reshape(-1), np.arange(n)
+    pos = lane + 3 * n
     wide = np.full(n, 1 << _TOP, np.int64)
     grid = np.zeros((steps, n), np.int32)
     open_ = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
-    lane, held = np.arange(n), 0
+    names = np.zeros((5, n), np.int32)
     for t in range(steps):
         k = open_[t]
-        if k != held:
-            # ends of the intervals, and the ids that they name
-            held, ends, names = k, np.zeros((6, k), np.int32), np.zeros((5, k), np.int32)
-            ends[5] = 1 << _SCALE
-        guess, mine, ids, share = m.predict(k)
-        ends[1] = mine
-        np.add(mine, share[0], out=ends[2])
-        np.add(ends[2], share[1], out=ends[3])
-        np.add(ends[3], share[2], out=ends[4])
+        if names.shape[1] != k:
+            names = np.zeros((5, k), np.int32)
+        guess, ids, ends = m.predict(k)
         names[0], names[1:4] = guess, ids
         df, wd = dif[:k], wide[:k]
         wd >>= _SCALE
-        target = (df // wd).astype(np.int32)
-        at = (target >= ends[1:5]).sum(0, dtype=np.int8) * np.int64(k)
-        spelled = (at == 4 * k).nonzero()[0]
+        past = (_quotient(df, wd).astype(np.int32) >= ends[1:5]).view(np.int8)
+        which = past[0] + past[1]
+        which += past[2]
+        which += past[3]
+        spelled = (which == 4).nonzero()[0]
+        at = which * np.int64(k)
         at += lane[:k]
         x, below = names.take(at), ends.take(at)
-        own = ends.take(at + k) - below
+        at += k
+        own = ends.take(at) - below
         df -= wd * below
         wd *= own
         if len(spelled):
-            unit, left = wide[spelled] >> bits0, dif[spelled]
-            ids0 = named0.take(left // unit)
+            unit, left = wd.take(spelled) >> bits0, df.take(spelled)
+            ids0 = named0.take(_quotient(left, unit))
             x[spelled] = ids0
             dif[spelled] = left - unit * first0.take(ids0)
             wide[spelled] = unit * size0.take(ids0)
@@ -258,15 +297,23 @@ def _decode_group(blocks: list[bytes], length: np.ndarray, longest: int, freq: n
         m.learn(k, x, guess == x, ids == x)
         small = (wd < (1 << _KEEP)).nonzero()[0]
         while len(small):
-            q = pos[small]
-            dif[small] = (dif[small] << 16) | ((flat.take(q).astype(np.int64) & 3) << 14) | (flat.take(q + 1) >> 2)
-            wider = wide[small] << 16
+            q = pos.take(small)
+            dif[small] = (dif.take(small) << 16) | flat.take(q)
+            pos[small] = q + n
+            wider = wide.take(small) << 16
             wide[small] = wider
-            pos[small] = q + 1
             small = small[wider < (1 << _KEEP)]
     return grid
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """``x`` with its rows as columns, some at once so that memory is read along rows."""
+    out = np.empty(x.shape[::-1], x.dtype)
+    for i in range(0, len(x), 64):
+        out[:, i : i + 64] = x[i : i + 64].T
+    return out
+
+
 def _groups(n: int, longest: int) -> Iterator[tuple[int, int]]:
     step = max(1, _CELLS // max(longest, 1))
     for i in range(0, n, step):
@@ -283,9 +330,10 @@ def encode_blocks(ids: np.ndarray, block: int, v: int, freq: np.ndarray | None =
         part = ids[i * block : j * block]
         length = np.full(j - i, block)
         length[-1] = len(part) - (j - i - 1) * block
-        grid = np.zeros((j - i) * block, np.int32)
-        grid[: len(part)] = part
-        out += _encode_group(np.ascontiguousarray(grid.reshape(j - i, block)[:, : length[0]].T), length, block, freq)
+        grid = part.astype(np.int32, copy=False)
+        if len(part) < (j - i) * block:
+            grid = np.concatenate([grid, np.zeros((j - i) * block - len(part), np.int32)])
+        out += _encode_group(_turned(grid.reshape(j - i, block)[:, : length[0]]), length, block, freq)
     return out
 
 
@@ -296,7 +344,7 @@ def decode_blocks(blocks: list[bytes], length: np.ndarray, v: int, freq: np.ndar
     parts = []
     for i, j in _groups(len(blocks), int(length[0]) if len(blocks) else 1):
         grid = _decode_group(blocks[i:j], length[i:j], block or int(length[0]), freq)
-        parts += [grid.T[: j - i - 1].ravel(), grid[: length[j - 1], -1]]
+        parts += [_turned(grid[:, : j - i - 1]).reshape(-1), grid[: length[j - 1], -1]]
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
@@ -310,11 +358,12 @@ def pack(ids: np.ndarray, block: int) -> bytes:
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= 1 << 32):
         raise ValueError("ids are unsigned 32-bit integers")
     if len(ids) and int(ids.max()) < 1 << 22:
-        count = np.bincount(ids)
+        at = ids.astype(np.intp)
+        count = np.bincount(at)
         known = count.nonzero()[0]
         place = np.zeros(int(known[-1]) + 1, np.int32)
         place[known] = np.arange(len(known))
-        dense, count = place[ids], count[known]
+        dense, count = place.take(at), count[known]
     else:
         known, dense, count = np.unique(ids, return_inverse=True, return_counts=True)
     if len(known) >= _ONE:
@@ -527,24 +576,24 @@ def _write(s: Settings):
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start, keys, counts, data in zip(*(batch.column(c).to_pylist() for c in ("start", "doc_ids", "counts", "data")), strict=True):
-            ids = unpack(data).astype("<u4", copy=False)
-            ends = np.cumsum(counts)
-            crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), counts, strict=True)]
-            n, starts = np.array(counts), start + ends - np.array(counts)
-            # rows go out in batches of bounded size
-            for i, j in slices(np.append(0, ends), 1 << 20):
-                base = int(ends[i] - n[i])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(base, ends[i:j]) - base, pa.int32()), pa.array(ids[base : ends[j - 1]].astype(np.int64)))
-                cols = [pa.array(keys[i:j], pa.int64()), pa.array(starts[i:j], pa.int64()), pa.array(counts[i:j], pa.int64()), pa.array(crc[i:j], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, lists], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
+def _read(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, keys, counts, data in zip(*(batch.column(c).to_pylist() for c in ("start", "doc_ids", "counts", "data")), strict=True):
+                ids = unpack(data).astype("<u4", copy=False)
+                ends = np.cumsum(counts)
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), counts, strict=True)]
+                n, starts = np.array(counts), start + ends - np.array(counts)
+                # rows go out in batches of bounded size
+                for i, j in slices(np.append(0, ends), 1 << 20):
+                    out = {"doc_id": keys[i:j], "start": starts[i:j], "n_tokens": counts[i:j], "ids_crc32": crc[i:j]}
+                    out = {name: pa.array(values, pa.int64()) for name, values in out.items()}
+                    if with_ids:
+                        base = int(ends[i] - n[i])
+                        out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(base, ends[i:j]) - base, pa.int32()), pa.array(ids[base : ends[j - 1]].astype(np.int64)))
+                    yield pa.RecordBatch.from_pydict(out)
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _read(batches):
-        yield batch.select(["doc_id", "start", "n_tokens", "ids_crc32"])
+    return run
 
 
 def write_token_files(docs: DataFrame, path: str, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -569,7 +618,7 @@ def read_token_files(docs_path: str, like: DataFrame, with_ids: bool = True) ->
     offsets = size.join(before, "part").select("part", "segment", (F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("segment")) - F.col("n")).alias("start"))
     rows = segments.join(offsets, ["part", "segment"]).select("start", "doc_ids", "counts", "data")
     columns = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return rows.mapInArrow(trimmed(_read), f"{columns}, ids array<bigint>") if with_ids else rows.mapInArrow(trimmed(_digests), columns)
+    return rows.mapInArrow(trimmed(_read(with_ids)), f"{columns}, ids array<bigint>" if with_ids else columns)
 
 
 def token_files_round_trip(docs: DataFrame, settings: Settings, with_ids: bool = False) -> DataFrame:

@@ -123,3 +123,41 @@ def test_repeated_and_null_ids_are_rows_of_their_own(spark):
     got = T.token_files_round_trip(df, T.Settings(PATH)).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 1, 4, 4, 4]
     assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+
+
+def test_quotients_are_those_of_whole_numbers():
+    rng = np.random.default_rng(7)
+    b = rng.integers(1 << 31, 1 << 47, 20_000)
+    q = rng.integers(0, 1 << 15, 20_000)
+    for rest in (np.zeros_like(b), b - 1, rng.integers(0, b)):  # no part is left, all but one, any
+        assert (T._quotient(q * b + rest, b) == q).all()
+    last = np.array([(1 << 47) - 1])
+    assert T._quotient(last * (1 << 15) - 1, last).tolist() == [(1 << 15) - 1]  # as fractions they are alike
+
+
+def test_large_segments_are_coded_in_more_lanes_and_turned_whole():
+    ids = np.random.default_rng(8).integers(0, 40, 5_000_003)
+    data = T.pack(ids, 16_384)
+    _, block, n, blocks, *_ = T.struct.unpack_from(T._HEAD, data)
+    assert (n, block, blocks) == (5_000_003, 2_048, 2_442)  # before 2,048 lanes of 2,442 ids
+    assert (T.unpack(data) == ids).all()
+    for shape in ((0, 3), (1, 1), (64, 5), (130, 7)):
+        x = np.arange(shape[0] * shape[1]).reshape(shape)
+        assert (T._turned(x) == x.T).all()
+
+
+def test_states_of_confidence_and_shares_stay_in_32_bits():
+    table = T._CONFIDENCE.reshape(T._COUNT_CAP + 1, -1)
+    assert table.shape[1] > T._FOLLOWERS * T._COUNT_CAP
+    assert [int(table[run, total] & 15) for run, total in ((0, 0), (0, 1), (1, 4), (3, 5), (100, 300))] == [0, 1, 6, 11, 15]
+    assert int((table >> 4).max()) * ((1 << T._SCALE) - 1) < 1 << 31
+    ids = np.tile(np.random.default_rng(9).integers(0, 5, 300), 40)  # counts and runs reach their caps
+    assert (T.unpack(T.pack(ids, 16_384)) == ids).all()
+    assert (T.unpack(T.pack(np.zeros(3_000, int), 16_384)) == 0).all()
+
+
+def test_digests_carry_no_ids(spark):
+    rows = pa.RecordBatch.from_pydict({"start": [7], "doc_ids": [[1, 2]], "counts": [[2, 1]], "data": [T.pack(np.array([5, 6, 0]), 16)]})
+    (plain,), (full,) = list(T._read(False)([rows])), list(T._read(True)([rows]))
+    assert plain.schema.names == ["doc_id", "start", "n_tokens", "ids_crc32"] and plain.column("start").to_pylist() == [7, 9]
+    assert full.column("ids").to_pylist() == [[5, 6], [0]] and full.select(plain.schema.names) == plain
