@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,8 @@ class _Model:
         self.two = np.full(n << bits - 1, _ID, np.int32)
         # the followers' weight and the guess's
         self.weight = np.full(n * 16 * 2, 1 << (_SCALE - 2), np.int32).view(np.int64)
-        lane = np.arange(n)
-        self.base1, self.base2, self.base = lane << bits - 2, lane << bits - 1, lane * 16
+        # by context, then block: contexts that are frequent everywhere share lines of the cache and pages
+        self.n, self.lane = np.int64(n), np.arange(n)
         self.prev, self.mixed = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.record, self.target = np.zeros((n, 4), np.int32), np.zeros((n, 2), np.int32)
         self.ends = np.zeros((6, n), np.int32)
@@ -99,9 +100,11 @@ class _Model:
     def predict(self, k: int):
         """(order-2 guess, followers' ids (3, k), ends of the intervals (6, k)) of the next id in every open block: the
         guess's, the followers' and that of order 0 lie between an end and the next."""
-        a = self.prev[:k]
-        self.at1 = self.base1[:k] + (a & self.mask1)
-        self.at2 = self.base2[:k] + ((a * _MIX1 + self.mixed[:k]) >> np.int32(3) & self.mask2)
+        a, lane = self.prev[:k], self.lane[:k]
+        self.at1 = (a & self.mask1) * self.n
+        self.at1 += lane
+        self.at2 = ((a * _MIX1 + self.mixed[:k]) >> np.int32(3) & self.mask2) * self.n
+        self.at2 += lane
         self.e1 = np.ascontiguousarray(self.one.take(self.at1).view(np.int32).reshape(k, 4).T[:_FOLLOWERS])
         self.e2 = self.two.take(self.at2)
         count = self.e1 >> _ID_BITS
@@ -109,7 +112,8 @@ class _Model:
         total += count[2]
         run = self.e2 >> _ID_BITS
         sure = _CONFIDENCE.take((run << _TOTAL_BITS) + total)
-        self.state = self.base[:k] + (sure & 15)
+        self.state = (sure & 15) * self.n
+        self.state += lane
         self.weights = self.weight.take(self.state).view(np.int32).reshape(k, 2)
         sure >>= 4
         sure *= self.weights[:, 0]  # below 1 << 31
@@ -404,6 +408,8 @@ def unpack(data: bytes) -> np.ndarray:
 #: Texts that hold one of these go through the library whole: runs of white space, white space at an end, any but blank and line break.
 _ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x09\x0B\x0C\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _BLANK, _BREAK = 32, 10
+#: New chunks of one call to the library, whose speed falls with longer texts.
+_CALL = 250
 #: Kinds of bytes: blank 1, line break 2, one of ``.,;:!?`` 4, ASCII letter or digit 8.
 _KINDS = bytes(1 if c == _BLANK else 2 if c == _BREAK else 4 if c in b".,;:!?" else 8 if c < 128 and chr(c).isalnum() else 0 for c in range(256))
 
@@ -463,26 +469,30 @@ class Tokenizer:
     def _whole(self, text: str) -> list[int]:
         return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        for lead in (True, False):
-            group = [c for c in chunks if (c[0] == _BLANK) == lead]
-            for i in range(0, len(group), 20_000):
-                part = group[i : i + 20_000]
-                ids = np.array(self._whole((b"".join(part) if lead else b"\n" + b"\n".join(part)).decode()), np.int32)
-                first = self.blank[ids] if lead else ids == self.newline
-                begin = first.nonzero()[0]
-                if len(begin) != len(part):
-                    raise ValueError("this vocabulary does not cut at blanks and line breaks")
-                size = np.diff(np.append(begin, len(ids))) - (not lead)
-                if not lead:
-                    ids = ids[~first]
-                k = len(self.at)
-                self._room(k + len(part), self.n + len(ids))
-                self.ids[self.n : self.n + len(ids)] = ids
-                self.start[k : k + len(part)] = self.n + np.cumsum(size) - size
-                self.size[k : k + len(part)] = size
-                self.n += len(ids)
-                self.at.update(zip(part, range(k, k + len(part)), strict=True))
+    def _learn(self, chunks: list[bytes], lead: bool) -> np.ndarray:
+        """Numbers of new chunks, all of which begin with a blank or none."""
+        texts = (chunks[i : i + _CALL] for i in range(0, len(chunks), _CALL))
+        texts = (b"".join(part) if lead else b"\n" + b"\n".join(part) for part in texts)
+        ids = np.concatenate([np.array(self._whole(text.decode()), np.int32) for text in texts])
+        first = self.blank[ids] if lead else ids == self.newline
+        begin = first.nonzero()[0]
+        if len(begin) != len(chunks):
+            raise ValueError("this vocabulary does not cut at blanks and line breaks")
+        size = np.diff(np.append(begin, len(ids))) - (not lead)
+        if not lead:
+            ids = ids[~first]
+        k = len(self.at)
+        self._room(k + len(chunks), self.n + len(ids))
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.start[k : k + len(chunks)] = self.n + np.cumsum(size) - size
+        self.size[k : k + len(chunks)] = size
+        self.n += len(ids)
+        self.at.update(zip(chunks, range(k, k + len(chunks)), strict=True))
+        return np.arange(k, k + len(chunks))
+
+    def _find(self, names: list[bytes]) -> np.ndarray:
+        """Numbers of chunks, -1 for those not known."""
+        return np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column without nulls, each with the end id, and the number of each text's."""
@@ -502,20 +512,19 @@ class Tokenizer:
         bounds = np.append(at, len(data)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         code, names = chunks.indices.to_numpy(), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        letters, begins = binary_parts(chunks.dictionary)
         mine = {int(code[np.searchsorted(at, offs[r])]): ids for r, ids in whole.items() if offs[r + 1] > offs[r]}
-        found = list(map(self.at.get, names))
-        missing = [i for i, k in enumerate(found) if k is None and i not in mine]
-        if len(self.at) + len(missing) > self.remember:
+        known = self._find(names)
+        known[list(mine)] = 0
+        if len(self.at) + np.count_nonzero(known < 0) > self.remember:
             self.forget()
-            found = list(map(self.at.get, names))
-            missing = [i for i, k in enumerate(found) if k is None and i not in mine]
-        if missing:
-            self._learn([names[i] for i in missing])
-            for i in missing:
-                found[i] = self.at[names[i]]
-        for i in mine:
-            found[i] = 0
-        known = np.array(found, np.int64)
+            known = self._find(names)
+            known[list(mine)] = 0
+        missing = (known < 0).nonzero()[0]
+        blank = letters[begins[missing]] == _BLANK
+        for part, lead in ((missing[blank], True), (missing[~blank], False)):
+            if len(part):
+                known[part] = self._learn([names[i] for i in part.tolist()], lead)
         self.used[known] += 1
         start, size = self.start[known], self.size[known]
         pool, more = self.ids[: self.n], []
@@ -530,7 +539,9 @@ class Tokenizer:
         ends = np.cumsum(per)
         start, size = np.insert(start[code], ends, top), np.insert(size[code], ends, 1)
         stop = np.cumsum(size)
-        ids = pool[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)]
+        place = np.repeat(start - (stop - size), size)
+        place += np.arange(len(place))
+        ids = pool.take(place)
         last = np.append(0, stop)[ends + np.arange(1, n + 1)]
         return ids, np.diff(np.append(0, last))
 
