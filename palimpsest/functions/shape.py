@@ -7,21 +7,24 @@ Markup that is not well formed has no shape (null).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palimpsest.functions.markup import INNER_LEVELS
 
 #: Elements whose content is quoted, and footnotes that stand inside a number.
 QUOTED, FOOTNOTES = ("quotedContent", "quotedText"), ("note", "footnote")
 
-_LEVEL = T.StructType().add("depth", "integer").add("num", "string").add("footnote", "boolean")
+_MARKED = {*QUOTED, *FOOTNOTES, *INNER_LEVELS, "num"}
+
 _ELEMENT = T.StructType().add("name", "string").add("inline", "long").add("isolated", "long")
-_SHAPE = T.StructType().add("max_depth", "integer").add("levels", T.ArrayType(_LEVEL)).add("elements", T.ArrayType(_ELEMENT))
+_DEPTH = T.StructType().add("depth", "integer").add("n_sections", "long").add("example", "string").add("n_levels", "long").add("n_footnotes", "long").add("width", "long").add("num", "string")
 
 
 def shape_of(markup: str | None) -> tuple[int, list[dict], list[dict]] | None:
@@ -30,84 +33,117 @@ def shape_of(markup: str | None) -> tuple[int, list[dict], list[dict]] | None:
 
     A number's text leaves out the footnotes in it.
     """
-    parser, stack, levels = expat.ParserCreate(), [], []
-    elements: dict[str, list[int]] = {}
+    parser, levels = expat.ParserCreate(), []
+    parser.buffer_text = True
+    inline: dict[str, int] = {}
+    isolated: dict[str, int] = {}
+    stack: list[list] = []  # of each open element its name, whether it is inline, its level, and what held before it
     gap, closed = False, None  # whether text stands since the last tag, and the element that this tag closed
-
-    def tag_met(inline_too: dict | None):
-        nonlocal gap, closed
-        if gap:
-            for node in (closed, inline_too):
-                if node:
-                    node["inline"] = True
-        if closed:  # nothing more can be known of it
-            elements.setdefault(closed["tag"], [0, 0])[not closed["inline"]] += 1
-        gap, closed = False, None
+    depth, quoted, number, muted = now = 0, False, None, False  # number: the level whose number is open, and its text
 
     def start(name, _attrs):
+        nonlocal gap, closed, depth, quoted, number, muted, now
         tag = name.rpartition(":")[2]
-        up = stack[-1] if stack else {"depth": 0, "quoted": False, "level": None, "number": None, "muted": False}
-        node = {"tag": tag, "inline": False, "depth": up["depth"], "quoted": up["quoted"] or tag in QUOTED, "level": None, "number": up["number"], "muted": up["muted"]}
-        tag_met(node)
-        if tag in INNER_LEVELS and not node["quoted"]:
-            node["depth"] += 1
-            node["level"] = {"depth": node["depth"], "num": None, "footnote": False}
-            levels.append(node["level"])
-        elif tag == "num" and up["level"] and up["level"]["num"] is None and not node["quoted"]:
-            node["number"] = {"level": up["level"], "text": [], "own": node}
-        elif tag in FOOTNOTES and node["number"]:
-            node["number"]["level"]["footnote"], node["muted"] = True, True
+        if closed:  # nothing more can be known of it
+            kind = inline if gap or closed[1] else isolated
+            kind[closed[0]] = kind.get(closed[0], 0) + 1
+            closed = None
+        node = [tag, gap, None, None]
+        gap = False
+        if tag in _MARKED:
+            node[3] = now
+            quoted = quoted or tag in QUOTED
+            if tag in INNER_LEVELS and not quoted:
+                depth += 1
+                node[2] = {"depth": depth, "num": None, "footnote": False}
+                levels.append(node[2])
+            elif tag == "num" and stack and (level := stack[-1][2]) and level["num"] is None and not quoted:
+                number = (level, [])
+            elif tag in FOOTNOTES and number:
+                number[0]["footnote"] = muted = True
+            now = depth, quoted, number, muted
         stack.append(node)
 
     def text(data):
         nonlocal gap
-        gap = gap or bool(data.strip())
-        node = stack[-1]
-        if node["number"] and not node["muted"]:
-            node["number"]["text"].append(data)
+        gap = gap or not data.isspace()
+        if number and not muted:
+            number[1].append(data)
 
     def end(_name):
-        nonlocal closed
-        node = stack.pop()
-        tag_met(None)
-        closed = node
-        if node["number"] and node["number"]["own"] is node:
-            node["number"]["level"]["num"] = " ".join("".join(node["number"]["text"]).split()) or None
+        nonlocal gap, closed, depth, quoted, number, muted, now
+        if closed:
+            kind = inline if gap or closed[1] else isolated
+            kind[closed[0]] = kind.get(closed[0], 0) + 1
+        gap, closed = False, stack.pop()
+        if closed[3]:
+            if number is not closed[3][2]:
+                number[0]["num"] = " ".join("".join(number[1]).split()) or None
+            depth, quoted, number, muted = now = closed[3]
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
     try:
         parser.Parse((markup or "").encode(), True)
     except expat.ExpatError:
         return None
-    tag_met(None)
-    found = [{"name": k, "inline": a, "isolated": b} for k, (a, b) in sorted(elements.items())]
+    isolated[closed[0]] = isolated.get(closed[0], 0) + 1  # the outermost
+    found = [{"name": k, "inline": inline.get(k, 0), "isolated": isolated.get(k, 0)} for k in sorted(inline.keys() | isolated.keys())]
     return max((x["depth"] for x in levels), default=0), levels, found
 
 
-@F.pandas_udf(_SHAPE)
-def shape(markup: pd.Series) -> pd.DataFrame:
-    """Struct (max_depth, levels, elements) of each text."""
-    return pd.DataFrame([shape_of(m) or (None, None, None) for m in markup], columns=["max_depth", "levels", "elements"])
+def _shapes(markup: pa.Array) -> Iterator[tuple[int, tuple[int, list[dict], list[dict]]]]:
+    for i, m in enumerate(markup.to_pylist()):
+        if found := shape_of(m):
+            yield i, found
+
+
+def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each element of a batch."""
+    for batch in batches:
+        sums: dict[str, list[int]] = {}
+        for _, (_, _, elements) in _shapes(batch.column(0)):
+            for e in elements:
+                x = sums.setdefault(e["name"], [0, 0])
+                x[0] += e["inline"]
+                x[1] += e["isolated"]
+        yield pa.RecordBatch.from_pylist([{"name": k, "inline": a, "isolated": b} for k, (a, b) in sums.items()], schema=to_arrow_schema(_ELEMENT))
+
+
+def _count_depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each depth of a batch."""
+    for batch in batches:
+        sums: dict[int, dict] = {}
+        at = lambda depth: sums.setdefault(depth, dict.fromkeys(_DEPTH.names) | {"depth": depth, "n_sections": 0, "n_levels": 0, "n_footnotes": 0})  # noqa: E731, B023
+        ids = batch.column(0).to_pylist()
+        for i, (deepest, levels, _) in _shapes(batch.column(1)):
+            x = at(deepest)
+            x["n_sections"] += 1
+            if ids[i] is not None and (x["example"] is None or ids[i] < x["example"]):
+                x["example"] = ids[i]
+            for level in levels:
+                x = at(level["depth"])
+                x["n_levels"] += 1
+                x["n_footnotes"] += level["footnote"]
+                if (num := level["num"]) is not None and (x["num"] is None or (len(num), num) > (x["width"], x["num"])):
+                    x["width"], x["num"] = len(num), num
+        yield pa.RecordBatch.from_pylist(list(sums.values()), schema=to_arrow_schema(_DEPTH))
 
 
 def depth_ladder(sections: DataFrame, identifier: str = "identifier", markup: str = "markup") -> DataFrame:
     """One row for each depth: depth, n_sections whose deepest level it is, the least identifier of these (null: none),
     n_levels at it, how many have a footnote in their number, and the longest number (ties: the greater text).
 
-    Each text is parsed once; all counts are merged by one aggregation, so its shuffle holds a row a depth and task.
+    Each text is parsed once and counted where it lies, so what is handed back and shuffled is a row a depth and batch.
     The last row is the deepest section's.
     """
-    rows = sections.select(F.col(identifier).alias("id"), shape(F.col(markup)).alias("s")).filter("s.max_depth is not null")
-    own = F.struct(F.col("s.max_depth").alias("depth"), F.lit(None).cast("string").alias("num"), F.lit(False).alias("footnote"), F.lit(True).alias("section"))
-    levels = F.transform("s.levels", lambda x: F.struct(x.depth.alias("depth"), x.num.alias("num"), x.footnote.alias("footnote"), F.lit(False).alias("section")))
-    each = rows.select("id", F.explode(F.concat(F.array(own), levels)).alias("x")).select("id", "x.*")
-    section, width = F.col("section"), F.when(F.col("num").isNotNull(), F.struct(F.length("num").alias("n"), F.col("num").alias("num")))
-    return each.groupBy("depth").agg(
-        F.count_if(section).alias("n_sections"), F.min(F.when(section, F.col("id"))).alias("example"), F.count_if(~section).alias("n_levels"), F.count_if("footnote").alias("n_footnotes"), F.max(width).alias("_w")
-    ).select("depth", "n_sections", "example", "n_levels", "n_footnotes", F.col("_w.num").alias("widest_num"))
+    each = sections.select(F.col(identifier).cast("string"), F.col(markup)).mapInArrow(_count_depths, _DEPTH)
+    widest = F.max(F.when(F.col("num").isNotNull(), F.struct("width", "num")))
+    return each.groupBy("depth").agg(F.sum("n_sections").alias("n_sections"), F.min("example").alias("example"), F.sum("n_levels").alias("n_levels"), F.sum("n_footnotes").alias("n_footnotes"), widest.alias("_w")).select(
+        "depth", "n_sections", "example", "n_levels", "n_footnotes", F.col("_w.num").alias("widest_num")
+    )
 
 
 def inline_elements(texts: DataFrame, markup: str = "markup") -> DataFrame:
-    """(name, inline, isolated): how often each element stands in running text, and how often not."""
-    rows = texts.select(F.explode(shape(F.col(markup)).elements).alias("e")).select("e.*")
+    """(name, inline, isolated): how often each element stands in running text, and how often not; counted where the texts lie."""
+    rows = texts.select(markup).mapInArrow(_count_elements, _ELEMENT)
     return rows.groupBy("name").agg(F.sum("inline").alias("inline"), F.sum("isolated").alias("isolated"))

@@ -41,9 +41,13 @@ def _documents(spark, d):
     return body.select(k.alias("path"), content.alias("content"))
 
 
+def _sections(spark, d, *columns):
+    return documents.parse_snapshots(_documents(spark, d), ("kind", "markup", *columns)).filter("kind = 'section'")
+
+
 def snapshot_sections(spark, d):
-    rows = documents.parse_snapshots(_documents(spark, d)).filter("kind = 'section'")
-    return rows.select("path", F.col("seq").cast("bigint").alias("seq"), "generation", "identifier", "temporal_id", "num", "num_value", "heading", "source_credit", F.array_join("ancestor_levels", "/").alias("levels"), F.size("notes").cast("bigint").alias("n_notes"), F.length("text").cast("bigint").alias("n_chars"))
+    rows = _sections(spark, d, "path", "seq", "generation", "identifier", "temporal_id", "num", "num_value", "heading", "source_credit", "ancestor_levels", "notes")
+    return rows.select("path", F.col("seq").cast("bigint").alias("seq"), "generation", "identifier", "temporal_id", "num", "num_value", "heading", "source_credit", F.array_join("ancestor_levels", "/").alias("levels"), F.size("notes").cast("bigint").alias("n_notes"), F.length(documents.plain_text(F.col("markup"))).cast("bigint").alias("n_chars"))
 
 
 _LINES = """SELECT k, n, p, CAST(row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS BIGINT) AS seq FROM (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)"""
@@ -58,7 +62,7 @@ FROM l
 
 
 def snapshot_notes(spark, d):
-    notes = documents.section_notes(documents.parse_snapshots(_documents(spark, d)))
+    notes = documents.section_notes(documents.parse_snapshots(_documents(spark, d), ("path", "kind", "identifier", "seq", "notes")))
     return notes.select("identifier", F.col("place").cast("bigint").alias("place"), "topic", "role", "heading", "markup")
 
 
@@ -83,7 +87,7 @@ SELECT CAST(k AS VARCHAR) AS path, CASE WHEN k % 2 = 0 THEN 'uslm-1' ELSE 'uslm-
 
 
 def section_depths(spark, d):
-    return shape.depth_ladder(documents.parse_snapshots(_documents(spark, d)).filter("kind = 'section'"))
+    return shape.depth_ladder(_sections(spark, d, "identifier"))
 
 
 DEPTHS_SQL = f"""
@@ -96,7 +100,7 @@ FROM s CROSS JOIN x GROUP BY depth
 
 def inline_elements(spark, d):
     """Over whole sections; a section's own element has nothing beside it."""
-    return shape.inline_elements(documents.parse_snapshots(_documents(spark, d)).filter("kind = 'section'"))
+    return shape.inline_elements(_sections(spark, d))
 
 
 INLINE_SQL = f"""
@@ -110,7 +114,7 @@ SELECT name, CAST(inline AS BIGINT) AS inline, CAST(isolated AS BIGINT) AS isola
 
 def section_contents(spark, d):
     """Entries of each section's own contents, in order."""
-    rows = documents.parse_snapshots(_documents(spark, d)).filter("kind = 'section'")
+    rows = _sections(spark, d, "identifier")
     return rows.select("identifier", F.posexplode(markup.contents(F.col("markup"))).alias("place", "e")).select("identifier", F.col("place").cast("bigint").alias("place"), "e.*")
 
 
@@ -123,7 +127,7 @@ SELECT identifier, CAST(row_number() OVER (PARTITION BY identifier ORDER BY o) -
 
 def section_identifiers(spark, d):
     """Identifiers that can be copied from inside each section."""
-    rows = documents.parse_snapshots(_documents(spark, d)).filter("kind = 'section'")
+    rows = _sections(spark, d, "identifier")
     return rows.select("identifier", F.array_join(markup.level_identifiers(F.col("markup")), " ").alias("inner"))
 
 

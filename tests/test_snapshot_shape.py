@@ -1,10 +1,15 @@
 """Notes, metadata and encodings of documents; depths and running text against a tree of the whole markup."""
 
 import random
+import re
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from palimpsest.functions import markup, shape
 from palimpsest.functions.markup import INNER_LEVELS
 from palimpsest.functions.shape import QUOTED, depth_ladder, shape_of
 from palimpsest.sources import documents as S
@@ -95,3 +100,37 @@ def test_shape_equals_a_tree(spark):
         assert (got[d].n_sections, got[d].example, got[d].n_levels) == (len(ids), min(ids, default=None), sum(k == d for w in want for k, _ in w[1]))
         assert got[d].widest_num == max(nums, key=lambda n: (len(n), n), default=None)
     assert depth_ladder(df.limit(0)).count() == 0
+
+
+def handed_over(name, spark):
+    """What the Python stages of a registered query hand back to the engine, by its plan."""
+    from palimpsest.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return [re.findall(r"(\w+)#\d+", line.rpartition("[")[2] if "MapInArrow" in line else line) for line in plan.splitlines() if re.search("MapInArrow|EvalPython", line)]
+
+
+def batches(rows, size):
+    table = pa.Table.from_pylist(rows)
+    return iter(table.to_batches(max_chunksize=size))
+
+
+def test_documents_come_back_in_few_batches():
+    """A batch costs as much as a hundred rows: many small documents share one, one long section has its own."""
+    body = "".join(f"<section identifier='/s{k}'><heading>h</heading></section>" for k in range(3))
+    rows = [{"path": str(k), "content": doc(body).encode()} for k in range(1000)]
+    found = list(S._parser(to_arrow_schema(T.StructType([S.SECTION[c] for c in ("path", "identifier", "markup")])))(batches(rows, 100)))
+    assert [b.num_rows for b in found] == [2048, 1952] and found[0].schema.names == ["path", "identifier", "markup"]
+    assert [r["path"] for b in found for r in b.to_pylist() if r["identifier"] == "/s2"] == [r["path"] for r in rows]
+    long = [{"path": str(k), "content": doc(f"<section identifier='/s'>{'x' * (3 << 20)}</section>").encode()} for k in range(3)]
+    assert len(list(S._parser(to_arrow_schema(S.SECTION))(batches(long, 1)))) == 3
+
+
+def test_elements_are_counted_where_they_lie(spark):
+    texts = [{"markup": "<section>a <b/> c<p/></section>"}] * 500 + [{"markup": "<section><b/>"}, {"markup": None}]
+    found = [r for b in shape._count_elements(batches(texts, 300)) for r in b.to_pylist()]
+    assert len(found) == 6 and sum(r["inline"] for r in found if r["name"] == "b") == 500
+    # the markup alone goes from one stage to the next
+    assert all("guid_refs" not in x for x in handed_over("inline_elements", spark))
+    df = spark.createDataFrame([(t["markup"],) for t in texts], "markup string")
+    assert {tuple(r) for r in shape.inline_elements(df).collect()} == {("b", 500, 0), ("p", 500, 0), ("section", 0, 500)}
