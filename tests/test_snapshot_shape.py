@@ -134,3 +134,10 @@ def test_elements_are_counted_where_they_lie(spark):
     assert all("guid_refs" not in x for x in handed_over("inline_elements", spark))
     df = spark.createDataFrame([(t["markup"],) for t in texts], "markup string")
     assert {tuple(r) for r in shape.inline_elements(df).collect()} == {("b", 500, 0), ("p", 500, 0), ("section", 0, 500)}
+
+
+def test_contents_read_only_what_they_show(spark):
+    text = "<section><subsection identifier='/a'><num>(<b>a</b><i><b><u>deep</u></b></i>)</num><heading/><heading>second</heading><paragraph identifier='/a/1'><num>1</num></paragraph></subsection><level identifier='/a'><num>again</num></level><q:level identifier='/b'/><notes/></section>"
+    assert markup.contents_of(text) == [{"anchor": "/a", "num": "(a)", "heading": None}, {"anchor": "notes", "num": "Notes", "heading": None}]
+    assert markup.identifiers_in(text) == ["/a", "/a/1", "/b"] and markup.identifiers_in(text[:-1]) == []
+    assert handed_over("section_contents", spark)[-1] == ["kind", "markup", "identifier"]
