@@ -141,3 +141,8 @@ def test_contents_read_only_what_they_show(spark):
     assert markup.contents_of(text) == [{"anchor": "/a", "num": "(a)", "heading": None}, {"anchor": "notes", "num": "Notes", "heading": None}]
     assert markup.identifiers_in(text) == ["/a", "/a/1", "/b"] and markup.identifiers_in(text[:-1]) == []
     assert handed_over("section_contents", spark)[-1] == ["kind", "markup", "identifier"]
+
+
+def test_sections_hand_over_what_is_read(spark):
+    (columns,) = handed_over("snapshot_sections", spark)
+    assert "notes" in columns and "guid_refs" not in columns and "ancestors" not in columns
