@@ -146,3 +146,11 @@ def test_contents_read_only_what_they_show(spark):
 def test_sections_hand_over_what_is_read(spark):
     (columns,) = handed_over("snapshot_sections", spark)
     assert "notes" in columns and "guid_refs" not in columns and "ancestors" not in columns
+
+
+def test_depths_are_counted_where_they_lie(spark):
+    text = "<section><subsection><num>(a)<note>n</note></num></subsection><subsection><num>(b)</num></subsection></section>"
+    rows = [{"id": f"/s{k}", "markup": text} for k in range(1000)]
+    found = [r for b in shape._count_depths(batches(rows, 250)) for r in b.to_pylist()]
+    assert found[0] == {"depth": 1, "n_sections": 250, "example": "/s0", "n_levels": 500, "n_footnotes": 250, "width": 3, "num": "(b)"} and len(found) == 4
+    assert handed_over("section_depths", spark)[-1] == ["kind", "markup", "identifier"]
