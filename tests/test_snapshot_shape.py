@@ -154,3 +154,9 @@ def test_depths_are_counted_where_they_lie(spark):
     found = [r for b in shape._count_depths(batches(rows, 250)) for r in b.to_pylist()]
     assert found[0] == {"depth": 1, "n_sections": 250, "example": "/s0", "n_levels": 500, "n_footnotes": 250, "width": 3, "num": "(b)"} and len(found) == 4
     assert handed_over("section_depths", spark)[-1] == ["kind", "markup", "identifier"]
+
+
+def test_metadata_comes_back_in_few_batches():
+    rows = [{"path": str(k), "content": doc("", f"<meta><docNumber>{k}</docNumber></meta>").encode()} for k in range(5000)]
+    found = list(S._parse_metadata(batches(rows, 100)))
+    assert [b.num_rows for b in found] == [2048, 2048, 904] and [r["doc_number"] for b in found for r in b.to_pylist()] == [r["path"] for r in rows]
