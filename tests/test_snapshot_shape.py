@@ -160,3 +160,7 @@ def test_metadata_comes_back_in_few_batches():
     rows = [{"path": str(k), "content": doc("", f"<meta><docNumber>{k}</docNumber></meta>").encode()} for k in range(5000)]
     found = list(S._parse_metadata(batches(rows, 100)))
     assert [b.num_rows for b in found] == [2048, 2048, 904] and [r["doc_number"] for b in found for r in b.to_pylist()] == [r["path"] for r in rows]
+
+
+def test_notes_hand_over_what_is_read(spark):
+    assert handed_over("snapshot_notes", spark) == [["path", "kind", "identifier", "seq", "notes"]]
