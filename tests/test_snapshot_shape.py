@@ -164,3 +164,7 @@ def test_metadata_comes_back_in_few_batches():
 
 def test_notes_hand_over_what_is_read(spark):
     assert handed_over("snapshot_notes", spark) == [["path", "kind", "identifier", "seq", "notes"]]
+
+
+def test_identifiers_hand_over_what_is_read(spark):
+    assert handed_over("section_identifiers", spark)[-1] == ["kind", "markup", "identifier"]
