@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from palimpsest.functions.identifiers import dash_variants
 from palimpsest.functions.markup import provision_below
 from palimpsest.operators.asof import resolve_dates, resolve_labels, served_from
 from palimpsest.operators.hierarchy import longest_prefix
+from palimpsest.sources.store import shared_dir
 
 
 def resolve_releases(requests: DataFrame, releases: DataFrame, loads: DataFrame) -> DataFrame:
@@ -37,11 +40,18 @@ def get_sections(requests: DataFrame, sections: DataFrame, loads: DataFrame, pla
     comes from the first that holds it. ``found`` is null where nothing below the section was asked for; all
     result columns are null where no section is known or none was served.
     """
+    spark, path = requests.sparkSession, f"{shared_dir(requests.sparkSession)}/palimpsest/sections/{uuid.uuid4().hex}"
     asked = requests.select("identifier", "seq").distinct()
     at = longest_prefix(asked, sections, "identifier", "identifier").withColumnRenamed("found", "section")
     at = at.filter("section is not null").join(sections.select(F.col("identifier").alias("section"), "title"), "section")
+    # written once, as what serves a title is asked several times
+    at.write.parquet(path)
+    at = spark.read.schema(at.schema).parquet(path)
+    served = served_from(at.select("title", "seq").distinct(), loads).filter("served_seq is not null")
     at = served_from(at, loads).filter("served_seq is not null")
-    rows = at.join(placements.select(F.col("identifier").alias("section"), F.col("seq").alias("served_seq"), "version_id", "seq_in_title", "parent_identifier"), ["section", "served_seq"])
+    # only placements in releases that serve, as many as there are at most, travel to their sections
+    kept = placements.join(F.broadcast(served.select(F.col("served_seq").alias("seq")).distinct()), "seq", "left_semi")
+    rows = at.join(kept.select(F.col("identifier").alias("section"), F.col("seq").alias("served_seq"), "version_id", "seq_in_title", "parent_identifier"), ["section", "served_seq"])
     rows = rows.join(versions, "version_id")
     rows = rows.withColumn("_p", provision_below(F.col("markup"), F.col("identifier"), F.col("remainder") != ""))
     order = F.struct("seq_in_title", "version_id")

@@ -16,9 +16,11 @@ def _concat(*parts):
 def get_section(spark, d):
     """Orders as sections of five titles, line numbers as releases, a third of the loads unfinished; every fourth
     section stands twice, first as a stub."""
-    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("seq")).agg(F.min("l_partkey").alias("p"))
-    line = line.withColumn("title", F.col("k") % 5 + 1).withColumn("identifier", _concat("/us/usc/t", "title", "/s", "k"))
-    loads = line.select("title", "seq").distinct().withColumn("sections_loaded", F.when((F.col("title") + F.col("seq")) % 3 != 0, 1))
+    placed = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("seq"), F.col("l_partkey").alias("p"))
+    title, identifier = F.col("k") % 5 + 1, _concat("/us/usc/t", "title", "/s", "k")
+    line = placed.groupBy("k", "seq").agg(F.min("p").alias("p")).withColumn("title", title).withColumn("identifier", identifier)
+    loads = placed.select(title.alias("title"), "seq").distinct().withColumn("sections_loaded", F.when((F.col("title") + F.col("seq")) % 3 != 0, 1))
+    keys = placed.select("k").distinct().withColumn("title", title).withColumn("identifier", identifier)
     number = F.col("k") * 10 + F.col("seq")
     whole = line.select("identifier", "seq", number.alias("version_id"), F.col("k").alias("seq_in_title"), "p", F.lit(False).alias("stub"))
     stubs = line.filter("k % 4 = 0").select("identifier", "seq", (-number).alias("version_id"), (F.col("k") - 1).alias("seq_in_title"), "p", F.lit(True).alias("stub"))
@@ -27,9 +29,9 @@ def get_section(spark, d):
     markup = F.when(F.col("stub"), _concat('<section xmlns="u" identifier="', "identifier", '"/>')).otherwise(full)
     versions = rows.select("version_id", F.lit("h").alias("heading"), markup.alias("markup"), F.col("seq").alias("first_seq"))
     placements = rows.select("identifier", "seq", "version_id", "seq_in_title", F.lit("/us/usc").alias("parent_identifier"))
-    sections = line.select("identifier", "title").distinct()
+    sections = keys.select("identifier", "title")
     below = F.get(F.array(F.lit(""), F.lit("/a"), F.lit("/zz")), (F.col("k") % 3).cast("int"))
-    asked = line.select("k", "identifier").distinct().select(F.concat("identifier", below).alias("identifier"), F.lit(4).alias("seq"))
+    asked = keys.select(F.concat("identifier", below).alias("identifier"), F.lit(4).alias("seq"))
     out = resolve.get_sections(asked, sections, loads, placements, versions)
     return out.select("identifier", "section", "served_seq", "version_id", "n_occurrences", "found", "provision")
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,13 @@ def test_scopes_of_profiles(spark):
     assert set(scores("phrase")) == {1}
     every = scores("all-versions")
     assert abs(every[1] / every[2] - 6) < 1e-9
+
+
+def test_sections_are_resolved_once(spark):
+    """What serves a title is asked of the sections found, not of all steps that find them, and only placements in releases
+    that serve travel to their sections."""
+    from palimpsest.plans import registry
+
+    plan = registry.QUERIES["get_section"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "palimpsest/sections" in plan
+    assert re.search(r"BroadcastHashJoin .* LeftSemi", plan)
