@@ -1,7 +1,7 @@
 """A positional inverted index: documents are tokenised once, searches read postings.
 
-Documents are dealt into blocks of about 1,024 by a hash of their id, the same for all terms and fields. A row of
-``postings`` is what one term has in one field of one block: an array of (doc, tf, dl, at) and, beside it, the greatest
+Documents are dealt into blocks of about 1,024 by a hash of their id, the same for all terms and fields, and a task
+inverts whole blocks, so texts are shuffled once and postings never. A row of ``postings`` is what one term has in one field of one block: an array of (doc, tf, dl, at) and, beside it, the greatest
 tf and least length, from which a bound on any of its BM25 scores follows whatever the parameters. Rows are
 partitioned by a hash of the term and sorted by term, so a search opens the folders and row groups of its words
 only; a word that stands everywhere is many rows, cut by block, and no task sees more than a block of it.
@@ -12,12 +12,16 @@ best score found; results equal scoring everything. Ids are as given, rows with
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palimpsest.functions.identifiers import chapter_of, code_order_key, strip_tags, title_of
 from palimpsest.operators import search
@@ -25,6 +29,8 @@ from palimpsest.sources.store import Snapshot, Store
 
 BLOCK_DOCS = 1024
 BUCKETS = 64
+#: Blocks that a task inverts; each task writes a file a bucket.
+TASK_BLOCKS = 16
 _SLACK = 1e-9  # sums of doubles in another order
 
 
@@ -33,29 +39,88 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def _write_postings(df: DataFrame, path: str) -> None:
-    order = ["bucket", "term", "field", "block"]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+    df.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(path)
+
+
+def _posting_type(doc: T.DataType) -> T.StructType:
+    post = T.StructType().add("doc", doc).add("tf", "integer").add("dl", "integer").add("at", T.ArrayType(T.IntegerType()))
+    return T.StructType().add("term", "string").add("field", "string").add("block", "long").add("n", "long").add("cf", "long").add("max_tf", "integer").add("min_dl", "integer").add("posts", T.ArrayType(post))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``block`` as one table a block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = batch.column("block").to_numpy()
+        starts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist()] if len(at) else []
+        for start, end in zip(starts, [*starts[1:], len(at)], strict=True):
+            if held and held[-1].column("block")[0].as_py() != at[start]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _inverted(docs: pa.Array, words: pa.ListArray, field: str, block: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The postings of one field in one block, from each document's words; rows of one id and length are one document."""
+    dl = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    row = np.repeat(np.arange(len(dl)), dl)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)
+    pair = docs.dictionary_encode().indices.to_numpy().astype(np.int64) * (dl.max() + 1) + dl
+    _, first, same = np.unique(pair, return_index=True, return_inverse=True)
+    if len(first) < len(pair):  # an id stands twice
+        row = first[same][row]
+        order = np.lexsort((at, row, code))
+    else:
+        order = np.argsort(code, kind="stable")
+    code, row, at = code[order], row[order], at[order]
+    starts = lambda new: np.concatenate([[0], np.flatnonzero(new) + 1])
+    posts = starts((code[1:] != code[:-1]) | (row[1:] != row[:-1]))
+    tf, dl, row, post_code = np.diff(posts, append=len(code)), dl[row[posts]], row[posts], code[posts]
+    terms = starts(post_code[1:] != post_code[:-1])
+    kind = schema.field("posts").type
+    offsets = lambda begins, end: pa.array(np.append(begins, end), pa.int32())
+    places = pa.ListArray.from_arrays(offsets(posts, len(code)), pa.array(at, pa.int32()), type=kind.value_type.field("at").type)
+    post = pa.StructArray.from_arrays([docs.take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(dl, pa.int32()), places], fields=list(kind.value_type))
+    columns = [
+        coded.dictionary.take(pa.array(post_code[terms])), pa.repeat(field, len(terms)), pa.repeat(pa.scalar(block, pa.int64()), len(terms)), pa.array(np.diff(terms, append=len(posts))),
+        pa.array(np.add.reduceat(tf, terms)), pa.array(np.maximum.reduceat(tf, terms), pa.int32()), pa.array(np.minimum.reduceat(dl, terms), pa.int32()), pa.ListArray.from_arrays(offsets(terms, len(posts)), post, type=kind),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _inverter(names: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def invert(batches):
+        for table in _blocks(batches):
+            for name in names:
+                kept = table.filter(pa.array([bool(n) for n in table.column(f"_{name}").combine_chunks().value_lengths().to_pylist()]))
+                if kept.num_rows:
+                    found = _inverted(kept.column("doc").combine_chunks(), kept.column(f"_{name}").combine_chunks(), name, kept.column("block")[0].as_py(), schema)
+                    for i in range(0, found.num_rows, 8192):
+                        yield found.slice(i, 8192)
+
+    return invert
 
 
 def build_index(spark: SparkSession, root: str, docs: DataFrame, id_col: str, fields: Mapping[str, str], attributes: Iterable[str] = (), promote: bool = True) -> Snapshot:
     """Index ``fields`` (name -> text column) of ``docs`` under ``root`` and let readers have it.
 
-    Texts are shuffled once, by document; each term's postings of a document are gathered where it lies, and
-    only postings travel to their terms. ``attributes`` are columns that searches filter, sort and show by.
+    Texts are shuffled once, by block, and a task inverts one block after the other and writes its postings where it is.
+    ``attributes`` are columns that searches filter, sort and show by.
     """
     rows = docs.filter(F.col(id_col).isNotNull())
     sizes = rows.agg(F.count("*").alias("n_docs"), *(F.count(c).alias(f"_{name}") for name, c in fields.items())).first()
     n_docs = sizes.n_docs
     blocks = max(1, -(-n_docs // BLOCK_DOCS))
     block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("block")
-    placed = rows.select(F.col(id_col).alias("doc"), block, *(F.col(c).alias(f"_{name}") for name, c in fields.items())).repartition("doc")
-    words = placed.select("doc", "block", F.explode(F.array(*(F.struct(F.lit(name).alias("field"), search.terms(F.col(f"_{name}")).alias("w")) for name in fields))).alias("f"))
-    words = words.select("doc", "block", "f.field", F.size("f.w").alias("dl"), F.posexplode("f.w").alias("at", "term"))
-    parts = words.groupBy("doc", "block", "field", "dl", "term").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    post = F.struct("doc", F.size("at").alias("tf"), "dl", "at")
-    postings = parts.groupBy("term", "field", "block").agg(
-        F.count("*").alias("n"), F.sum(F.size("at")).alias("cf"), F.max(F.size("at")).alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(post).alias("posts")
-    )
+    tasks = min(blocks, max(spark.sparkContext.defaultParallelism, -(-blocks // TASK_BLOCKS)))
+    placed = rows.select(F.col(id_col).alias("doc"), block, *(F.col(c).alias(f"_{name}") for name, c in fields.items())).repartition(tasks, "block").sortWithinPartitions("block")
+    words = placed.select("doc", "block", *(search.terms(F.col(f"_{name}")).alias(f"_{name}") for name in fields))
+    schema = _posting_type(words.schema["doc"].dataType)
+    postings = words.mapInArrow(_inverter(list(fields), to_arrow_schema(schema)), schema)
     postings = postings.withColumn("bucket", _bucket(F.col("term"), BUCKETS))
     store = Store(spark, root)
     tables = {"postings": store.write("postings", postings, _write_postings), "documents": store.write("documents", rows.select(F.col(id_col).alias("doc"), *attributes))}
@@ -100,14 +165,15 @@ class Index:
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / self._average(field)))
 
     def wanted(self, queries: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-        """(bucket, term, field, query, weight) of ``queries`` (query, term); weight is the field's times the idf."""
+        """(bucket, term, field, query, weight) of ``queries`` (query, term), a small table, which goes to the postings
+        and not they to it; weight is the field's times the idf."""
         fields = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
         terms = queries.select("query", "term").distinct().withColumn("bucket", _bucket(F.col("term"), self.snapshot.facts["buckets"]))
         lexicon = self.lexicon().filter(F.col("field").isin(*weights))
-        return terms.join(lexicon, ["bucket", "term"]).select("bucket", "term", "field", "query", (self.idf(F.col("df")) * F.try_element_at(fields, F.col("field"))).alias("weight"))
+        return lexicon.join(F.broadcast(terms), ["bucket", "term"]).select("bucket", "term", "field", "query", (self.idf(F.col("df")) * F.try_element_at(fields, F.col("field"))).alias("weight"))
 
     def _scored(self, wanted: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-        hit = self.snapshot.table("postings").select("bucket", "term", "field", "block", "posts").join(wanted, ["bucket", "term", "field"])
+        hit = self.snapshot.table("postings").select("bucket", "term", "field", "block", "posts").join(F.broadcast(wanted), ["bucket", "term", "field"])
         if blocks is not None:
             hit = hit.join(blocks, ["query", "block"])
         rows = hit.select("query", "field", "weight", F.explode("posts").alias("p"))
@@ -119,7 +185,7 @@ class Index:
 
     def bounds(self, wanted: DataFrame) -> DataFrame:
         """(query, block, bound): no document of the block scores more."""
-        heads = self.snapshot.table("postings").select("bucket", "term", "field", "block", "max_tf", "min_dl").join(wanted, ["bucket", "term", "field"])
+        heads = self.snapshot.table("postings").select("bucket", "term", "field", "block", "max_tf", "min_dl").join(F.broadcast(wanted), ["bucket", "term", "field"])
         return heads.groupBy("query", "block").agg(F.sum(F.col("weight") * self.part(F.col("max_tf"), F.col("min_dl"), F.col("field"))).alias("bound"))
 
     def top(self, queries: DataFrame, weights: Mapping[str, float], k: int = 10, lead: int = 4) -> DataFrame:
@@ -136,9 +202,9 @@ class Index:
         return best(first.drop("rank").unionByName(later)).filter(F.col("rank") <= k).select("query", "rank", "doc", "score")
 
     def places(self, terms: DataFrame, field: str) -> DataFrame:
-        """(term columns, doc, at): sorted places of terms (term and any other columns) in the documents of a field."""
+        """(term columns, doc, at): sorted places of terms (term and any other columns, a small table) in the documents of a field."""
         terms = terms.withColumn("bucket", _bucket(F.col("term"), self.snapshot.facts["buckets"]))
-        rows = self.snapshot.table("postings").filter(F.col("field") == field).select("bucket", "term", "posts").join(terms, ["bucket", "term"])
+        rows = self.snapshot.table("postings").filter(F.col("field") == field).select("bucket", "term", "posts").join(F.broadcast(terms), ["bucket", "term"])
         return rows.select(*(c for c in terms.columns if c != "bucket"), F.explode("posts").alias("p")).select("*", F.col("p.doc").alias("doc"), F.col("p.at").alias("at")).drop("p")
 
     def phrases(self, phrases: DataFrame, field: str) -> DataFrame:

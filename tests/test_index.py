@@ -1,4 +1,5 @@
 import random
+import re
 import threading
 
 import pytest
@@ -109,3 +110,39 @@ def test_sections_retired_and_shown(spark, tmp_path):
     assert index.shaped_results(it, fox(it))[1].first().total == 2  # who holds the older generation sees it unchanged
     q = search.Query(text="x", release="119-1", date=None) if "release" in search.Query.__dataclass_fields__ else None
     assert q is None or (index.want_release("118-1", None, q), index.want_release(None, None, q)) == (("118-1", None), ("119-1", None))
+
+
+def exchanges(df):
+    """Columns that a plan's exchanges deal rows by; those of broadcasts left out."""
+    return [line.strip(" +-:") for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if re.match(r"[ +:*()\d-]*Exchange ", line)]
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """As on a large corpus: nothing is broadcast because its files are small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_are_shuffled_once_and_postings_never(spark, docs, tmp_path, monkeypatch):
+    seen, write = [], index._write_postings
+    monkeypatch.setattr(index, "_write_postings", lambda df, path: (seen.append(df), write(df, path)))
+    monkeypatch.setattr(index, "BLOCK_DOCS", 16)
+    twice = docs.unionByName(docs.filter("doc_id % 3 = 0")).unionByName(docs.filter("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("den "), "text")))
+    built = index.Index(index.build_index(spark, f"file://{tmp_path}", twice, "doc_id", {"body": "text"}))
+    assert len(exchanges(seen[0])) == 1 and "hashpartitioning(block" in exchanges(seen[0])[0]
+    # rows of one id and length are one document, as in the scores over texts
+    queries = spark.createDataFrame([("a", "red"), ("a", "den"), ("b", "of")], "query string, term string")
+    plain = {(r.query, r.doc): r.score for r in search.bm25(twice.filter("doc_id is not null"), queries).collect()}
+    got = {(r.query, r.doc): r.score for r in built.scores(queries, {"body": 1.0}).collect()}
+    assert got.keys() == plain.keys() and all(abs(got[x] - plain[x]) < 1e-9 for x in got)
+    counts = {r.term: (r.df, r.cf) for r in built.lexicon("body").collect()}
+    words = twice.filter("doc_id is not null").select("doc_id", search.terms(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    assert counts == {r.term: (r.df, r.cf) for r in words.groupBy("term").agg(F.count_distinct("doc_id", "dl").alias("df"), F.count("*").alias("cf")).collect()}
+
+
+def test_postings_stay_where_they_are_in_a_collapse(spark, no_small_tables):
+    from palimpsest.plans import registry
+
+    assert not [x for x in exchanges(registry.QUERIES["search_collapse"](spark, "/root/testdata/sf0.001")) if "bucket" in x]
