@@ -146,3 +146,11 @@ def test_postings_stay_where_they_are_in_a_collapse(spark, no_small_tables):
     from palimpsest.plans import registry
 
     assert not [x for x in exchanges(registry.QUERIES["search_collapse"](spark, "/root/testdata/sf0.001")) if "bucket" in x]
+
+
+def test_postings_stay_where_they_are_for_a_page(spark, built, no_small_tables):
+    from palimpsest.plans import registry
+
+    assert not [x for x in exchanges(registry.QUERIES["search_page"](spark, "/root/testdata/sf0.001")) if "bucket" in x]
+    terms = spark.createDataFrame([("red", 1)], "term string, i int")
+    assert not exchanges(built.places(terms, "body"))
