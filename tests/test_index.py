@@ -154,3 +154,9 @@ def test_postings_stay_where_they_are_for_a_page(spark, built, no_small_tables):
     assert not [x for x in exchanges(registry.QUERIES["search_page"](spark, "/root/testdata/sf0.001")) if "bucket" in x]
     terms = spark.createDataFrame([("red", 1)], "term string, i int")
     assert not exchanges(built.places(terms, "body"))
+
+
+def test_postings_stay_where_they_are_in_scores_and_bounds(spark, built, no_small_tables):
+    queries = spark.createDataFrame([("a", "red"), ("b", "of")], "query string, term string")
+    for df in (built.scores(queries, {"body": 1.0}), built.bounds(built.wanted(queries, {"body": 1.0}))):
+        assert exchanges(df) and not [x for x in exchanges(df) if "bucket" in x]
