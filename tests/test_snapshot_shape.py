@@ -168,3 +168,14 @@ def test_notes_hand_over_what_is_read(spark):
 
 def test_identifiers_hand_over_what_is_read(spark):
     assert handed_over("section_identifiers", spark)[-1] == ["kind", "markup", "identifier"]
+
+
+def test_columns_are_right_whatever_else_is_read():
+    body = "<section identifier='/s' id='g'><num value='1'>1</num><heading>h</heading><p id='q' identifier='/p'/><sourceCredit>c</sourceCredit><notes><note topic='t'><heading>n</heading></note></notes></section>"
+    data = doc(f"<num>T</num><chapter identifier='/c'><heading>C</heading>{body}<quotedContent>{body}</quotedContent></chapter>").encode()
+    whole = S.parse_document(data)
+    for name in whole[0]:
+        assert [r[name] for r in S._parse_utf8(data, frozenset([name]))] == [r[name] for r in whole]
+    # notes need no identifiers of other elements, nor the text of the section itself
+    (section,) = (r for r in S._parse_utf8(data, frozenset(["notes"])) if r["kind"] == "section")
+    assert section["markup"] is None and section["num"] is None and section["guid_refs"] == [] and section["notes"][0]["heading"] == "n"
